@@ -167,6 +167,7 @@ def time_folds(df: DataFrame, time: str, k: int = 5, gap_seconds: int = 0) -> Da
 
     second = F.unix_timestamp(F.col(time).cast("timestamp"))
     bounds = exact_quantiles(df.select(second.alias("t")), ["t"], [j / (k + 1) for j in range(1, k + 1)])["t"]
+    bounds = [b if b is None else round(b, 3) for b in bounds]  # interpolation noise
     fold = sum((F.when(second >= F.lit(b), 1).otherwise(0) for b in bounds if b is not None), F.lit(0))
     start = F.lit(None).cast("double")
     for j, b in enumerate(bounds, 1):

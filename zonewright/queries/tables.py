@@ -52,8 +52,8 @@ FROM {orders}
 
 # Mixed case, padding, closing dots.
 INVENTORY_RAW = """
-SELECT id, concat(chr(9), ' ', upper(fqdn), CASE id % 4 WHEN 0 THEN '..' WHEN 1 THEN '. ' ELSE '' END, ' ') AS fqdn,
-  record_type, concat('  ', upper(record_data), chr(9)) AS record_data, appid, brand, fqdn_status, cost, hits
+SELECT id, chr(9) || ' ' || upper(fqdn) || CASE id % 4 WHEN 0 THEN '..' WHEN 1 THEN '. ' ELSE '' END || ' ' AS fqdn,
+  record_type, '  ' || upper(record_data) || chr(9) AS record_data, appid, brand, fqdn_status, cost, hits
 FROM inventory
 """
 
