@@ -51,7 +51,8 @@ def hold(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame:
 
 
 class Stage(Params, MLReadable, MLWritable):
-    """Parameters from ``SETTINGS`` (all JSON values) plus state tables."""
+    """Parameters from ``SETTINGS`` (all JSON values), state tables, and the
+    fitted models a stage is made of. All of it is saved and loaded."""
 
     SETTINGS: dict[str, Any] = {}
 
@@ -65,6 +66,7 @@ class Stage(Params, MLReadable, MLWritable):
             raise TypeError(f"unknown settings: {sorted(unknown)}")
         self._set(**settings)
         self.tables: dict[str, DataFrame] = {}
+        self.children: dict[str, MLWritable] = {}
 
     def get(self, name: str) -> Any:
         return self.getOrDefault(name)
@@ -92,8 +94,13 @@ class _StageWriter(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         DefaultParamsWriter.saveMetadata(
-            self.stage, path, self.sparkSession, extraMetadata={"tables": sorted(self.stage.tables)}
+            self.stage,
+            path,
+            self.sparkSession,
+            extraMetadata={"tables": sorted(self.stage.tables), "children": list(self.stage.children)},
         )
+        for name, child in self.stage.children.items():
+            child.write().overwrite().save(f"{path}/children/{name}")
         for name, table in self.stage.tables.items():
             table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
 
@@ -110,4 +117,8 @@ class _StageReader(MLReader):
         DefaultParamsReader.getAndSetParams(stage, metadata)
         for name in metadata["tables"]:
             stage.tables[name] = hold(self.sparkSession.read.parquet(f"{path}/tables/{name}"))
+        for name in metadata["children"]:
+            stage.children[name] = DefaultParamsReader.loadParamsInstance(
+                f"{path}/children/{name}", self.sparkSession
+            )
         return stage

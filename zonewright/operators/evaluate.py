@@ -52,6 +52,12 @@ def label_metrics(pairs: DataFrame) -> DataFrame:
     )
 
 
+def as_rows(metrics: DataFrame) -> DataFrame:
+    """A one-row metrics table as ``(metric, value)`` rows."""
+    cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics.columns]
+    return metrics.select(F.inline(F.array(*cells)))
+
+
 def true_rank(probs: Column, label: Column) -> Column:
     """Rank of the true class, 1 = best; ties go to the lower index."""
     own = F.get(probs, label)
