@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewright import vocabulary as V
+from zonewright.functions.numbers import bind
 
 IPV4_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{IPV4_OCTET}([.]{IPV4_OCTET}){{3}}$"
@@ -115,22 +116,21 @@ def with_name_parts(
     wild = [r[2:] for r in rules if r.startswith("*.")]
     exceptions = [r[1:] for r in rules if r.startswith("!")]
 
-    def offset(labels: Column, lowered: Column) -> Column:
-        n = F.size(labels)
+    def offset(lowered: Column) -> Column:
+        n = F.size(lowered)
 
-        def tail(i: Column) -> Column:
-            return F.array_join(F.slice(lowered, i, n), ".")
+        def smallest(tails: Column) -> Column:
+            def start(tail: Column, i: Column) -> Column:
+                hit = tail.isin(exact)
+                if wild:
+                    hit = hit | F.get(tails, i + 1).isin(wild)
+                at = F.when(tail.isin(exceptions), i + 2).when(hit, i + 1) if exceptions else F.when(hit, i + 1)
+                return at
 
-        def start(i: Column) -> Column:
-            hit = tail(i).isin(exact)
-            if wild:
-                hit = hit | ((i < n) & tail(i + 1).isin(wild))
-            at = F.when(hit, i)
-            if exceptions:
-                at = F.when(tail(i).isin(exceptions), i + 1).when(hit, i)
-            return at
+            return F.array_min(F.transform(tails, start))
 
-        return F.array_min(F.transform(F.sequence(F.lit(1), n), start))
+        tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(lowered, i, n), "."))
+        return bind(tails, smallest)
 
     names = {out: f"__{out}" for out in columns.values()}
     staged = df.select(
@@ -142,7 +142,7 @@ def with_name_parts(
         *[F.split(F.lower(F.col(t + "_h")), "[.]").alias(t + "_w") for t in names.values()],
     )
     staged = staged.select(
-        "*", *[offset(F.col(t + "_l"), F.col(t + "_w")).alias(t + "_o") for t in names.values()]
+        "*", *[offset(F.col(t + "_w")).alias(t + "_o") for t in names.values()]
     )
 
     def parts(t: str) -> Column:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often
+    ``use`` mentions it (the optimiser may inline a plain column repeatedly)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def safe_divide(numerator: Column, denominator: Column, default: float = 0.0) -> Column:
     """``numerator / denominator``, or ``default`` where the denominator is 0."""
     n, d = numerator.cast("double"), denominator.cast("double")

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonewright.operators.base import Stage
+from zonewright.operators.base import Stage, hold
 from zonewright.operators.quantiles import exact_quantiles
 
 MAX_CORRELATED = 5_000
@@ -82,6 +81,59 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins:
     return p.groupBy("feature").agg(F.greatest(F.sum(gain), F.lit(0.0)).alias("mi"))
 
 
+def _labelled_cells(df: DataFrame, features: str, label: str, kept: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """Non-zero cells ``(y, i, x)`` of the kept elements, and class sizes."""
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("y"), features)
+    sizes = hold(rows.groupBy("y").agg(F.count("*").alias("ny")))
+    wanted = [int(i) for i in kept]
+    return vector_cells(rows, features, "y").where(F.col("i").isin(wanted)), sizes
+
+
+def vector_anova(df: DataFrame, features: str, label: str, kept: Sequence[int]) -> DataFrame:
+    """``(i, score)``: F values from the non-zero elements only.
+
+    Zeros enter through the class sizes. Values are centred on the mean.
+    """
+    cells, sizes = _labelled_cells(df, features, label, kept)
+    n = sizes.agg(F.sum("ny")).first()[0] or 0
+    means = hold(cells.groupBy("i").agg((F.sum("x") / n).alias("m")))
+    part = cells.groupBy("i", "y").agg(F.count("*").alias("k"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("qx"))
+    # A class without non-zero elements still has its zeros.
+    grid = means.withColumn("y", F.explode(F.lit([r["y"] for r in sizes.select("y").collect()])))
+    full = grid.join(part, ["i", "y"], "left").na.fill(0, ["k", "sx", "qx"]).join(sizes, "y")
+    m = F.col("m")
+    full = full.select("i", "ny", (F.col("sx") - F.col("ny") * m).alias("s"), (F.col("qx") - 2 * m * F.col("sx") + F.col("ny") * m * m).alias("q"))
+    explained = F.sum(F.col("s") * F.col("s") / F.col("ny"))
+    groups = F.count("*")
+    f = F.try_divide((explained - F.sum("s") * F.sum("s") / n) / (groups - 1), (F.sum("q") - explained) / (n - groups))
+    return full.groupBy("i").agg(f.alias("score"))
+
+
+def vector_information(df: DataFrame, features: str, label: str, kept: Sequence[int], bins: int = 10) -> DataFrame:
+    """``(i, score)``: mutual information of each element with the label.
+
+    Zero is a bin of its own; the non-zero values share ``bins`` bins of
+    about equal count (edges from bounded quantile sketches).
+    """
+    cells, sizes = _labelled_cells(df, features, label, kept)
+    n = sizes.agg(F.sum("ny")).first()[0] or 0
+    probs = [j / bins for j in range(1, bins)]
+    edges = hold(cells.groupBy("i").agg(F.array_distinct(F.percentile_approx("x", probs, 1000)).alias("edges")))
+    bin_of = F.aggregate("edges", F.lit(1), lambda a, e: a + F.when(F.col("x") > e, 1).otherwise(0))
+    joint = cells.join(edges, "i").select("i", "y", bin_of.alias("b")).groupBy("i", "y", "b").agg(F.count("*").alias("n"))
+    seen = joint.groupBy("i", "y").agg(F.sum("n").alias("k"))
+    grid = edges.select("i", F.explode(F.lit([r["y"] for r in sizes.select("y").collect()])).alias("y"))
+    zeros = (
+        grid.join(seen, ["i", "y"], "left").join(sizes, "y")
+        .select("i", "y", F.lit(0).alias("b"), (F.col("ny") - F.coalesce("k", F.lit(0))).alias("n"))
+        .where("n > 0")
+    )
+    joint = joint.unionByName(zeros).join(sizes, "y")
+    total = F.sum("n").over(Window.partitionBy("i", "b"))
+    gain = F.col("n") / n * F.ln(F.col("n") * F.lit(float(n)) / (F.col("nb") * F.col("ny")))
+    return joint.withColumn("nb", total).groupBy("i").agg(F.greatest(F.sum(gain), F.lit(0.0)).alias("score"))
+
+
 def uncorrelated(correlation: np.ndarray, variances: np.ndarray, limit: float) -> np.ndarray:
     """Which features stay when, of each pair beyond the limit, the one of
     lower variance leaves (the later one on ties). Works on the features x
@@ -131,19 +183,16 @@ class FeatureSelector(Estimator, Stage):
         scores: dict[str, float] = {}
         limit = self.get("max_features")
         if limit and limit < len(kept):
-            values = vector_to_array(features)
-            wide = data.select(label, values.alias("v")).select(label, *[F.get("v", F.lit(int(i))).alias(f"c{i}") for i in kept])
-            columns = [f"c{i}" for i in kept]
             if self.get("method") == "mutual_info":
-                table = mutual_information(wide, columns, label, self.get("bins"))
+                table = vector_information(data, features, label, kept, self.get("bins"))
             elif self.get("method") in ("f_classif", "model"):
-                table = anova_f(wide, columns, label)
+                table = vector_anova(data, features, label, kept)
             else:
                 raise ValueError(f"unknown method {self.get('method')!r}")
-            found = {r[0]: float(r[1]) if r[1] is not None else 0.0 for r in table.collect()}
-            best = sorted(kept, key=lambda i: (-found[f"c{i}"], i))[:limit]
+            found = {r["i"]: r["score"] or 0.0 for r in table.collect()}  # one row per feature
+            best = sorted(kept, key=lambda i: (-found.get(i, 0.0), i))[:limit]
             kept = np.array(sorted(best))
-            scores = {names[i]: found[f"c{i}"] for i in kept}
+            scores = {names[i]: found.get(i, 0.0) for i in kept}
         return FeatureSelectorModel(**self.settings(), indices=[int(i) for i in kept], scores=scores)
 
 

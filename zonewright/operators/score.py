@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,25 +94,30 @@ def nearest_centroid(
     """Adds ``nearest`` and ``similarity``: the most similar class centroid by
     cosine, or a null class below the threshold. Ties go to the lowest label.
 
-    The centroids (one per class, a checked number) arrive as one scalar
-    value, so rows are compared in place and no pairs are produced.
+    The centroids (one per class, a checked number) go to every task, which
+    compares its rows with all of them by one matrix product per batch.
     """
-    held = hold(table)
-    if held.limit(max_centroids + 1).count() > max_centroids:
+    rows = hold(table).orderBy("label").limit(max_centroids + 1).collect()
+    if len(rows) > max_centroids:
         raise ValueError(f"more than {max_centroids} class centroids")
-    dot = lambda a, b: F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+    labels = [r["label"] for r in rows]
+    matrix = np.array([r["centroid"] for r in rows], dtype="float64")
+    shared = df.sparkSession.sparkContext.broadcast(matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
+
+    def closest(vectors: pd.Series) -> pd.DataFrame:
+        present = vectors.notna().to_numpy()
+        found = pd.DataFrame({"position": pd.array([None] * len(vectors), dtype="Int32"), "similarity": np.nan})
+        if present.any():
+            x = np.stack(vectors[present].to_numpy()).astype("float64")
+            cosine = (x @ shared.value.T) / np.linalg.norm(x, axis=1, keepdims=True)
+            found.loc[present, "position"] = cosine.argmax(axis=1)
+            found.loc[present, "similarity"] = cosine.max(axis=1)
+        return found
+
+    nearest = F.pandas_udf(closest, "position int, similarity double")
+    out = df.withColumn("__near", nearest(F.col(vector)))
+    label = F.get(F.array(*map(F.lit, labels)), F.col("__near.position"))
+    close = F.col("__near.similarity") >= threshold
+    return out.select(
+        *df.columns, F.when(close, label).alias("nearest"), F.col("__near.similarity").alias("similarity")
     )
-    unit = F.struct(
-        F.col("label").alias("c"),
-        F.transform("centroid", lambda x: x / F.sqrt(dot(F.col("centroid"), F.col("centroid")))).alias("v"),
-    )
-    known = held.agg(F.collect_list(unit)).scalar()
-    size = F.sqrt(dot(F.col(vector), F.col(vector)))
-    best = F.array_min(
-        F.transform(known, lambda k: F.struct((-dot(k["v"], F.col(vector)) / size).alias("d"), k["c"].alias("c")))
-    )
-    out = df.select("*", best.alias("__best")).select(
-        *df.columns, F.col("__best.c").alias("nearest"), (-F.col("__best.d")).alias("similarity")
-    )
-    return out.withColumn("nearest", F.when(F.col("similarity") >= threshold, F.col("nearest")))

@@ -9,40 +9,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewright.functions import text as X
+from zonewright.functions.numbers import bind
 from zonewright.operators.base import Stage
 
 
 def term_table(df: DataFrame, terms: str) -> DataFrame:
     """``(term, total, df)`` from a column of term arrays.
 
-    Sorting inside the row marks each term's first occurrence, so document
-    frequencies need no per-row grouping: the only exchange carries partial
+    Each row lists its terms twice, whole and distinct, so document
+    frequencies need no grouping by row: the only exchange carries partial
     counts per term.
     """
-    ordered = df.select(F.array_sort(terms).alias("t"))
-    marked = F.transform(
-        F.zip_with("t", F.array_append(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.lit("")),
-                   lambda a, b: F.struct(a.alias("term"), b.alias("following"))),
-        lambda x, i: F.struct(
-            x["term"].alias("term"),
-            ((x["following"] != x["term"]) | (i == F.size("t") - 1)).cast("int").alias("last"),
-        ),
-    )
+    whole = F.struct(F.col(terms).alias("t"), F.lit(1).alias("total"), F.lit(0).alias("df"))
+    distinct = F.struct(F.array_distinct(terms).alias("t"), F.lit(0).alias("total"), F.lit(1).alias("df"))
+    lists = df.select(terms).select(F.inline(F.array(whole, distinct)))
     return (
-        ordered.where(F.size("t") > 0).select(F.inline(marked))
-        .groupBy("term").agg(F.count("*").alias("total"), F.sum("last").alias("df"))
+        lists.select(F.explode("t").alias("term"), "total", "df")
+        .groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     )
 
 
 def vocabulary_table(
-    df: DataFrame, terms: str, max_features: int, min_df: int = 2, max_df: float = 0.95
+    df: DataFrame, terms: str, max_features: int, min_df: int = 2, max_df: float = 0.95, n_rows: int | None = None
 ) -> DataFrame:
     """``(term, total, df)`` of the kept terms.
 
     Terms in fewer than ``min_df`` rows or more than ``max_df`` of the rows
     leave; of the rest the most frequent stay (ties: alphabetical).
     """
-    n = df.count()
+    n = df.count() if n_rows is None else n_rows
     kept = term_table(df, terms).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     return kept.orderBy(F.desc("total"), "term").limit(max_features)
 
@@ -79,10 +74,10 @@ class TermWeights(Estimator, Stage):
 
     def _fit(self, df: DataFrame) -> "TermWeightsModel":
         rows = df.select(self.terms().alias("terms"))
+        n = df.count()
         kept = vocabulary_table(
-            rows, "terms", self.get("max_features"), self.get("min_df"), self.get("max_df")
+            rows, "terms", self.get("max_features"), self.get("min_df"), self.get("max_df"), n
         )
-        n = df.count()
         found = kept.orderBy("term").select(
             "term", (F.ln((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")
         ).collect()  # at most max_features rows
@@ -110,14 +105,24 @@ class TermWeightsModel(Model, Stage):
         if not self.get("vocabulary"):
             return df.select("*", F.lit("").alias("term"), F.lit(0.0).alias("weight")).where("false")
         idf, words = F.array(*map(F.lit, self.get("idf"))), F.array(*map(F.lit, self.get("vocabulary")))
-        sparse = self._counted(df).select(*names, F.unwrap_udt("__counts").alias("s"))
-        raw = F.zip_with(
-            "s.indices", "s.values",
-            lambda i, tf: F.struct(i.alias("i"), ((1.0 + F.ln(tf)) * F.get(idf, i)).alias("w")),
-        )
-        square = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-        long = sparse.select(*names, raw.alias("raw")).select(*names, F.sqrt(square).alias("norm"), F.inline("raw"))
-        return long.select(*names, F.get(words, F.col("i")).alias("term"), (F.col("w") / F.col("norm")).alias("weight"))
+
+        def normed(raw: Column) -> Column:
+            square = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
+            return bind(
+                F.sqrt(square),
+                lambda norm: F.transform(
+                    raw, lambda x: F.struct(F.get(words, x["i"]).alias("term"), (x["w"] / norm).alias("weight"))
+                ),
+            )
+
+        def weighted(s: Column) -> Column:
+            return F.zip_with(
+                s["indices"], s["values"],
+                lambda i, tf: F.struct(i.alias("i"), ((1.0 + F.ln(tf)) * F.get(idf, i)).alias("w")),
+            )
+
+        sparse = bind(F.unwrap_udt("__counts"), lambda s: bind(weighted(s), normed))
+        return self._counted(df).select(*names, F.inline(sparse))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         output = self.get("output")

@@ -80,9 +80,10 @@ class FeatureVector(Transformer, Stage):
             if isinstance(kind, T.ArrayType):
                 finite[f"__f{i}"] = array_to_vector(F.col(c))
             elif isinstance(kind, T.NumericType):
-                x = F.col(c).cast("double")
-                bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-                finite[f"__f{i}"] = F.when(bad, 0.0).otherwise(x)
+                x = F.col(c)
+                if isinstance(kind, (T.FloatType, T.DoubleType)):
+                    x = F.when(F.abs(x) < float("inf"), x)  # neither NaN nor infinite
+                finite[f"__f{i}"] = F.coalesce(x.cast("double"), F.lit(0.0))
             else:
                 inputs.append(c)
                 continue

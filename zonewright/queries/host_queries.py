@@ -84,7 +84,7 @@ FROM inventory LEFT JOIN parts ON fqdn = name""",
     ("inventory",),
 )
 def h08(t: Tables) -> DataFrame:
-    p = host.with_name_parts(t.inventory, {"fqdn": "p"})
+    p = host.with_name_parts(t.busy_inventory, {"fqdn": "p"})
     return p.select("id", F.col("p.suffix").alias("fqdn_tld"), F.col("p.domain").alias("fqdn_domain"), F.col("p.subdomain").alias("fqdn_subdomain"))
 
 
@@ -208,7 +208,7 @@ FROM inventory LEFT JOIN parts hp ON fqdn = hp.name LEFT JOIN parts rp ON record
     ("inventory",),
 )
 def r09(t: Tables) -> DataFrame:
-    return record_data.record_features(t.inventory).select("id", "data_same_domain")
+    return record_data.record_features(t.busy_inventory).select("id", "data_same_domain")
 
 
 @query(

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonewright.sources import readers
+
 INVENTORY = """
 SELECT o_orderkey AS id,
   CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE concat(
@@ -96,6 +98,15 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A given table, dealt out to all cores if its file is small."""
+        return readers.spread(getattr(self, name), f"{self.folder}/{name}.parquet")
+
+    @property
+    def busy_inventory(self) -> DataFrame:
+        """The inventory for queries whose expressions are costly per row."""
+        return self.spark.sql(INVENTORY, orders=self.spread("orders"))
+
     @property
     def inventory(self) -> DataFrame:
         return self.spark.sql(INVENTORY, orders=self.orders)
@@ -110,7 +121,7 @@ class Tables:
 
     @property
     def hosts_big(self) -> DataFrame:
-        return self.spark.sql(HOSTS_BIG, lineitem=self.lineitem)
+        return self.spark.sql(HOSTS_BIG, lineitem=self.spread("lineitem"))
 
     @property
     def probs(self) -> DataFrame:

@@ -65,7 +65,7 @@ SELECT id, count(*) AS n_terms, md5(array_to_string(list(term ORDER BY term), '|
     INV,
 )
 def x02(t: Tables) -> DataFrame:
-    grams = t.inventory.select("id", text.char_wb_ngrams(text.clean_host_text(F.col("fqdn")), 2, 4).alias("g"))
+    grams = t.busy_inventory.select("id", text.char_wb_ngrams(text.clean_host_text(F.col("fqdn")), 2, 4).alias("g"))
     return grams.where(F.size("g") > 0).select(
         "id", F.size("g").cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort("g"), "|")).alias("digest")
     )
@@ -78,7 +78,7 @@ def x02(t: Tables) -> DataFrame:
 )
 def x03(t: Tables) -> DataFrame:
     stage = vectorize.TermWeights()
-    return vectorize.vocabulary_table(t.inventory.select(stage.terms().alias("g")), "g", 500)
+    return vectorize.vocabulary_table(t.busy_inventory.select(stage.terms().alias("g")), "g", 500)
 
 
 def _weights(t: DataFrame, key: str, **settings) -> DataFrame:
@@ -102,8 +102,8 @@ SELECT term, count(*) AS n, round(sum(weight), 4) AS total FROM weights GROUP BY
     INV,
 )
 def x04b(t: Tables) -> DataFrame:
-    model = vectorize.TermWeights().fit(t.inventory)
-    long = model.weights(t.inventory.select("fqdn"))
+    model = vectorize.TermWeights().fit(t.busy_inventory)
+    long = model.weights(t.busy_inventory.select("fqdn"))
     return long.groupBy("term").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"))
 
 
@@ -113,7 +113,7 @@ def x04b(t: Tables) -> DataFrame:
 )
 def x05(t: Tables) -> DataFrame:
     cleaned = text.clean_description(F.col("text"))
-    return t.documents.select("doc_id", F.md5(cleaned).alias("digest"), F.char_length(cleaned).alias("n_chars"))
+    return t.spread("documents").select("doc_id", F.md5(cleaned).alias("digest"), F.char_length(cleaned).alias("n_chars"))
 
 
 @query(
@@ -122,7 +122,7 @@ def x05(t: Tables) -> DataFrame:
 )
 def x06(t: Tables) -> DataFrame:
     return _weights(
-        t.documents.select("doc_id", "text"), "doc_id", input="text", analyzer="description", low=1, high=2,
+        t.spread("documents").select("doc_id", "text"), "doc_id", input="text", analyzer="description", low=1, high=2,
         max_features=100, max_df=0.9, stop_words=list(STOP_WORDS),
     )
 
@@ -132,7 +132,7 @@ def x06(t: Tables) -> DataFrame:
     "SELECT doc_id, " + ", ".join(f"CAST(contains({SQL_CLEAN}, '{k}') AS INTEGER) AS appdesc_has_{k}" for k in V.DESCRIPTION_KEYWORDS) + " FROM documents",
 )
 def x07(t: Tables) -> DataFrame:
-    return vectorize.KeywordFlags(input="text").transform(t.documents.select("doc_id", "text")).drop("text")
+    return vectorize.KeywordFlags(input="text").transform(t.spread("documents").select("doc_id", "text")).drop("text")
 
 
 @query(
@@ -142,7 +142,7 @@ SELECT 'fqdn_tfidf_' || term AS name, CAST(row_number() OVER (ORDER BY term) - 1
     INV,
 )
 def x08(t: Tables) -> DataFrame:
-    names = vectorize.TermWeights(max_features=300).fit(t.inventory).feature_names()
+    names = vectorize.TermWeights(max_features=300).fit(t.busy_inventory).feature_names()
     return t.spark.createDataFrame(list(enumerate(names)), "position int, name string")
 
 
@@ -164,12 +164,12 @@ for _part in ("subdomain", "domain"):
         f"d08_{_part}_tfidf",
         f"""WITH names AS (SELECT fqdn AS name FROM dns_records), {sql_parts('names')},
 named AS (SELECT id, coalesce({_part}, '') AS {_part} FROM dns_records LEFT JOIN parts ON fqdn = name),
-{sql_char_terms('named', _part)}, {sql_vocabulary('named', 100)}, {SQL_WEIGHTS} SELECT id, term, round(weight, 6) AS weight FROM weights""",
+{sql_char_terms('named', _part)}, {sql_vocabulary('named', 100, 2, 1.0)}, {SQL_WEIGHTS} SELECT id, term, round(weight, 6) AS weight FROM weights""",
         DNS,
     )
     def _(t: Tables, part=_part) -> DataFrame:
         split = host.with_name_parts(t.dns_records, {"fqdn": "p"}).select("id", F.col(f"p.{part}").alias(part))
-        return _weights(split, "id", input=part, max_features=100)
+        return _weights(split, "id", input=part, max_features=100, max_df=1.0)
 
 
 @query(
@@ -345,7 +345,7 @@ PLAN = {"categorical_columns": ["record_type", "brand", "market"], "numerical_co
 
 
 def _assembled(t: Tables) -> tuple[DataFrame, list[str]]:
-    df = t.inventory.withColumn("scan_result", F.split("scan_text", ","))
+    df = t.busy_inventory.withColumn("scan_result", F.split("scan_text", ","))
     plan = FeaturePlan(**PLAN).fit(df)
     return plan.transform(df), feature_names(plan)
 

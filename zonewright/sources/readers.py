@@ -152,6 +152,16 @@ def class_distribution(df: DataFrame, target: str = "appid") -> DataFrame:
     return df.groupBy(target).agg(F.count("*").alias("n")).orderBy(F.desc("n"), target)
 
 
+def spread(df: DataFrame, path: str, per_task: int = 32 << 20) -> DataFrame:
+    """Deal the rows of a small file out to all cores, ahead of costly
+    expressions. Input with enough bytes for every core stays where it is."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * per_task else df
+
+
 @dataclass
 class Source:
     """Where the records are: ``csv``, ``parquet``/``orc``/``json``, ``table`` or ``jdbc``.
