@@ -105,7 +105,7 @@ def train(
     if trials:
         best, table = M.search(fit_rows, ready.where("split = 'val'"), trial_kind, trials, seed, n_classes=n_classes)
         extra["search"], extra["best_params"] = table, best
-        options.setdefault("members", [{"type": trial_kind, "weight": 1.0, "params": best}])
+        options.setdefault("members", [{"type": trial_kind, "weight": 1.0, "options": best}])
     model = M.Ensemble(n_classes=n_classes, seed=seed, **options).fit(fit_rows)
     tested = model.transform(ready.where("split = 'test'")).persist()
     report = evaluation(tested, n_classes, key)

@@ -61,7 +61,7 @@ def resolve(kind: str) -> str:
 
 
 class Member(Estimator, Stage):
-    """One classifier. ``params`` takes pyspark.ml names or common aliases;
+    """One classifier. ``options`` takes pyspark.ml names or common aliases;
     ``class_weight='balanced'`` weighs classes by N / (k * n).
 
     Boosting is binary in pyspark.ml, so ``boosted`` fits one model per class;
@@ -73,7 +73,7 @@ class Member(Estimator, Stage):
         "features": "features",
         "label": "label",
         "output": "probs",
-        "params": {},
+        "options": {},
         "class_weight": None,
         "validation": None,
         "n_classes": None,
@@ -90,7 +90,7 @@ class Member(Estimator, Stage):
         if kind == "boosted" and n > self.get("max_boosted_classes"):
             kind = "forest"
         params = {**DEFAULTS[kind]}
-        for name, value in self.get("params").items():
+        for name, value in self.get("options").items():
             params[PARAMETERS[kind].get(name, name)] = value
         validation = self.get("validation")
         data = df.select(features, F.col(label).cast("double").alias(label), *([validation] if validation else []))
@@ -105,7 +105,9 @@ class Member(Estimator, Stage):
 
             def against_rest(c: int) -> Model:
                 one = data.withColumn("__one", F.when(F.col(label) == c, 1.0).otherwise(0.0))
-                booster = GBTClassifier(**{**common, "labelCol": "__one"}, **params, seed=self.get("seed"))
+                booster = GBTClassifier(
+                    featuresCol=features, labelCol="__one", predictionCol="__pred", seed=self.get("seed"), **params
+                ).setRawPredictionCol("__raw").setProbabilityCol("__prob")
                 if validation:
                     booster = booster.setValidationIndicatorCol(validation)
                 return booster.fit(one)
@@ -163,7 +165,7 @@ class MemberModel(Model, Stage):
 def create_member(kind: str, **params: Any) -> Member:
     resolve(kind)
     settings = {k: params.pop(k) for k in list(params) if k in Member.SETTINGS}
-    return Member(type=kind, params=params, **settings)
+    return Member(type=kind, options=params, **settings)
 
 
 class Ensemble(Estimator, Stage):
@@ -192,7 +194,7 @@ class Ensemble(Estimator, Stage):
             name = f"m{i}_{resolve(member['type'])}"
             weights[name] = float(member.get("weight", 1.0))
             model.children[name] = Member(
-                type=member["type"], params=member.get("params", {}), class_weight=member.get("class_weight"),
+                type=member["type"], options=member.get("options", {}), class_weight=member.get("class_weight"),
                 features=self.get("features"), label=self.get("label"), n_classes=n, output=f"__{name}",
                 validation=self.get("validation"), seed=self.get("seed"),
             ).fit(df)
@@ -291,7 +293,7 @@ def search(
     candidates = sample_parameters(kind, trials, seed, space)
 
     def run(params: dict[str, Any]) -> float:
-        model = Member(type=kind, params=params, seed=seed, **settings).fit(train)
+        model = Member(type=kind, options=params, seed=seed, **settings).fit(train)
         scored = model.transform(validation).withColumn("prediction", voting.predicted_class(F.col("probs")))
         return metrics(scored, settings.get("label", "label"))["f1_macro"]
 

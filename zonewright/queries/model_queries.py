@@ -61,7 +61,7 @@ def m04(t: Tables) -> DataFrame:
 
 def _ensemble(vote: str = "soft") -> M.Ensemble:
     return M.Ensemble(
-        members=[{"type": k, "weight": w, "params": SMALL[k]} for k, w in (("forest", 0.6), ("logistic", 0.4))],
+        members=[{"type": k, "weight": w, "options": SMALL[k]} for k, w in (("forest", 0.6), ("logistic", 0.4))],
         voting=vote, n_classes=10,
     )
 
@@ -118,7 +118,7 @@ def d18(t: Tables) -> DataFrame:
         F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0).alias("label"), "l_quantity", "l_tax",
     )
     assembler = VectorAssembler(inputCols=["l_quantity", "l_tax"], outputCol="features")
-    member = M.Ensemble(members=[{"type": "forest", "params": {"numTrees": 5, "maxDepth": 3}}], n_classes=2)
+    member = M.Ensemble(members=[{"type": "forest", "options": {"numTrees": 5, "maxDepth": 3}}], n_classes=2)
     model = PipelineModel([assembler, member.fit(assembler.transform(rows))])
     return M.permutation_importance(model, rows, "key", ["l_quantity", "l_tax"])
 
@@ -135,7 +135,7 @@ FEATURES = {"categorical_columns": ["record_type", "brand"], "tfidf_max_features
 
 
 def _train(t: Tables, **more) -> jobs.Training:
-    ensemble = {"members": [{"type": k, "weight": w, "params": SMALL[k]} for k, w in (("forest", 0.6), ("logistic", 0.4))]}
+    ensemble = {"members": [{"type": k, "weight": w, "options": SMALL[k]} for k, w in (("forest", 0.6), ("logistic", 0.4))]}
     return jobs.train(t.dns_records, "id", features=FEATURES, ensemble=ensemble, **more)
 
 
