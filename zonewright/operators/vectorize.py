@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +97,9 @@ class TermWeightsModel(Model, Stage):
         """Adds ``__counts``, the sparse vocabulary counts of each row."""
         vocabulary = self.get("vocabulary")
         counter = CountVectorizerModel.from_vocabulary(vocabulary, "__terms", "__counts")
-        return counter.transform(df.select("*", self.terms().alias("__terms"))).drop("__terms")
+        known = self.get("input") in df.columns
+        terms = self.terms() if known else F.array().cast("array<string>")
+        return counter.transform(df.select("*", terms.alias("__terms"))).drop("__terms")
 
     def weights(self, df: DataFrame) -> DataFrame:
         """Long form: the input columns with ``term, weight`` per present term."""
@@ -132,7 +134,9 @@ class TermWeightsModel(Model, Stage):
         counts = vector_to_array("__counts")
         dense = F.transform(counts, lambda tf, i: F.when(tf > 0, (1.0 + F.ln(tf)) * F.get(idf, i)).otherwise(0.0))
         weighted = self._counted(df).withColumn("__raw", array_to_vector(dense))
-        return Normalizer(p=2.0, inputCol="__raw", outputCol=output).transform(weighted).drop("__counts", "__raw")
+        unit = Normalizer(p=2.0, inputCol="__raw", outputCol=output).transform(weighted).drop("__counts", "__raw")
+        # With the size declared, assembling needs no look at the first row.
+        return VectorSizeHint(inputCol=output, size=len(self.get("idf")), handleInvalid="optimistic").transform(unit)
 
 
 class KeywordFlags(Model, Stage):
@@ -144,7 +148,8 @@ class KeywordFlags(Model, Stage):
         return [f"appdesc_has_{k}" for k in self.get("keywords")]
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        cleaned = df.select("*", X.clean_description(F.col(self.get("input"))).alias("__clean"))
+        source = F.col(self.get("input")) if self.get("input") in df.columns else F.lit("")
+        cleaned = df.select("*", X.clean_description(source).alias("__clean"))
         flags = [
             F.contains("__clean", F.lit(k)).cast("int").alias(f"appdesc_has_{k}") for k in self.get("keywords")
         ]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +47,14 @@ class RecordFeatures(Transformer, Stage):
         return list(record_data.FEATURE_NAMES)
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        data = self.get("data_column")
+        given = df if data in df.columns else df.withColumn(data, F.lit(None).cast("string"))
         out = record_data.record_features(
-            df, self.get("data_column"), self.get("type_column"), self.get("host_column"), self.get("rules")
+            given, data, self.get("type_column"), self.get("host_column"), self.get("rules")
         )
         missing = [c for c in record_data.FEATURE_NAMES if c not in out.columns]
-        return out.withColumns({c: F.lit(0) for c in missing})
+        out = out.withColumns({c: F.lit(0) for c in missing})
+        return out if data in df.columns else out.drop(data)
 
 
 class ScanFeatures(Transformer, Stage):
@@ -68,17 +71,19 @@ class FeatureVector(Transformer, Stage):
     """Scalars, arrays and vectors into ``features``; null, NaN and infinite
     numbers become 0. The working columns leave."""
 
-    SETTINGS = {"inputs": [], "names": [], "output": "features", "drop": []}
+    SETTINGS = {"inputs": [], "names": [], "output": "features", "drop": [], "array_sizes": {}}
 
     def feature_names(self) -> list[str]:
         return list(self.get("names"))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        finite, inputs = {}, []
+        finite, inputs, hints = {}, [], []
         for i, c in enumerate(self.get("inputs")):
             kind = df.schema[c].dataType
             if isinstance(kind, T.ArrayType):
                 finite[f"__f{i}"] = array_to_vector(F.col(c))
+                size = self.get("array_sizes")[c]
+                hints.append(VectorSizeHint(inputCol=f"__f{i}", size=size, handleInvalid="optimistic"))
             elif isinstance(kind, T.NumericType):
                 x = F.col(c)
                 if isinstance(kind, (T.FloatType, T.DoubleType)):
@@ -88,7 +93,10 @@ class FeatureVector(Transformer, Stage):
                 inputs.append(c)
                 continue
             inputs.append(f"__f{i}")
-        out = VectorAssembler(inputCols=inputs, outputCol=self.get("output")).transform(df.withColumns(finite))
+        out = df.withColumns(finite)
+        for hint in hints:
+            out = hint.transform(out)
+        out = VectorAssembler(inputCols=inputs, outputCol=self.get("output")).transform(out)
         return out.drop(*finite, *self.get("drop"))
 
 
@@ -122,7 +130,7 @@ class FeaturePlan(Estimator, Stage):
     }
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        stages, inputs, names = [], [], []
+        stages, inputs, names, array_sizes = [], [], [], {}
 
         def add(stage, columns=None, labels=None) -> None:
             if stage.hasParam("vocabulary") and not stage.get("vocabulary"):
@@ -163,7 +171,11 @@ class FeaturePlan(Estimator, Stage):
             labels = []
             sizes = encoder.get("defaults")
             for (c, strategy), name in zip(encoder.get("chosen").items(), encoder.feature_names()):
-                labels += [f"{name}_{i}" for i in range(max(int(sizes[c]), 1))] if strategy == "onehot" else [name]
+                if strategy == "onehot":
+                    array_sizes[name] = max(int(sizes[c]), 1)
+                    labels += [f"{name}_{i}" for i in range(array_sizes[name])]
+                else:
+                    labels.append(name)
             add(encoder, encoder.output_columns(), labels)
         numerical = [c for c in g("numerical_columns") if has(c)]
         if numerical:
@@ -171,7 +183,7 @@ class FeaturePlan(Estimator, Stage):
             add(scaler, scaler.output_columns(), scaler.feature_names())
         created = [c for c in inputs if not has(c)]
         extra = [c for c in ("fqdn_tld", "fqdn_domain", "fqdn_subdomain", "fqdn_first_label") if not has(c)]
-        vector = FeatureVector(inputs=inputs, names=names, drop=created + extra)
+        vector = FeatureVector(inputs=inputs, names=names, drop=created + extra, array_sizes=array_sizes)
         plan = PipelineModel([*stages, vector])
         if g("importance_threshold") is not None and has(g("label")):
             vector._set(output="all_features")
