@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewright import vocabulary as V
-from zonewright.functions.numbers import bind
 
 IPV4_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{IPV4_OCTET}([.]{IPV4_OCTET}){{3}}$"
@@ -94,7 +93,44 @@ def _host_of(text: Column) -> Column:
     """Host part of a name or URL: no scheme, path, user, port, closing dots."""
     bare = F.regexp_replace(text, r"^([A-Za-z0-9+.\-]+:)?//", "")
     bare = F.substring_index(F.regexp_extract(bare, r"^[^/?#]*", 0), "@", -1)
-    return F.rtrim(F.btrim(F.substring_index(bare, ":", 1)), F.lit("."))
+    bare = F.substring_index(bare, ":", 1)
+    plain = F.when(text.rlike("[/?#@:]"), bare).otherwise(text)
+    return F.rtrim(F.btrim(plain), F.lit("."))
+
+
+def _labels(host: Column, count: Column | int) -> Column:
+    """The first ``count`` labels, or the last ones if negative."""
+    return F.call_function("substring_index", host, F.lit("."), count if isinstance(count, Column) else F.lit(count))
+
+
+def _by_length(rules: Sequence[str], drop: str) -> dict[int, list[str]]:
+    found: dict[int, list[str]] = {}
+    for rule in rules:
+        found.setdefault(rule.count(".") + 1, []).append(rule.removeprefix(drop))
+    return found
+
+
+def suffix_length(lowered: Column, labels: Column, rules: Sequence[str]) -> Column:
+    """How many closing labels form the public suffix, 0 without a rule.
+
+    The longest rule wins and an exception beats all. Rules have few labels,
+    so this is a short chain of hashed IN-set tests over the host's endings.
+    """
+    exact = _by_length([r for r in rules if r[:1] not in "*!"], "")
+    wild = _by_length([r for r in rules if r.startswith("*.")], "*.")
+    exceptions = _by_length([r for r in rules if r.startswith("!")], "!")
+    longest = max((*exact, *wild, *exceptions, 1))
+    ends_in = lambda j, names: (labels >= j) & _labels(lowered, -j).isin(names)
+    tests: list[tuple[Column, int]] = [(ends_in(j, exceptions[j]), j - 1) for j in sorted(exceptions, reverse=True)]
+    for j in range(longest, 0, -1):
+        if j in exact:
+            tests.append((ends_in(j, exact[j]), j))
+        if j in wild:
+            tests.append(((labels >= j) & _labels(lowered, 1 - j).isin(wild[j]), j))
+    length = F.lit(0)
+    for test, value in reversed(tests):
+        length = F.when(test, value).otherwise(length)
+    return length
 
 
 def with_name_parts(
@@ -104,64 +140,36 @@ def with_name_parts(
 ) -> DataFrame:
     """Add ``struct<suffix, domain, subdomain>`` for each ``{source: output}``.
 
-    The longest public suffix of a host is the one that starts at its
-    smallest label offset. The rules become hashed IN-sets inside the
-    expression, so the split needs neither a join nor a shuffle however large
-    the host table is. Null and blank hosts give blank parts; an IPv4 literal
-    is its own domain; without a matching rule the last label is the domain.
+    The rules are part of the expression, so the split needs neither a join
+    nor a shuffle however large the host table is. Null and blank hosts give
+    blank parts; an IPv4 literal is its own domain; without a matching rule
+    the last label is the domain.
     """
     if len(rules) > MAX_SUFFIX_RULES:
         raise ValueError(f"{len(rules)} suffix rules; at most {MAX_SUFFIX_RULES} are supported")
-    exact = [r for r in rules if r[:1] not in "*!"]
-    wild = [r[2:] for r in rules if r.startswith("*.")]
-    exceptions = [r[1:] for r in rules if r.startswith("!")]
-
-    def offset(lowered: Column) -> Column:
-        n = F.size(lowered)
-
-        def smallest(tails: Column) -> Column:
-            def start(tail: Column, i: Column) -> Column:
-                hit = tail.isin(exact)
-                if wild:
-                    hit = hit | F.get(tails, i + 1).isin(wild)
-                at = F.when(tail.isin(exceptions), i + 2).when(hit, i + 1) if exceptions else F.when(hit, i + 1)
-                return at
-
-            return F.array_min(F.transform(tails, start))
-
-        tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(lowered, i, n), "."))
-        return bind(tails, smallest)
-
-    names = {out: f"__{out}" for out in columns.values()}
-    staged = df.select(
-        "*", *[_host_of(F.coalesce(F.col(c), F.lit(""))).alias(names[o] + "_h") for c, o in columns.items()]
+    host, size, length = ("__{}_" + part for part in ("h", "n", "k"))
+    out = df.withColumns(
+        {host.format(o): _host_of(F.coalesce(F.col(c), F.lit(""))) for c, o in columns.items()}
     )
-    staged = staged.select(
-        "*",
-        *[F.split(F.col(t + "_h"), "[.]").alias(t + "_l") for t in names.values()],
-        *[F.split(F.lower(F.col(t + "_h")), "[.]").alias(t + "_w") for t in names.values()],
-    )
-    staged = staged.select(
-        "*", *[offset(F.col(t + "_w")).alias(t + "_o") for t in names.values()]
+    out = out.withColumns({size.format(o): count_char(F.col(host.format(o)), ".") + 1 for o in columns.values()})
+    out = out.withColumns(
+        {
+            length.format(o): suffix_length(F.lower(host.format(o)), F.col(size.format(o)), rules)
+            for o in columns.values()
+        }
     )
 
-    def parts(t: str) -> Column:
-        host, labels, at = F.col(t + "_h"), F.col(t + "_l"), F.col(t + "_o")
-        n = F.size(labels)
-        whole = host.rlike(IPV4) | (host == "")
-        first = F.coalesce(at, n + 1)  # no rule: everything before the end
-        join = lambda lo, count: F.array_join(F.slice(labels, lo, F.greatest(count, F.lit(0))), ".")
+    def parts(o: str) -> Column:
+        h, n, k = (F.col(c.format(o)) for c in (host, size, length))
+        whole = (h == "") | h.rlike(IPV4)
         return F.struct(
-            F.when(whole, "").otherwise(join(F.least(first, n), n - first + 1)).alias("suffix"),
-            F.when(whole, host)
-            .when(first > 1, F.element_at(labels, first - 1))
-            .otherwise("")
-            .alias("domain"),
-            F.when(whole, "").otherwise(join(F.lit(1), first - 2)).alias("subdomain"),
+            F.when(whole, "").otherwise(_labels(h, -k)).alias("suffix"),
+            F.when(whole, h).when(n > k, F.substring_index(_labels(h, -k - 1), ".", 1)).otherwise("").alias("domain"),
+            F.when(whole, "").otherwise(_labels(h, F.greatest(n - k - 1, F.lit(0)))).alias("subdomain"),
         )
 
-    scratch = [t + s for t in names.values() for s in ("_h", "_l", "_w", "_o")]
-    return staged.select("*", *[parts(t).alias(o) for o, t in names.items()]).drop(*scratch)
+    scratch = [c.format(o) for o in columns.values() for c in (host, size, length)]
+    return out.withColumns({o: parts(o) for o in columns.values()}).drop(*scratch)
 
 
 def depth(subdomain: Column) -> Column:

@@ -70,10 +70,13 @@ def record_features(
     host_column: str = "fqdn",
     rules: Sequence[str] = V.PUBLIC_SUFFIXES,
     cloud_patterns: Mapping[str, Sequence[str]] = V.TARGET_CLOUD_PATTERNS,
+    host_domain: str | None = None,
 ) -> DataFrame:
     """All record-target features; a no-op without the target column.
 
     A null target counts as empty text and a missing type column as no type.
+    ``host_domain`` names a column that already holds the host's domain, so
+    the host is not split again.
     """
     if data_column not in df.columns:
         return df
@@ -88,10 +91,13 @@ def record_features(
     }
     out = df
     if host_column in df.columns:
-        out = with_name_parts(df, {host_column: "__host", data_column: "__target"}, rules)
+        known = host_domain is not None and host_domain in df.columns
+        wanted = {data_column: "__target"} if known else {host_column: "__host", data_column: "__target"}
+        out = with_name_parts(df, wanted, rules)
+        domain = F.col(host_domain) if known else F.col("__host.domain")
         host = F.coalesce(F.col(host_column), F.lit(""))
         features["data_same_domain"] = (
-            (host != "") & (target != "") & (F.col("__host.domain") == F.col("__target.domain"))
+            (host != "") & (target != "") & (domain == F.col("__target.domain"))
         ).cast("int")
     features.update(mail_flags(target, kind))
     return out.select("*", *[c.alias(n) for n, c in features.items()]).drop("__host", "__target")

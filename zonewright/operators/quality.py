@@ -195,14 +195,7 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 def declared_value_issues(df: DataFrame, declared: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     """Counts of values shorter than ``min_length`` or not in ``allowed_values``."""
-    checks: list[tuple[str, str, Column]] = []
-    for column, spec in declared.items():
-        if column not in df.columns:
-            continue
-        if spec.get("min_length") is not None:
-            checks.append((column, "below_min_length", F.char_length(F.col(column)) < spec["min_length"]))
-        if spec.get("allowed_values"):
-            checks.append((column, "value_not_allowed", ~F.col(column).isin(list(spec["allowed_values"]))))
+    checks = _declared_checks(df, declared)
     if not checks:
         return df.sparkSession.createDataFrame([], "column_name string, issue_type string, violations long")
     counts = df.agg(*[F.count_if(test).alias(f"v{i}") for i, (_, _, test) in enumerate(checks)])
@@ -228,12 +221,33 @@ class QualityReport:
         return self.issues.where("severity = 'ERROR'").isEmpty()
 
 
-def _issue(df: DataFrame, column: str | None, kind: str, severity: str, when: Column, amount: Column, text: str) -> DataFrame:
-    return df.where(when).select(
-        F.lit(column).cast("string").alias("column_name"), F.lit(kind).alias("issue_type"),
-        F.lit(severity).alias("severity"), amount.cast("double").alias("amount"),
-        F.lit(text).alias("message"),
-    )
+def _declared_checks(df: DataFrame, declared: Mapping[str, Mapping[str, Any]]) -> list[tuple[str, str, Column]]:
+    """``(column, issue, test)`` of the declared lengths and values."""
+    checks: list[tuple[str, str, Column]] = []
+    for column, spec in declared.items():
+        if column not in df.columns:
+            continue
+        if spec.get("min_length") is not None:
+            checks.append((column, "below_min_length", F.char_length(F.col(column)) < spec["min_length"]))
+        if spec.get("allowed_values"):
+            checks.append((column, "value_not_allowed", ~F.col(column).isin(list(spec["allowed_values"]))))
+    return checks
+
+
+Finding = tuple[str | None, str, str, Column, Column, str]
+
+
+def _findings(row: DataFrame, findings: Sequence[Finding]) -> DataFrame:
+    """A one-row table to issue rows: (column, issue, severity, when, amount, text)."""
+    structs = [
+        F.struct(
+            F.lit(column).cast("string").alias("column_name"), F.lit(kind).alias("issue_type"),
+            F.lit(severity).alias("severity"), amount.cast("double").alias("amount"),
+            F.lit(text).alias("message"), when.alias("found"),
+        )
+        for column, kind, severity, when, amount, text in findings
+    ]
+    return row.select(F.inline(F.array(*structs))).where("found").drop("found")
 
 
 def all_issues(
@@ -243,44 +257,51 @@ def all_issues(
     max_missing_ratio: float = 0.5,
     max_duplicate_ratio: float = 0.1,
     target: str = "appid",
+    orphan: int = V.ORPHAN_LABEL,
 ) -> DataFrame:
-    """Every check's findings as one issues table (each check is one job stage)."""
+    """Every check's findings as one issues table, in three passes: one wide
+    aggregate, one over row digests, one that counts hosts, owners and types."""
     declared = declared or {}
-    strict = [c for c, spec in declared.items() if not spec.get("nullable", True)]
-    n = lambda name: F.col(name)
-    found = [
-        missing_columns(df, required),
-        type_mismatches(df, declared),
-        missing_value_issues(df, strict, max_missing_ratio),
-        _issue(duplicate_rows(df), None, "high_duplicate_ratio", "WARNING",
-               n("duplicate_ratio") > max_duplicate_ratio, n("duplicate_ratio"), "Duplicate rows"),
-        declared_value_issues(df, declared).select(
-            "column_name", "issue_type", F.lit("WARNING").alias("severity"),
-            F.col("violations").cast("double").alias("amount"), F.lit("Declared values violated").alias("message")),
-    ]
+    strict = {c for c, spec in declared.items() if not spec.get("nullable", True)}
+    n = F.col
+    # Pass 1: everything that is a count over rows.
+    aggregates, findings = [F.count("*").alias("rows")], []
+    for i, c in enumerate(df.columns):
+        aggregates.append(F.count_if(F.col(c).isNull()).alias(f"null{i}"))
+        nulls, text = n(f"null{i}"), f"Missing values in {c}"
+        if c in strict:
+            findings.append((c, "null_in_non_nullable", "ERROR", nulls > 0, nulls, text))
+        high = safe_divide(nulls, n("rows")) > max_missing_ratio
+        findings.append((c, "high_missing_ratio", "WARNING", high & ((nulls == 0) if c in strict else F.lit(True)), nulls, text))
+    for i, (c, kind, test) in enumerate(_declared_checks(df, declared)):
+        aggregates.append(F.count_if(test).alias(f"bad{i}"))
+        findings.append((c, kind, "WARNING", n(f"bad{i}") > 0, n(f"bad{i}"), "Declared values violated"))
     if "fqdn" in df.columns:
-        found += [
-            _issue(repeated_hosts(df), "fqdn", "duplicate_fqdns", "INFO",
-                   n("repeated_hosts") > 0, n("repeated_hosts"), "Hosts with several records"),
-            _issue(invalid_hosts(df), "fqdn", "invalid_fqdn_format", "WARNING",
-                   n("invalid_hosts") > 0, n("invalid_hosts"), "Hosts of invalid format"),
-        ]
+        aggregates.append(F.count_if(~is_valid_host(n("fqdn"))).alias("bad_hosts"))
+        findings.append(("fqdn", "invalid_fqdn_format", "WARNING", n("bad_hosts") > 0, n("bad_hosts"), "Hosts of invalid format"))
     if target in df.columns:
-        # Expanded from one aggregate row, so the class count runs once.
-        summary = target_summary(df, target)
-        kinds = F.array(
-            F.struct(F.lit("negative_appid").alias("k"), F.lit("WARNING").alias("s"), n("negative_count").alias("a")),
-            F.struct(F.lit("rare_classes").alias("k"), F.lit("INFO").alias("s"), n("rare_classes").alias("a")),
-        )
+        aggregates.append(F.count_if(n(target) < 0).alias("negative"))
+        findings.append((target, "negative_appid", "WARNING", n("negative") > 0, n("negative"), "Negative owners"))
+    found = [missing_columns(df, required), type_mismatches(df, declared), _findings(df.agg(*aggregates), findings)]
+    # Pass 2: equal rows.
+    ratio = n("duplicate_ratio")
+    found.append(_findings(duplicate_rows(df), [(None, "high_duplicate_ratio", "WARNING", ratio > max_duplicate_ratio, ratio, "Duplicate rows")]))
+    # Pass 3: values that occur several times, seldom, or should not occur.
+    counted = [c for c in ("fqdn", target, "record_type") if c in df.columns]
+    if counted:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), n(c).cast("string").alias("value")) for c in counted])
+        groups = df.select(F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("n"))
+        repeated = (n("column") == "fqdn") & (n("n") > 1)
+        rare = (n("column") == target) & (n("n") < 3) & (n("value") != str(orphan))
+        odd = (n("column") == "record_type") & ~n("value").isin(list(V.KNOWN_RECORD_TYPES))
+        sums = groups.agg(F.count_if(repeated).alias("repeated"), F.count_if(rare).alias("rare"), F.count_if(odd).alias("odd"))
         found.append(
-            summary.select(F.inline(kinds)).where("a > 0").select(
-                F.lit(target).alias("column_name"), F.col("k").alias("issue_type"), F.col("s").alias("severity"),
-                F.col("a").cast("double").alias("amount"), F.lit("Target classes").alias("message"),
-            )
+            _findings(sums, [
+                ("fqdn", "duplicate_fqdns", "INFO", n("repeated") > 0, n("repeated"), "Hosts with several records"),
+                (target, "rare_classes", "INFO", n("rare") > 0, n("rare"), "Owners with few records"),
+                ("record_type", "unknown_record_types", "INFO", n("odd") > 0, n("odd"), "Unknown record types"),
+            ])
         )
-    if "record_type" in df.columns:
-        types = unknown_record_types(df).agg(F.count("*").alias("n"))
-        found.append(_issue(types, "record_type", "unknown_record_types", "INFO", n("n") > 0, n("n"), "Unknown record types"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -40,6 +40,7 @@ class RecordFeatures(Transformer, Stage):
         "data_column": "record_data",
         "type_column": "record_type",
         "host_column": "fqdn",
+        "host_domain": None,
         "rules": list(V.PUBLIC_SUFFIXES),
     }
 
@@ -50,8 +51,9 @@ class RecordFeatures(Transformer, Stage):
         data = self.get("data_column")
         given = df if data in df.columns else df.withColumn(data, F.lit(None).cast("string"))
         out = record_data.record_features(
-            given, data, self.get("type_column"), self.get("host_column"), self.get("rules")
-        )
+            given, data, self.get("type_column"), self.get("host_column"), self.get("rules"),
+            host_domain=self.get("host_domain"),
+        )
         missing = [c for c in record_data.FEATURE_NAMES if c not in out.columns]
         out = out.withColumns({c: F.lit(0) for c in missing})
         return out if data in df.columns else out.drop(data)
@@ -144,7 +146,12 @@ class FeaturePlan(Estimator, Stage):
         if has(g("host_column")):
             add(HostFeatures(column=g("host_column")))
         if g("record_data_features") and has(g("data_column")):
-            add(RecordFeatures(data_column=g("data_column"), type_column=g("type_column"), host_column=g("host_column")))
+            add(
+                RecordFeatures(
+                    data_column=g("data_column"), type_column=g("type_column"), host_column=g("host_column"),
+                    host_domain="fqdn_domain" if has(g("host_column")) else None,
+                )
+            )
         if g("scan_features") and has(g("scan_column")):
             add(ScanFeatures(column=g("scan_column")))
         if g("description_features") and has(g("description_column")):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewright import vocabulary as V
@@ -313,11 +313,14 @@ SELECT id, col, code FROM cells""",
 def d03(t: Tables) -> DataFrame:
     df = t.inventory.select("id", *E1)
     out = encode.CategoryEncoder(columns=list(E1), strategy="onehot").fit(df).transform(df)
-    long = None
-    for c in E1:
-        ones = out.select("id", F.lit(c).alias("col"), F.posexplode(f"{c}_onehot").alias("code", "x")).where("x = 1")
-        long = ones if long is None else long.unionByName(ones)
-    return long.select("id", "col", F.col("code").cast("long").alias("code"))
+    cells = F.flatten(F.array(*[_ones(c) for c in E1]))
+    return out.select("id", F.inline(cells))
+
+
+def _ones(column: str) -> Column:
+    """The set positions of a one-hot array, as (col, code) structs."""
+    marked = F.transform(f"{column}_onehot", lambda x, i: F.struct(F.lit(column).alias("col"), i.cast("long").alias("code"), x.alias("x")))
+    return F.transform(F.filter(marked, lambda s: s["x"] == 1), lambda s: F.struct(s["col"].alias("col"), s["code"].alias("code")))
 
 
 @query(
