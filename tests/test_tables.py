@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonewright.operators import clean, quality, quantiles, splits
+from zonewright.operators import clean, quality, quantiles, ranks, splits
 from zonewright.operators.base import hold
 from zonewright.sources import readers, sinks
 
@@ -181,7 +181,7 @@ def test_sampling(spark):
     assert over.where("c = 1").select("id").distinct().count() == 3
 
 
-@pytest.mark.parametrize("small", [10, 10**6])
+@pytest.mark.parametrize("small", [0, 10, 300, 10**6])
 def test_exact_quantiles(spark, small):
     """Hot values, negatives and nulls; by search and by aggregate."""
     rng = random.Random(7)
@@ -194,6 +194,15 @@ def test_exact_quantiles(spark, small):
     assert got["y"] == [None] * 7
 
 
+def test_positions_by_ranges(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("v"))
+    small = ranks.sorted_positions(df, ["g"], ["v"], "at").collect()
+    large = ranks.sorted_positions(df, ["g"], ["v"], "at", small=100).collect()
+    assert sorted(small) == sorted(large) and len(large) == 4000
+    whole = ranks.sorted_positions(df, [], ["v"], "at", small=100).orderBy("v").collect()
+    assert [r["at"] for r in whole] == list(range(4000))
+
+
 def test_hold_keeps_large_tables_distributed(spark):
     assert sorted(r[0] for r in hold(spark.range(30), limit=10).collect()) == list(range(30))
 

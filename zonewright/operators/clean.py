@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Model
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonewright import vocabulary as V
 from zonewright.operators.base import Stage, hold
 from zonewright.operators.quantiles import exact_quantiles
+from zonewright.operators.ranks import sorted_positions
 
 SIGNED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATING = (T.FloatType, T.DoubleType)
@@ -114,15 +115,13 @@ def class_index(classes: DataFrame, rare_label: int = V.RARE_LABEL) -> DataFrame
         F.when(F.col("is_rare"), F.lit(rare_label)).otherwise(F.col("label")).cast("long").alias("label"),
         F.col("is_rare"),
     ).distinct()
-    # One window over the class labels (not over rows).
-    order = Window.orderBy("is_rare", "label")
-    return labels.select("label", (F.row_number().over(order) - 1).alias("idx"))
+    return sorted_positions(labels, [], ["is_rare", "label"], "idx").select("label", "idx")
 
 
 def label_index(df: DataFrame, column: str) -> DataFrame:
     """``(label, idx)`` from raw labels: sorted distinct values."""
     labels = df.select(F.col(column).alias("label")).where("label is not null").distinct()
-    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("idx"))
+    return sorted_positions(labels, [], ["label"], "idx")
 
 
 def apply_class_policy(df: DataFrame, classes: DataFrame, target: str, policy: str, orphan: int, rare_label: int) -> DataFrame:

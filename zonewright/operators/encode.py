@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonewright import vocabulary as V
 from zonewright.operators.base import Stage, hold
 from zonewright.operators.quantiles import exact_quantiles
+from zonewright.operators.ranks import sorted_positions
 
 STRATEGIES = ("label", "target", "frequency", "onehot")
 SUFFIX = {"label": "", "target": "_target_encoded", "frequency": "_freq_encoded", "onehot": "_onehot"}
-MAX_RANKED_VALUES = 5_000_000
+MAX_ONE_HOT = 10_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -34,16 +35,17 @@ def label_codes(
 ) -> DataFrame:
     """``(column, value, code)``: codes 0.. over the sorted kept values.
 
-    Ranks are over the distinct values of a column, never over rows.
+    Ranks are over the distinct values of a column, never over rows; see
+    ``sorted_positions`` for columns with very many of them.
     """
     counts = value_counts(df, columns)
     if min_frequency:
         counts = counts.where(F.col("n") >= min_frequency)
     if max_categories:
-        top = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-        counts = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_categories)
-    order = Window.partitionBy("column").orderBy("value")
-    return counts.select("column", "value", (F.row_number().over(order) - 1).cast("double").alias("code"))
+        ordered = counts.withColumn("less", -F.col("n"))
+        counts = sorted_positions(ordered, ["column"], ["less", "value"], "r").where(F.col("r") < max_categories)
+    coded = sorted_positions(counts.select("column", "value"), ["column"], ["value"], "code")
+    return coded.withColumn("code", F.col("code").cast("double"))
 
 
 def target_means(df: DataFrame, columns: Sequence[str], target: str, smoothing: float = 10.0) -> DataFrame:
@@ -66,9 +68,8 @@ def target_means(df: DataFrame, columns: Sequence[str], target: str, smoothing:
 
 def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, code)``: share of all rows, nulls included."""
-    cells = long_values(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("column"))
-    return cells.select("column", "value", (F.col("n") / total).alias("code")).where("value is not null")
+    total = max(df.count(), 1)
+    return value_counts(df, columns).select("column", "value", (F.col("n") / total).alias("code"))
 
 
 def choose_strategies(df: DataFrame, columns: Sequence[str], default: str = "label", threshold: int = 100) -> DataFrame:
@@ -123,8 +124,8 @@ class CategoryEncoder(Estimator, Stage):
         defaults = {}
         for c, s in chosen.items():
             defaults[c] = float(sizes.get(c, 0)) if s in ("label", "onehot") else means.get(c) if s == "target" else 0.0
-        if any(sizes.get(c, 0) > MAX_RANKED_VALUES for c in ranked):
-            raise ValueError("too many distinct values to rank; use target or frequency encoding")
+        if any(sizes.get(c, 0) > MAX_ONE_HOT for c in of("onehot")):
+            raise ValueError(f"one-hot columns may have {MAX_ONE_HOT} values; use another encoding")
         model = CategoryEncoderModel(**self.settings(), chosen=chosen, defaults=defaults)
         model.tables = {"codes": codes}
         return model

@@ -3,25 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL = 1_000_000
 ACCURACY = 10_000
 
 
+@dataclass
+class _Search:
+    """The ``rank``-th smallest (from 0) of the ``size`` values of a column
+    that lie in [low, high]."""
+
+    column: str
+    rank: int
+    size: int
+    low: float
+    high: float
+
+    @property
+    def value(self) -> Column:
+        return F.col(self.column).cast("double")
+
+    @property
+    def inside(self) -> Column:
+        return self.value.between(self.low, self.high)
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = SMALL
 ) -> dict[str, list[float | None]]:
     """``{column: [quantile per probability]}``, None for all-null columns.
 
     Columns of up to ``small`` values use the exact aggregate, whose buffer
-    holds every distinct value. Larger ones are searched by rank: each round
-    brackets the rank between two approximate quantiles (bounded sketches),
-    counts the values around the bracket exactly and keeps the part that
-    holds the rank, so a handful of scans leaves few enough values to order.
+    holds every distinct value. Larger ones are searched by rank, all ranks of
+    all columns together: a round brackets each rank between two approximate
+    quantiles (bounded sketches), counts exactly around the brackets and keeps
+    the part that holds the rank. Each round narrows a bracket by a factor of
+    thousands, so even 10^12 values take a handful of scans.
     """
     if not columns:
         return {}
@@ -30,66 +52,71 @@ def exact_quantiles(
         *[F.min(c).cast("double").alias(f"lo{i}") for i, c in enumerate(columns)],
         *[F.max(c).cast("double").alias(f"hi{i}") for i, c in enumerate(columns)],
     ).first()
-    few = [c for i, c in enumerate(columns) if 0 < stats[f"n{i}"] <= small]
-    out: dict[str, list[float | None]] = {}
+    sizes = {c: stats[f"n{i}"] for i, c in enumerate(columns)}
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if sizes[c] == 0}
+    few = [c for c in columns if 0 < sizes[c] <= small]
     if few:
         row = df.agg(
             *[F.percentile(F.col(c).cast("double"), list(probs)).alias(f"q{i}") for i, c in enumerate(few)]
         ).first()
         out.update({c: list(row[f"q{i}"]) for i, c in enumerate(few)})
-    for i, c in enumerate(columns):
-        if c in out:
-            continue
-        n = stats[f"n{i}"]
-        if n == 0:
-            out[c] = [None] * len(probs)
-            continue
-        values = df.select(F.col(c).cast("double").alias("v")).where("v is not null")
-        bounds = (stats[f"lo{i}"], stats[f"hi{i}"])
-        known: dict[int, float] = {}
-
-        def at(rank: int) -> float:
-            if rank not in known:
-                known[rank] = _order_statistic(values, rank, n, *bounds, small)
-            return known[rank]
-
+    many = [(i, c) for i, c in enumerate(columns) if c not in out]
+    places = {c: [(sizes[c] - 1) * p for p in probs] for _, c in many}
+    searches = {
+        (c, rank): _Search(c, rank, sizes[c], stats[f"lo{i}"], stats[f"hi{i}"])
+        for i, c in many
+        for rank in sorted({r for x in places[c] for r in (floor(x), ceil(x))})
+    }
+    found = _order_statistics(df, searches, small)
+    for _, c in many:
         out[c] = []
-        for p in probs:
-            position = (n - 1) * p
-            low, high = floor(position), ceil(position)
-            out[c].append(
-                at(low) if low == high else (high - position) * at(low) + (position - low) * at(high)
-            )
+        for x in places[c]:
+            below, above = found[c, floor(x)], found[c, ceil(x)]
+            out[c].append(below if floor(x) == ceil(x) else (ceil(x) - x) * below + (x - floor(x)) * above)
     return out
 
 
-def _order_statistic(
-    values: DataFrame, rank: int, size: int, low: float, high: float, small: int
-) -> float:
-    """The ``rank``-th smallest value (from 0) among those in [low, high]."""
-    v = F.col("v")
-    while low != high:
-        active = values.where(v.between(low, high))
-        if size <= small:
-            running = F.sum("n").over(Window.orderBy("v"))
-            ranked = active.groupBy("v").agg(F.count("*").alias("n")).select("v", running.alias("upto"))
-            return ranked.where(F.col("upto") > rank).agg(F.min("v")).first()[0]
-        share, margin = rank / size, 2 / ACCURACY
-        a, b = active.agg(
-            F.percentile_approx(v, [max(0.0, share - margin), min(1.0, share + margin)], ACCURACY)
-        ).first()[0]
-        parts = active.agg(
-            F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)),
-            F.count_if((v == b) & (v > a)), F.count_if(v > b),
-            F.max(F.when(v < a, v)),
-            F.min(F.when((v > a) & (v < b), v)), F.max(F.when((v > a) & (v < b), v)),
-            F.min(F.when(v > b, v)),
-        ).first()
-        counts, (below_high, mid_low, mid_high, above_low) = parts[:5], parts[5:]
-        ranges = [(low, below_high), (a, a), (mid_low, mid_high), (b, b), (above_low, high)]
-        for count, (lo, hi) in zip(counts, ranges):
-            if rank < count:
-                size, low, high = count, lo, hi
+def _order_statistics(df: DataFrame, searches: dict, small: int) -> dict:
+    while wide := [s for s in searches.values() if s.low != s.high and s.size > small]:
+        _narrow(df, wide)
+    open_ = {key: s for key, s in searches.items() if s.low != s.high}
+    found = {key: s.low for key, s in searches.items() if key not in open_}
+    if open_:
+        # All values inside the remaining brackets, ranked per bracket.
+        listed = list(open_.items())
+        hits = F.array(*[F.when(s.inside, F.struct(F.lit(i).alias("s"), s.value.alias("v"))) for i, (_, s) in enumerate(listed)])
+        ranks = F.array(*[F.lit(s.rank) for _, s in listed])
+        counts = df.select(F.inline(F.filter(hits, lambda h: h.isNotNull()))).groupBy("s", "v").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("s").orderBy("v"))
+        beyond = counts.select("s", "v", upto.alias("upto")).where(F.col("upto") > F.get(ranks, F.col("s")))
+        for r in beyond.groupBy("s").agg(F.min("v").alias("v")).collect():  # a row per bracket
+            found[listed[r["s"]][0]] = r["v"]
+    return found
+
+
+def _narrow(df: DataFrame, wide: list[_Search]) -> None:
+    margin = 2 / ACCURACY
+    sketches = [
+        F.percentile_approx(
+            F.when(s.inside, s.value),
+            [max(0.0, s.rank / s.size - margin), min(1.0, s.rank / s.size + margin)],
+            ACCURACY,
+        ).alias(f"q{i}")
+        for i, s in enumerate(wide)
+    ]
+    pivots = df.agg(*sketches).first()
+    aggregates = []
+    for i, s in enumerate(wide):
+        (a, b), v = pivots[f"q{i}"], s.value
+        parts = [(v >= s.low) & (v < a), v == a, (v > a) & (v < b), (v == b) & (v > a), (v > b) & (v <= s.high)]
+        for j, part in enumerate(parts):
+            inner = F.when(part, v)
+            aggregates += [F.count(inner).alias(f"n{i}_{j}"), F.min(inner).alias(f"lo{i}_{j}"), F.max(inner).alias(f"hi{i}_{j}")]
+    row = df.agg(*aggregates).first()
+    for i, s in enumerate(wide):
+        for j in range(5):
+            count = row[f"n{i}_{j}"]
+            if s.rank < count:
+                s.size, s.low, s.high = count, row[f"lo{i}_{j}"], row[f"hi{i}_{j}"]
                 break
-            rank -= count
-    return low
+            s.rank -= count

@@ -31,18 +31,22 @@ def arriving_records(
     return readers.typed(readers.null_tokens_to_null(raw, tokens), schema)
 
 
-def score_arrivals(
-    model: PipelineModel, records: DataFrame, path: str, checkpoint: str, k: int = 5,
-    keep: tuple[str, ...] = ("fqdn",), kind: str = "parquet",
-) -> StreamingQuery:
-    """Score all files present, batch by batch, then stop. Every operator of
-    the scoring model is stateless, so batches do not depend on each other."""
+def write_arrivals(records: DataFrame, path: str, checkpoint: str, kind: str = "parquet") -> StreamingQuery:
+    """Write all rows of the files present, batch by batch, then stop."""
     return (
-        wide(model.transform(records), k, keep)
-        .writeStream.format(kind)
+        records.writeStream.format(kind)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def score_arrivals(
+    model: PipelineModel, records: DataFrame, path: str, checkpoint: str, k: int = 5,
+    keep: tuple[str, ...] = ("fqdn",), kind: str = "parquet",
+) -> StreamingQuery:
+    """Score the files present. Every operator of the scoring model is
+    stateless, so batches do not depend on each other."""
+    return write_arrivals(wide(model.transform(records), k, keep), path, checkpoint, kind)
