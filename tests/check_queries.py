@@ -85,7 +85,15 @@ def main() -> int:
         i = args.index("-s")
         sf = args[i + 1]
         del args[i : i + 2]
-    spark, folder = make_session(), f"{ROOT}/sf{sf}"
+    folder = f"{ROOT}/sf{sf}"
+    if "--plain" in args:  # a session without any settings of ours
+        from pyspark.sql import SparkSession
+
+        args.remove("--plain")
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = make_session()
     con, checks, failed = connect(folder), oracle_sql(), []
     for name, q in queries().items():
         if args and not any(a in name for a in args):

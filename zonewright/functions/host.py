@@ -110,23 +110,27 @@ def _by_length(rules: Sequence[str], drop: str) -> dict[int, list[str]]:
     return found
 
 
-def suffix_length(lowered: Column, labels: Column, rules: Sequence[str]) -> Column:
+def longest_rule(rules: Sequence[str]) -> int:
+    return max((r.count(".") + 1 for r in rules), default=1)
+
+
+def suffix_length(endings: Mapping[int, Column], labels: Column, rules: Sequence[str]) -> Column:
     """How many closing labels form the public suffix, 0 without a rule.
 
-    The longest rule wins and an exception beats all. Rules have few labels,
-    so this is a short chain of hashed IN-set tests over the host's endings.
+    ``endings[j]`` holds the last j labels in lower case. The longest rule
+    wins and an exception beats all. Rules have few labels, so this is a short
+    chain of hashed IN-set tests.
     """
     exact = _by_length([r for r in rules if r[:1] not in "*!"], "")
     wild = _by_length([r for r in rules if r.startswith("*.")], "*.")
     exceptions = _by_length([r for r in rules if r.startswith("!")], "!")
-    longest = max((*exact, *wild, *exceptions, 1))
-    ends_in = lambda j, names: (labels >= j) & _labels(lowered, -j).isin(names)
+    ends_in = lambda j, names: (labels >= j) & endings[j].isin(names)
     tests: list[tuple[Column, int]] = [(ends_in(j, exceptions[j]), j - 1) for j in sorted(exceptions, reverse=True)]
-    for j in range(longest, 0, -1):
+    for j in sorted(endings, reverse=True):
         if j in exact:
             tests.append((ends_in(j, exact[j]), j))
         if j in wild:
-            tests.append(((labels >= j) & _labels(lowered, 1 - j).isin(wild[j]), j))
+            tests.append(((labels >= j) & endings[j - 1].isin(wild[j]), j))
     length = F.lit(0)
     for test, value in reversed(tests):
         length = F.when(test, value).otherwise(length)
@@ -151,10 +155,17 @@ def with_name_parts(
     out = df.withColumns(
         {host.format(o): _host_of(F.coalesce(F.col(c), F.lit(""))) for c, o in columns.items()}
     )
-    out = out.withColumns({size.format(o): count_char(F.col(host.format(o)), ".") + 1 for o in columns.values()})
+    # Each projection computes what the next one mentions more than once.
+    ending = {j: "__{}_e" + str(j) for j in range(1, longest_rule(rules) + 1)}
+    new = {size.format(o): count_char(F.col(host.format(o)), ".") + 1 for o in columns.values()}
+    for j, name in ending.items():
+        new.update({name.format(o): F.lower(_labels(F.col(host.format(o)), -j)) for o in columns.values()})
+    out = out.withColumns(new)
     out = out.withColumns(
         {
-            length.format(o): suffix_length(F.lower(host.format(o)), F.col(size.format(o)), rules)
+            length.format(o): suffix_length(
+                {j: F.col(name.format(o)) for j, name in ending.items()}, F.col(size.format(o)), rules
+            )
             for o in columns.values()
         }
     )
@@ -168,7 +179,7 @@ def with_name_parts(
             F.when(whole, "").otherwise(_labels(h, F.greatest(n - k - 1, F.lit(0)))).alias("subdomain"),
         )
 
-    scratch = [c.format(o) for o in columns.values() for c in (host, size, length)]
+    scratch = [c.format(o) for o in columns.values() for c in (host, size, length, *ending.values())]
     return out.withColumns({o: parts(o) for o in columns.values()}).drop(*scratch)
 
 
