@@ -43,11 +43,15 @@ def hold(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame:
     a broadcast join (or not). A larger table stays distributed: it is
     checkpointed to the shared folder and joins as any big table does.
     """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows <= limit:
-        return df.sparkSession.createDataFrame(rows, schema=df.schema)
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    df = df.persist()  # computed once, whichever way it goes on
+    try:
+        rows = df.limit(limit + 1).toArrow()
+        if rows.num_rows <= limit:
+            return df.sparkSession.createDataFrame(rows, schema=df.schema)
+        shared_folder(df.sparkSession)
+        return df.checkpoint()
+    finally:
+        df.unpersist()
 
 
 class Stage(Params, MLReadable, MLWritable):

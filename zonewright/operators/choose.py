@@ -167,7 +167,7 @@ class FeatureSelector(Estimator, Stage):
 
     def _fit(self, df: DataFrame) -> "FeatureSelectorModel":
         features, label = self.get("features"), self.get("label")
-        data = df.select(features, *([label] if label in df.columns else []))
+        data = df.select(features, *([label] if label in df.columns else [])).persist()
         n, sample_var = data.select(
             F.count("*"), Summarizer.variance(F.col(features))
         ).first()
@@ -193,6 +193,7 @@ class FeatureSelector(Estimator, Stage):
             best = sorted(kept, key=lambda i: (-found.get(i, 0.0), i))[:limit]
             kept = np.array(sorted(best))
             scores = {names[i]: found.get(i, 0.0) for i in kept}
+        data.unpersist()
         return FeatureSelectorModel(**self.settings(), indices=[int(i) for i in kept], scores=scores)
 
 

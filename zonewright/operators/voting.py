@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonewright.operators.base import hold
+
 
 def normalized_weights(weights: Mapping[str, float]) -> dict[str, float]:
     """Weights that sum to 1 (unchanged if they sum to 0)."""
@@ -87,7 +89,7 @@ def combined_importance(importances: DataFrame, weights: DataFrame) -> DataFrame
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, class_weight)``: balanced weights N / (k * n)."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    counts = hold(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")))
     totals = counts.agg(F.sum("n"), F.count("*")).first()
     return counts.withColumn("class_weight", F.lit(float(totals[0] or 0)) / (F.lit(totals[1]) * F.col("n")))
 

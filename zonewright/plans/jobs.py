@@ -107,7 +107,10 @@ def train(
         extra["search"], extra["best_params"] = table, best
         options.setdefault("members", [{"type": trial_kind, "weight": 1.0, "options": best}])
     model = M.Ensemble(n_classes=n_classes, seed=seed, **options).fit(fit_rows)
-    tested = model.transform(ready.where("split = 'test'")).persist()
+    tested = model.transform(ready.where("split = 'test'")).drop("features").persist()
+    tested.count()  # kept for the report tables, which are computed on demand
+    parts.unpersist()
+    ready.unpersist()
     report = evaluation(tested, n_classes, key)
     report["importance"] = model.importance_table(df, names)
     classes = [r["label"] for r in fitted_cleaner.index.orderBy("idx").collect()]
