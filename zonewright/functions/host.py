@@ -114,23 +114,29 @@ def longest_rule(rules: Sequence[str]) -> int:
     return max((r.count(".") + 1 for r in rules), default=1)
 
 
-def suffix_length(endings: Mapping[int, Column], labels: Column, rules: Sequence[str]) -> Column:
+def _is_one_of(column: str, names: Sequence[str]) -> Column:
+    # As SQL text: one parse instead of a driver call per name.
+    quoted = ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
+    return F.expr(f"`{column}` IN ({quoted})")
+
+
+def suffix_length(endings: Mapping[int, str], labels: Column, rules: Sequence[str]) -> Column:
     """How many closing labels form the public suffix, 0 without a rule.
 
-    ``endings[j]`` holds the last j labels in lower case. The longest rule
+    Column ``endings[j]`` holds the last j labels in lower case. The longest rule
     wins and an exception beats all. Rules have few labels, so this is a short
     chain of hashed IN-set tests.
     """
     exact = _by_length([r for r in rules if r[:1] not in "*!"], "")
     wild = _by_length([r for r in rules if r.startswith("*.")], "*.")
     exceptions = _by_length([r for r in rules if r.startswith("!")], "!")
-    ends_in = lambda j, names: (labels >= j) & endings[j].isin(names)
+    ends_in = lambda j, names: (labels >= j) & _is_one_of(endings[j], names)
     tests: list[tuple[Column, int]] = [(ends_in(j, exceptions[j]), j - 1) for j in sorted(exceptions, reverse=True)]
     for j in sorted(endings, reverse=True):
         if j in exact:
             tests.append((ends_in(j, exact[j]), j))
         if j in wild:
-            tests.append(((labels >= j) & endings[j - 1].isin(wild[j]), j))
+            tests.append(((labels >= j) & _is_one_of(endings[j - 1], wild[j]), j))
     length = F.lit(0)
     for test, value in reversed(tests):
         length = F.when(test, value).otherwise(length)
@@ -164,7 +170,7 @@ def with_name_parts(
     out = out.withColumns(
         {
             length.format(o): suffix_length(
-                {j: F.col(name.format(o)) for j, name in ending.items()}, F.col(size.format(o)), rules
+                {j: name.format(o) for j, name in ending.items()}, F.col(size.format(o)), rules
             )
             for o in columns.values()
         }
