@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from zonewright.llm.common import WORD, key_of, text_of
 
-RANGE_ROWS = 1024
+RANGE_ROWS = 256
 KEY_BITS = 60
 
 
