@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonewright.llm import exact_dedup, mixing, simhash
-from zonewright.llm.common import table
+from zonewright.llm import chat, exact_dedup, licenses, mixing, neighbours, ngrams, pieces, simhash, suffixes, toxicity
+from zonewright.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -23,6 +24,51 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op1_chat_format",
+    r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, '\\|<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|\[INST\]|\[/INST\]|<s>|</s>|<<SYS>>|<</SYS>>|<\|endoftext\|>' AS control FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|><|im_sep|><|im_end|>') + length(role) + len(regexp_extract_all(role, control)) + length(text) + len(regexp_extract_all(text, control))) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+""",
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.conversations(given.unionByName(own)))
+
+
+@query("op2_lm_scores")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.score(table(spark, folder, "documents"))
+
+
+@query("op3_neighbours")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@query("op4_licenses")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op5_pieces")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), pieces.load())
+
+
+@query("op6_repeated_strings")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rest = suffixes.deduplicated(table(spark, folder, "documents"))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op7_exact_dedup",
     r"""
@@ -41,6 +87,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.assign(table(spark, folder, "documents"))
 
 
+def in_training(id_col: str):
+    return remainder(id_col, 4) != 2
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    lexicon = toxicity.learn(docs, table(spark, folder, "labels"), in_training)
+    return toxicity.score(docs, lexicon).select("doc_id", (~in_training("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query(
     "op10_mixing",
     r"""
