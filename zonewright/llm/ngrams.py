@@ -197,12 +197,21 @@ class Plan:
 
     def place(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
         out = (contexts % np.uint64(self.shards)).astype(np.int64)
-        for h, k in self.spread.items():
-            own = np.flatnonzero(contexts == np.uint64(h))
-            out[own] = (out[own] + (successors[own] % np.uint64(k)).astype(np.int64)) % self.shards
+        if self.spread:
+            heavy = np.array(sorted(self.spread), np.uint64)
+            ways = np.array([self.spread[int(h)] for h in heavy], np.uint64)
+            own, which = members(contexts, heavy)
+            out[own] = (out[own] + (successors[own] % ways[which]).astype(np.int64)) % self.shards
         return out
 
 
+def members(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values that are in the sorted ``known``, and where there."""
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    own = np.flatnonzero(known[at] == values)
+    return own, at[own]
+
+
 class Part:
     """The tokens of some texts: bigrams in the order of shard, context and
     successor, which depends on the texts only."""
@@ -418,9 +427,11 @@ def score_part(part: Part, answers: dict[int, tuple], totals: Totals):
         local[at:b] = np.repeat(total, sizes)
         context_total[at:b], kinds[at:b], codes[at:b] = local[at:b], np.repeat(kind, sizes), code
         at = b
-    for h, (total, kind) in totals.heavy.items():
-        own = np.flatnonzero(part.context == np.uint64(h))
-        context_total[own], kinds[own] = total, kind
+    if totals.heavy:
+        heavy = np.array(sorted(totals.heavy), np.uint64)
+        facts = np.array([totals.heavy[int(h)] for h in heavy], np.int64)
+        own, which = members(part.context, heavy)
+        context_total[own], kinds[own] = facts[which, 0], facts[which, 1]
     safe = np.maximum(context_total, 1)
     higher = restored(codes) * local / safe
     rest = np.where(context_total > 0, DISCOUNT * kinds / safe, 1.0)
