@@ -110,12 +110,14 @@ class Sequence:
         at[inside] = self._bucket(top[inside])
         end[inside] = self._bucket(top[inside] + 1)
         low = values & np.uint64((1 << self.shift) - 1)
-        rows = np.flatnonzero(at < end)
-        while len(rows):  # buckets hold one or two values on average
-            mine = self._value(at[rows])
-            rows = rows[mine < low[rows]]
-            at[rows] += 1
-            rows = rows[at[rows] < end[rows]]
+        stop = end.copy()
+        rows = np.flatnonzero(at < stop)
+        while len(rows):  # binary search inside the buckets
+            middle = (at[rows] + stop[rows]) // 2
+            less = self._value(middle) < low[rows]
+            at[rows] = np.where(less, middle + 1, at[rows])
+            stop[rows] = np.where(less, stop[rows], middle)
+            rows = rows[at[rows] < stop[rows]]
         out = np.full(len(values), -1, np.int64)
         ok = np.flatnonzero(at < end)
         same = self._value(at[ok]) == low[ok]
