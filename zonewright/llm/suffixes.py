@@ -388,13 +388,16 @@ def _contexts(length: int, gram: int, hot: frozenset[int]):
 
         def out():
             rows = []
+            covered: dict[int, list[tuple[int, int]]] = {}
             for (key, place, context), where in seen.items():
                 if len(where) == 1:
                     rows.append((key, 0, *where[0], place, context))
                 else:  # equal surroundings: all their strings repeat, and one row speaks for them
                     rows.append((key, 0, None, *where[0][1:], place, context))
-                    rows += [(doc, 1, doc, a, b + length, None, None) for doc, a, b in where]
+                    for doc, a, b in where:
+                        covered.setdefault(doc, []).append((a, b + length))
             seen.clear()
+            rows += [(doc, 1, doc, a, b, None, None) for doc, spans in covered.items() for a, b in merged(spans)]
             for i in range(0, len(rows), 5000):
                 columns = zip(*rows[i : i + 5000])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -466,20 +469,26 @@ def _compare(length: int):
     return step
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching stretches as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """(removed bytes, maximal removed runs, rest)."""
-    removed = runs = 0
+    spans = merged(spans)
     kept, at = [], 0
-    for a, b in sorted(spans):
-        if a > at or not runs:
-            runs += 1
-            kept.append(text[at:a])
-            removed += b - a
-        elif b > at:
-            removed += b - at
-        at = max(at, b)
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
     kept.append(text[at:])
-    return removed, runs, b"".join(kept)
+    return sum(b - a for a, b in spans), len(spans), b"".join(kept)
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -504,7 +513,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     contexts = rows.select("doc", "bytes").join(wanted, "doc").mapInArrow(
         _contexts(length, gram, hot), "key long, kind int, doc long, a long, b long, place int, context binary")
     contexts = contexts.repartition(parts, "key").sortWithinPartitions("key")
-    found = contexts.mapInArrow(_compare(length), "doc long, a long, b long").distinct()
+    found = contexts.mapInArrow(_compare(length), "doc long, a long, b long")
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return rows.join(spans, "doc", "left").select(id_col, "bytes", "spans")
 
