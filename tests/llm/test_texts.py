@@ -229,7 +229,7 @@ def plain_scores(rows):
 @pytest.mark.parametrize("tiny", [False, True])
 def test_ngram_scores(frame, corpus, monkeypatch, tiny):
     if tiny:  # many chunks, parts, shards and spread contexts
-        for name, value in (("CHUNK_BYTES", 20_000), ("CHUNK_TOKENS", 300), ("SHARD_TOKENS", 2000), ("HEAVY", 64)):
+        for name, value in (("CHUNK_BYTES", 20_000), ("PACK_BYTES", 3000), ("SHARD_TOKENS", 2000), ("HEAVY", 64)):
             monkeypatch.setattr(ngrams, name, value)
     rows = [r for r in corpus if r[0] is not None] + [doc(9000 + i, words(random.Random(i), 50, 30)) for i in range(80)]
     got = sorted(map(tuple, ngrams.score(frame(rows, DOCS)).collect()))

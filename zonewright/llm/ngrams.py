@@ -5,7 +5,7 @@ p(w|v) = max(c(vw) - D, 0) / c(v) + D * t(v) / c(v) * p(w), t(v) the number of
 different words seen after v. The mass of unseen words is exact, so the
 probabilities after each v add up to one (but for the quantisation).
 
-Documents are scored in chunks of bounded size. A chunk asks for its distinct
+Documents are scored in chunks of about 12 MB, dealt by hash and packed. A chunk asks for its distinct
 bigrams only: sorted lists of context and successor hashes, dealt to the shard
 of the context. A shard adds up the counts of all chunks, builds its trie, and
 answers each chunk by looking its lists up there: counts per context, a code of
@@ -27,14 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonewright.llm.common import held, remainder, text_of
 
 DISCOUNT = 0.75
-CHUNK_BYTES = 16 << 20
-CHUNK_TOKENS = 4_000_000
+CHUNK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 SHARD_TOKENS = 2_000_000
 HEAVY = 1024
 SUCCESSOR_BITS = 40
@@ -216,43 +217,60 @@ def members(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 class Part:
     """The tokens of some texts: bigrams in the order of shard, context and
-    successor, which depends on the texts only."""
+    successor, which depends on the texts only, not on their order. Rows that
+    repeat id and text are kept once, with their number."""
 
     def __init__(self) -> None:
         self.vocabulary: dict[bytes, int] = {}
         self.pieces: list[np.ndarray] = []
+        self.ids: list[int | None] = []
         self.trains: list[bool] = []
-        self.tokens = 0
-
-    def add(self, text: bytes, train: bool) -> None:
+        self.repeats: list[int] = []
+        self.seen: dict[tuple, int] = {}
+
+    def add(self, key: int | None, text: bytes, train: bool, repeats: int = 1) -> None:
+        name = (key, len(text), xxhash.xxh64_intdigest(text))
+        if (at := self.seen.setdefault(name, len(self.ids))) < len(self.ids):
+            self.repeats[at] += repeats
+            return
         known = self.vocabulary
         words = text.lower().split()
-        self.pieces.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        self.pieces.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+        self.ids.append(key)
         self.trains.append(train)
-        self.tokens += len(words) + 1
+        self.repeats.append(repeats)
 
     def settle(self, plan: Plan) -> None:
         v = len(self.vocabulary)
         digest = xxhash.xxh64_intdigest
         self.hashes = np.concatenate((np.fromiter((digest(w) for w in self.vocabulary), np.uint64, v), [END, START])).astype(np.uint64)
-        end, start = v, v + 1
-        sizes = np.array([len(p) + 1 for p in self.pieces])
+        self.vocabulary.clear()
+        self.seen.clear()
+        self.end = v
+        start = v + 1
+        sizes = np.array([len(p) + 1 for p in self.pieces], np.int64)
         self.ends = np.cumsum(sizes)
-        self.token = np.full(self.tokens, end, np.int64)
-        inner = np.ones(self.tokens, bool)
+        tokens = int(self.ends[-1]) if len(sizes) else 0
+        self.token = np.full(tokens, self.end, np.int32)
+        inner = np.ones(tokens, bool)
         inner[self.ends - 1] = False
-        self.token[inner] = np.concatenate(self.pieces) if self.pieces else np.zeros(0, np.int64)
-        before = np.empty(self.tokens, np.int64)
+        self.token[inner] = np.concatenate(self.pieces) if self.pieces else np.zeros(0, np.int32)
+        self.pieces = []
+        before = np.empty(tokens, np.int32)
         before[1:] = self.token[:-1]
         before[self.ends - sizes] = start
-        pairs, self.pair_of = np.unique(before * (v + 2) + self.token, return_inverse=True)
-        self.before, after = pairs // (v + 2), pairs % (v + 2)
-        train = np.repeat(np.array(self.trains, bool), sizes)
-        counts = np.bincount(self.pair_of[train], minlength=len(pairs))
-        context, successor = self.hashes[self.before], self.hashes[after] >> np.uint64(64 - SUCCESSOR_BITS)
+        pairs, pair_of = np.unique(before.astype(np.int64) * (v + 2) + self.token, return_inverse=True)
+        del before, inner
+        weight = np.where(self.trains, self.repeats, 0)
+        counts = np.bincount(pair_of, weights=np.repeat(weight, sizes), minlength=len(pairs)).astype(np.int64)
+        context, successor = self.hashes[pairs // (v + 2)], self.hashes[pairs % (v + 2)] >> np.uint64(64 - SUCCESSOR_BITS)
         shard = plan.place(context, successor)
-        self.order = np.lexsort((successor, context, shard))
-        self.shard, self.context, self.successor, self.count = shard[self.order], context[self.order], successor[self.order], counts[self.order]
+        order = np.lexsort((successor, context, shard))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        self.pair_of = back[pair_of]
+        self.before = (pairs // (v + 2))[order].astype(np.int32)
+        self.shard, self.context, self.successor, self.count = shard[order], context[order], successor[order], counts[order]
 
     def messages(self):
         """(shard, contexts, sizes, successors, counts) per shard asked."""
@@ -281,22 +299,74 @@ def unsmall(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
+def squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def released(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+# ---- texts in chunks
+
+
+PACKED = "chunk long, ids binary, sizes binary, trains binary, texts binary"
+PACKED_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+NO_ID = np.iinfo(np.int64).min
+
+
+def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, id, text, train) rows to one compressed row per chunk and
+    ``PACK_BYTES`` of a task's texts."""
+    waiting: dict[int, list[tuple]] = {}
+    size = 0
+    squeeze = zstandard.ZstdCompressor(level=1)
+
+    def out():
+        rows = []
+        for chunk, docs in waiting.items():
+            ids, texts, trains = zip(*docs)
+            rows.append((chunk, np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(),
+                         np.array(trains, np.uint8).tobytes(), squeeze.compress(b"".join(texts))))
+        waiting.clear()
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), PACKED_TYPES)], names=[x.split()[0] for x in PACKED.split(", ")])
+
+    for part in parts:
+        for chunk, key, text, train in zip(*part.columns):
+            text = text.as_py()
+            waiting.setdefault(chunk.as_py(), []).append((key.as_py(), text, train.as_py()))
+            size += len(text) + 100
+            if size >= PACK_BYTES:
+                yield from out()
+                size = 0
+    if waiting:
+        yield from out()
+
+
+def _unpack(ids: bytes, sizes: bytes, trains: bytes, texts: bytes):
+    sizes = np.frombuffer(sizes, "<i8").tolist()
+    raw = zstandard.ZstdDecompressor().decompress(texts, max_output_size=max(1, sum(sizes)))
+    at = 0
+    for key, n, train in zip(np.frombuffer(ids, "<i8").tolist(), sizes, trains):
+        yield None if key == NO_ID else key, raw[at : at + n], bool(train)
+        at += n
+
+
 def parts_of(rows, plan: Plan):
-    """Settled parts of (chunk, id, text, train) rows sorted by chunk; a part
-    ends with its chunk or when it is full."""
-    part, at, number, ids = Part(), None, 0, []
-    for chunk, key, text, train in rows:
-        if at is not None and (chunk != at or part.tokens >= CHUNK_TOKENS):
+    """(chunk, settled part) of (chunk, ids, sizes, trains, texts) rows sorted by chunk."""
+    part, at = Part(), None
+    for chunk, *packed in rows:
+        if at is not None and chunk != at:
             part.settle(plan)
-            yield at, number, part, ids
-            number = number + 1 if chunk == at else 0
-            part, ids = Part(), []
+            yield at, part
+            part = Part()
         at = chunk
-        ids.append((key, not train))
-        part.add(text, train)
-    if ids:
+        for key, text, train in _unpack(*packed):
+            part.add(key, text, train)
+    if at is not None:
         part.settle(plan)
-        yield at, number, part, ids
+        yield at, part
 
 
 # ---- Spark steps
@@ -335,15 +405,15 @@ def _frequent(counts: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
 
 def _rows(parts: Iterator[pa.RecordBatch]):
     for part in parts:
-        for row in zip(*part.columns[:4]):
+        for row in zip(*part.columns):
             yield tuple(x.as_py() for x in row)
 
 
 def _messages(plan: Plan):
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, number, part, _ in parts_of(_rows(parts), plan):
+        for chunk, part in parts_of(_rows(parts), plan):
             for shard, contexts, sizes, successors, counts in part.messages():
-                row = [0, shard, chunk << 24 | number, contexts.astype("<u8").tobytes(), small(sizes), packed(successors, SUCCESSOR_BITS // 8), small(counts)]
+                row = [0, shard, chunk, contexts.astype("<u8").tobytes(), small(sizes), packed(successors, SUCCESSOR_BITS // 8), small(counts)]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=NAMES)
 
     return step
@@ -389,7 +459,7 @@ def _answers(heavy: frozenset[int]):
                 yield row(3, int((~is_heavy & (contexts != START)).sum()), 0, None, None, None, None)
                 for part, c, s, u, _ in asked:
                     total, kinds, codes = trie.ask(c, s, u)
-                    yield row(1, shard, part, None, total.astype("<i8").tobytes(), kinds.astype("<i8").tobytes(), codes.astype("<u2").tobytes())
+                    yield row(1, shard, part, None, squeezed(small(total)), squeezed(small(kinds)), squeezed(codes.astype("<u2").tobytes()))
 
         at, asked = None, []
         for batch in parts:
@@ -415,20 +485,21 @@ class Totals:
     heavy: dict[int, tuple[int, int]]
 
 
-def score_part(part: Part, answers: dict[int, tuple], totals: Totals):
+def score_part(part: Part, answers: dict[int, tuple[bytes, bytes, bytes]], totals: Totals):
     """Per text: (tokens, known, base score, score)."""
-    n = len(part.order)
+    n = len(part.context)
     context_total, kinds, local = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     codes = np.zeros(n, np.uint16)
     at = 0
     for shard, contexts, sizes, successors, _ in part.messages():
-        total, kind, code = answers[shard]
-        if len(total) != len(contexts) or len(code) != len(successors):
-            raise ValueError("answer of another chunk")
+        total, kind, code = (released(x) for x in answers[shard])
+        if len(code) != 2 * len(successors):
+            raise ValueError("answer to another question")
         b = at + len(successors)
-        local[at:b] = np.repeat(total, sizes)
-        context_total[at:b], kinds[at:b], codes[at:b] = local[at:b], np.repeat(kind, sizes), code
+        local[at:b] = np.repeat(unsmall(total, len(contexts)), sizes)
+        kinds[at:b], codes[at:b] = np.repeat(unsmall(kind, len(contexts)), sizes), np.frombuffer(code, "<u2")
         at = b
+    context_total[:] = local
     if totals.heavy:
         heavy = np.array(sorted(totals.heavy), np.uint64)
         facts = np.array([totals.heavy[int(h)] for h in heavy], np.int64)
@@ -438,18 +509,15 @@ def score_part(part: Part, answers: dict[int, tuple], totals: Totals):
     higher = restored(codes) * local / safe
     rest = np.where(context_total > 0, DISCOUNT * kinds / safe, 1.0)
     count = np.zeros(len(part.hashes), np.int64)
-    count[part.before[part.order]] = context_total
-    end = len(part.vocabulary)
-    count[end] = totals.texts
+    count[part.before] = context_total
+    count[part.end] = totals.texts
     base = (count + 1) / (totals.tokens + totals.words + 1)
-    back = np.empty(n, np.int64)
-    back[part.order] = np.arange(n)
-    pair = back[part.pair_of]
     p1 = base[part.token]
-    scores = np.log10(higher[pair] + rest[pair] * p1)
-    starts = part.ends - np.diff(part.ends, prepend=0)
-    sums = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-    return np.diff(part.ends, prepend=0), sums((count[part.token] > 0).astype(np.int64)), sums(np.log10(p1)), sums(scores)
+    scores = np.log10(higher[part.pair_of] + rest[part.pair_of] * p1)
+    sizes = np.diff(part.ends, prepend=0)
+    starts = part.ends - sizes
+    sums = lambda x: np.add.reduceat(x, starts)
+    return sizes, sums((count[part.token] > 0).astype(np.int64)), sums(np.log10(p1)), sums(scores)
 
 
 def _scores(plan: Plan, totals: Totals, id_col: str):
@@ -460,20 +528,19 @@ def _scores(plan: Plan, totals: Totals, id_col: str):
         answers: dict[int, dict[int, tuple]] = {}
 
         def texts():
-            for part in parts:
-                for i in range(0, part.num_rows, 500):
-                    own = part.slice(i, 500)
-                    for chunk, kind, key, text, train, number, shard, total, kinds, codes in zip(*[c.to_pylist() for c in own.columns]):
-                        if kind == 0:
-                            found = (np.frombuffer(total, "<i8"), np.frombuffer(kinds, "<i8"), np.frombuffer(codes, "<u2"))
-                            answers.setdefault(number, {})[shard] = found
-                        else:
-                            yield chunk, key, text, train
-
-        for chunk, number, part, ids in parts_of(texts(), plan):
-            n, known, base, score = score_part(part, answers.pop(chunk << 24 | number), totals)
-            columns = [pa.array([k for k, _ in ids], pa.int64()), pa.array([h for _, h in ids]), pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for chunk, kind, shard, one, two, three, four in _rows(parts):
+                if kind == 0:
+                    answers.setdefault(chunk, {})[shard] = (one, two, three)
+                else:
+                    yield chunk, one, two, three, four
+
+        for chunk, part in parts_of(texts(), plan):
+            n, known, base, score = score_part(part, answers.pop(chunk), totals)
+            rows = np.repeat(np.arange(len(part.ids)), part.repeats)
+            for i in range(0, len(rows), 50_000):
+                r = rows[i : i + 50_000]
+                columns = [pa.array([part.ids[k] for k in r], pa.int64()), pa.array([not part.trains[k] for k in r]), *(pa.array(c[r]) for c in (n, known, base, score))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return step
 
@@ -500,9 +567,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = size // CHUNK_BYTES + 1
-    dealt = rows.withColumn("h", F.xxhash64("id", "text")).withColumn("chunk", F.pmod("h", F.lit(chunks)))
-    order = ["chunk", "id", "h"]
-    asking = dealt.select("chunk", "id", "text", "train", "h").repartition(parts, "chunk").sortWithinPartitions(*order)
+    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).alias("chunk"), "id", "text", "train").mapInArrow(_pack, PACKED)
+    asking = dealt.repartition(parts, "chunk").sortWithinPartitions("chunk")
     messages = asking.mapInArrow(_messages(plan), MESSAGE).repartition(parts, "place").sortWithinPartitions("place", "part")
     answers = held(messages.mapInArrow(_answers(split), MESSAGE))
     facts = answers.where("kind = 2").select("place", "sizes").collect()  # heavy contexts times their shards
@@ -516,15 +582,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     words += sum(1 for h in heavy_totals if h != int(START)) + (texts > 0)
     totals = Totals(train_tokens, texts, words, heavy_totals)
 
-    null = F.lit(None)
-    chunk_of = F.shiftright("part", 24)
+    # In one table, sorted by chunk: (chunk, 0, shard, answer) and (chunk, 1, null, packed texts).
     one = answers.where("kind = 1").select(
-        chunk_of.alias("chunk"), F.lit(0).alias("kind"), null.cast("long").alias("id"), null.cast("binary").alias("text"), null.cast("boolean").alias("train"),
-        F.col("part").alias("number"), F.col("place").alias("shard"), F.col("sizes").alias("total"), F.col("successors").alias("kinds"), F.col("counts").alias("codes"), F.lit(0).cast("long").alias("h"))
-    two = dealt.select(
-        "chunk", F.lit(1).alias("kind"), "id", "text", "train", null.cast("long").alias("number"), null.cast("long").alias("shard"),
-        null.cast("binary").alias("total"), null.cast("binary").alias("kinds"), null.cast("binary").alias("codes"), "h")
-    met = one.unionByName(two).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "id", "h").drop("h")
+        F.col("part").alias("chunk"), F.lit(0).alias("kind"), F.col("place").alias("shard"),
+        F.col("sizes").alias("one"), F.col("successors").alias("two"), F.col("counts").alias("three"), F.lit(None).cast("binary").alias("four"))
+    two = dealt.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("shard"), F.col("ids").alias("one"), F.col("sizes").alias("two"), F.col("trains").alias("three"), F.col("texts").alias("four"))
+    met = one.unionByName(two).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     out = met.mapInArrow(_scores(plan, totals, id_col), schema)
     return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
