@@ -47,7 +47,7 @@ def test_one_hot_and_unknown_strategy(spark, tmp_path):
     model = encode.CategoryEncoder(columns=["c"], strategy="onehot").fit(df)
     model.write().overwrite().save(str(tmp_path / "e"))
     again = encode.CategoryEncoderModel.load(str(tmp_path / "e"))
-    rows = {r["c"]: r["c_onehot"] for r in again.transform(df).collect()}
+    rows = {r["c"]: r["c_onehot"].toArray().tolist() for r in again.transform(df).collect()}
     assert rows == {"A": [1, 0, 0], "CNAME": [0, 1, 0], "MX": [0, 0, 1], None: [0, 0, 0]}
     with pytest.raises(ValueError):
         encode.CategoryEncoder(columns=["c"], strategy="other").fit(df)
@@ -323,3 +323,91 @@ def test_search_samples_within_its_space():
     assert a == b and all(0.01 <= p["learning_rate"] <= 0.3 and 3 <= p["max_depth"] <= 12 for p in a)
     with pytest.raises(ValueError):
         M.sample_parameters("bayes", 1)
+
+
+def test_selection_scores_with_absent_classes(spark):
+    """Classes without any non-zero element, against the plain formulas."""
+    rng = np.random.default_rng(3)
+    y = np.repeat(np.arange(8), 25)
+    x = np.where((y < 3) & (rng.random(200) < 0.6), rng.integers(1, 4, 200), 0).astype(float)
+    df = matrix(spark, [x, rng.normal(size=200), y])
+    got = {r["i"]: r["score"] for r in choose.vector_anova(df, "features", "c2", [0, 1]).collect()}
+    groups = [x[y == k] for k in range(8)]
+    between = sum(len(g) * (g.mean() - x.mean()) ** 2 for g in groups) / 7
+    within = sum(((g - g.mean()) ** 2).sum() for g in groups) / 192
+    assert got[0] == pytest.approx(between / within)
+    info = {r["i"]: r["score"] for r in choose.vector_information(df, "features", "c2", [0]).collect()}
+    want = 0.0
+    for value in np.unique(x):
+        for k in range(8):
+            n = ((x == value) & (y == k)).sum()
+            want += n / 200 * np.log(n * 200 / ((x == value).sum() * 25)) if n else 0
+    assert info[0] == pytest.approx(want)
+
+
+def test_correlation_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(80, 4))
+    columns = [base[:, i % 4] * (1 + i / 10) + rng.normal(size=80) * (0.01 if i % 3 else 2) for i in range(12)]
+    df = matrix(spark, columns)
+    whole = choose.strong_pairs(df, "features", np.arange(12), 0.9)
+    assert whole == choose.strong_pairs(df, "features", np.arange(12), 0.9, block=5) and whole
+    c = np.abs(np.corrcoef(np.array(columns))) > 0.9
+    assert whole == {i: [j for j in range(i + 1, 12) if c[i, j]] for i in range(12) if c[i, i + 1 :].any()}
+
+
+def test_centroids_without_direction(spark):
+    table = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [2.0, 0.0])], "label int, centroid array<double>")
+    df = spark.createDataFrame([(1, [3.0, 0.1]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, None)], "id int, v array<double>")
+    for block in (1, 2, 100):
+        got = {r["id"]: r["nearest"] for r in score.nearest_centroid(df, "v", table, block=block).collect()}
+        assert got == {1: 2, 2: 3, 3: None, 4: None}
+    assert {r["nearest"] for r in score.nearest_centroid(df, "v", table.where("label = 1")).collect()} == {None}
+
+
+def test_zero_weights_give_nulls(spark):
+    df = spark.createDataFrame([([0.5, 0.5],)], "a array<double>")
+    assert df.select(voting.soft_vote({"a": F.col("a")}, {"a": 0.0}).alias("p")).first()["p"] == [None, None]
+
+
+def test_hash_versions_follow_the_content(spark, tmp_path):
+    store = sinks.ModelStore(spark, str(tmp_path / "m"), "hash")
+    df = spark.createDataFrame([(1.0,), (2.0,), (6.0,)], "x double")
+    fit = lambda rows, **more: PipelineModel([encode.NumericScaler(columns=["x"], **more).fit(rows)])
+    first = store.save(fit(df), "s")
+    assert store.save(fit(df), "s") == first
+    other = store.save(fit(df, method="minmax"), "s")
+    third = store.save(fit(df.where("x < 5")), "s")
+    assert len({first, other, third}) == 3 and set(store.versions("s")["s"]) == {first, other, third}
+    stamped = sinks.ModelStore(spark, str(tmp_path / "t"), "timestamp")
+    assert stamped.save(fit(df), "s") != stamped.save(fit(df), "s")
+    plain = sinks.ModelStore(spark, str(tmp_path / "p"))
+    plain.save(fit(df), "s", "1.0.0")
+    with pytest.raises(FileExistsError):
+        plain.save(fit(df), "s", "1.0.0")
+
+
+def test_every_class_gets_a_booster(spark):
+    rows = [(float(i % 60), float(i % 60), float(i)) for i in range(240)]
+    df = matrix(spark, [list(c) for c in zip(*rows)]).withColumnRenamed("c0", "label")
+    model = M.create_member("xgboost", maxIter=1, maxDepth=1, colsample_bytree=1.0, min_child_weight=1).fit(df)
+    assert len(model.children) == 60 and all(n.startswith("class_") for n in model.children)
+    with pytest.raises(ValueError, match="reg_alpha"):
+        M.create_member("xgboost", reg_alpha=0.1).fit(df)
+
+
+def test_class_weights_by_table_and_flag(spark):
+    rng = np.random.default_rng(7)
+    y = (rng.random(300) < 0.1).astype(float)
+    df = matrix(spark, [y * 0.5 + rng.normal(size=300), y]).withColumnRenamed("c1", "label")
+    df = df.withColumn("features", array_to_vector(F.array("c0")))
+    share = lambda **more: M.create_member("logistic", **more).fit(df).transform(df).agg(F.avg(F.get("probs", F.lit(1)))).first()[0]
+    plain, balanced = share(), share(class_weight="balanced")
+    assert balanced > plain + 0.1
+    assert share(is_unbalance=True) == pytest.approx(balanced)
+    assert share(class_weight={0: 1.0, 1: 9.0}) > plain + 0.1 and share(class_weight={0: 1.0}) == pytest.approx(plain, abs=1e-6)
+
+
+def test_stopping_round():
+    assert M.stopping_round([5, 4, 3, 3.5, 3.4, 2.0], 2) == 3
+    assert M.stopping_round([5, 4, 3, 3.5, 3.4, 2.0], 5) == 6

@@ -21,7 +21,7 @@ def test_agrees_with_sql(spark, duck, name):
     assert compare(spark, duck, FOLDER, name, queries()[name], CHECKS[name]) == []
 
 
-@pytest.mark.parametrize("name", ["e07_e09_feature_plan", "m03_logistic_member", "m16_importance_table", "d19_host_embeddings"])
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(CHECKS)))
 def test_gives_rows(spark, name):
     assert queries()[name](spark, FOLDER).count() > 0
 

@@ -181,30 +181,80 @@ def test_sampling(spark):
     assert over.where("c = 1").select("id").distinct().count() == 3
 
 
-@pytest.mark.parametrize("small", [0, 10, 300, 10**6])
-def test_exact_quantiles(spark, small):
-    """Hot values, negatives and nulls; by search and by aggregate."""
+def test_exact_quantiles(spark):
+    """Hot values, negatives and nulls."""
     rng = random.Random(7)
     values = [rng.choice([0.0, 0.0, 0.0, rng.gauss(0, 50), float(rng.randint(-5, 5))]) for _ in range(2000)]
     df = spark.createDataFrame([(v, None) for v in values] + [(None, None)], "x double, y double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.731, 0.99, 1.0]
-    got = quantiles.exact_quantiles(df, ["x", "y"], probs, small)
+    got = quantiles.exact_quantiles(df, ["x", "y"], probs)
     assert got["x"] == pytest.approx(list(np.quantile(values, probs)))
     assert got["x"][3] == pytest.approx(statistics.median(values))
     assert got["y"] == [None] * 7
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_quantiles_take_nan_as_null(spark, share):
+    rows = [(float("nan") if i < 100 * share else float(i),) for i in range(100)]
+    got = quantiles.exact_quantiles(spark.createDataFrame(rows, "x double"), ["x"], [0.0, 0.75, 1.0])["x"]
+    fine = [v for (v,) in rows if v == v]
+    assert got == (pytest.approx(list(np.quantile(fine, [0, 0.75, 1]))) if fine else [None] * 3)
+
+
 def test_positions_by_ranges(spark):
     df = spark.range(4000).select((F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("v"))
-    small = ranks.sorted_positions(df, ["g"], ["v"], "at").collect()
-    large = ranks.sorted_positions(df, ["g"], ["v"], "at", small=100).collect()
-    assert sorted(small) == sorted(large) and len(large) == 4000
-    whole = ranks.sorted_positions(df, [], ["v"], "at", small=100).orderBy("v").collect()
+    rows = ranks.sorted_positions(df, ["g"], ["v"], "at").collect()
+    for g in range(3):
+        assert [r["at"] for r in sorted((r for r in rows if r["g"] == g), key=lambda r: r["v"])] == list(range(len([r for r in rows if r["g"] == g])))
+    whole = ranks.sorted_positions(df, [], ["v"], "at").orderBy("v").collect()
     assert [r["at"] for r in whole] == list(range(4000))
-
-
-def test_hold_keeps_large_tables_distributed(spark):
-    assert sorted(r[0] for r in hold(spark.range(30), limit=10).collect()) == list(range(30))
+    assert ranks.sorted_positions(df.where("false"), [], ["v"], "at").count() == 0
+
+
+def test_hold_gives_the_same_rows(spark):
+    assert sorted(r[0] for r in hold(spark.range(30)).collect()) == list(range(30))
+    empty = hold(spark.createDataFrame([], "a string, b array<double>"))
+    assert empty.count() == 0 and empty.columns == ["a", "b"]
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('fqdn,record_type,record_data,appid\na.com,TXT,"v=spf1 ""x"", include:b",5\nb.com,TXT,"one\ntwo",6\n')
+    rows = {r["fqdn"]: r for r in readers.read_csv(spark, str(tmp_path)).collect()}
+    assert (rows["a.com"]["record_data"], rows["a.com"]["appid"]) == ('v=spf1 "x", include:b', 5)
+    assert (rows["b.com"]["record_data"], rows["b.com"]["appid"], len(rows)) == ("one\ntwo", 6, 2)
+    sinks_path = str(tmp_path / "out")
+    readers.read_csv(spark, str(tmp_path)).write.options(header=True, **readers.QUOTING).csv(sinks_path)
+    assert {r["record_data"] for r in readers.read_csv(spark, sinks_path).collect()} == {r["record_data"] for r in rows.values()}
+    (tmp_path / "b.csv").write_text("record_type,fqdn,record_data,appid\nA,c.com,1.1.1.1,7\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path)).collect()
+
+
+RULES = """// a list in the public notation
+shop
+bg
+uk
+nhs.uk
+jp
+*.kawasaki.jp
+!city.kawasaki.jp
+// ===BEGIN PRIVATE DOMAINS===
+pages.shop   trailing words are ignored
+// ===END PRIVATE DOMAINS===
+"""
+
+
+def test_suffix_rules_from_a_file(spark, tmp_path):
+    from zonewright.functions import host
+
+    (tmp_path / "rules.dat").write_text(RULES)
+    rules = readers.read_suffix_rules(tmp_path / "rules.dat")
+    assert rules == ("shop", "bg", "uk", "nhs.uk", "jp", "*.kawasaki.jp", "!city.kawasaki.jp")
+    assert "pages.shop" in readers.read_suffix_rules(tmp_path / "rules.dat", private=True)
+    hosts = {"www.foo.shop": ("shop", "foo"), "a.b.nhs.uk": ("nhs.uk", "b"), "x.city.kawasaki.jp": ("kawasaki.jp", "city"),
+             "x.y.z.kawasaki.jp": ("z.kawasaki.jp", "y"), "www.foo.bg": ("bg", "foo")}
+    df = host.with_name_parts(spark.createDataFrame([(h,) for h in hosts], "h string"), {"h": "p"}, rules)
+    assert {r["h"]: (r["p"]["suffix"], r["p"]["domain"]) for r in df.collect()} == hosts
 
 
 def issues(spark, rows, schema=RECORDS, **settings):

@@ -15,7 +15,6 @@ from zonewright import vocabulary as V
 
 IPV4_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{IPV4_OCTET}([.]{IPV4_OCTET}){{3}}$"
-MAX_SUFFIX_RULES = 50_000
 
 STRUCTURE_COLUMNS = (
     "fqdn_length", "fqdn_num_dots", "fqdn_num_hyphens", "fqdn_num_digits",
@@ -155,8 +154,6 @@ def with_name_parts(
     blank parts; an IPv4 literal is its own domain; without a matching rule
     the last label is the domain.
     """
-    if len(rules) > MAX_SUFFIX_RULES:
-        raise ValueError(f"{len(rules)} suffix rules; at most {MAX_SUFFIX_RULES} are supported")
     host, size, length = ("__{}_" + part for part in ("h", "n", "k"))
     out = df.withColumns(
         {host.format(o): _host_of(F.coalesce(F.col(c), F.lit(""))) for c, o in columns.items()}
@@ -229,7 +226,7 @@ def host_features(
 
 def is_valid_host(host: Column) -> Column:
     """Syntactic check: strict pattern first, then a lenient label check."""
-    strict = host.rlike(r"^([a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?[.])+[a-zA-Z]{2,}[.]?$")
+    strict = host.rlike(V.STRICT_HOST_PATTERN)
     labels = F.split(host, "[.]")
     lenient = (F.size(labels) >= 2) & F.forall(
         labels,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from typing import Any
 
 from pyspark.ml.param import Param, Params
@@ -16,14 +19,14 @@ from pyspark.ml.util import (
 )
 from pyspark.sql import DataFrame, SparkSession
 
-HELD_ROWS = 100_000
+_SCRATCH: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``; only a local session,
-    which has no other machine, gets a folder of its own.
+    which has no other machine, gets a folder of its own, removed at its end.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -31,27 +34,35 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="zonewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
-def hold(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame:
-    """Compute a small fitted table once, with a known size.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder. The part is
+    deleted when the driver's Python ends."""
+    folder = f"{shared_folder(spark)}/zonewright-{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        atexit.register(_remove, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
-    Up to ``limit`` rows become local data, whose true size lets Spark choose
-    a broadcast join (or not). A larger table stays distributed: it is
-    checkpointed to the shared folder and joins as any big table does.
-    """
-    df = df.persist()  # computed once, whichever way it goes on
-    try:
-        rows = df.limit(limit + 1).toArrow()
-        if rows.num_rows <= limit:
-            return df.sparkSession.createDataFrame(rows, schema=df.schema)
-        shared_folder(df.sparkSession)
-        return df.checkpoint()
-    finally:
-        df.unpersist()
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return  # the session has ended before
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Compute a fitted table once: it is written to the shared folder and read
+    back, whatever its size. The files' statistics let Spark choose the join."""
+    path = scratch_path(df.sparkSession, "held")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Stage(Params, MLReadable, MLWritable):
@@ -120,7 +131,7 @@ class _StageReader(MLReader):
         stage._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(stage, metadata)
         for name in metadata["tables"]:
-            stage.tables[name] = hold(self.sparkSession.read.parquet(f"{path}/tables/{name}"))
+            stage.tables[name] = self.sparkSession.read.parquet(f"{path}/tables/{name}")
         for name in metadata["children"]:
             stage.children[name] = DefaultParamsReader.loadParamsInstance(
                 f"{path}/children/{name}", self.sparkSession

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from zonewright.operators.base import Stage, hold
 from zonewright.operators.quantiles import exact_quantiles
 
-MAX_CORRELATED = 5_000
-
 
 def vector_cells(df: DataFrame, features: str = "features", *keep: str) -> DataFrame:
     """``(keep..., i, x)``: the non-zero elements of each vector, long form."""
@@ -81,31 +79,32 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins:
     return p.groupBy("feature").agg(F.greatest(F.sum(gain), F.lit(0.0)).alias("mi"))
 
 
-def _labelled_cells(df: DataFrame, features: str, label: str, kept: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    """Non-zero cells ``(y, i, x)`` of the kept elements, and class sizes."""
+def _labelled_cells(df: DataFrame, features: str, label: str, kept: Sequence[int]) -> tuple[DataFrame, DataFrame, int, int]:
+    """Non-zero cells ``(y, i, x)`` of the kept elements, class sizes, and the
+    numbers of rows and classes."""
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("y"), features)
     sizes = hold(rows.groupBy("y").agg(F.count("*").alias("ny")))
+    n, classes = sizes.agg(F.coalesce(F.sum("ny"), F.lit(0)), F.count("*")).first()
     wanted = [int(i) for i in kept]
-    return vector_cells(rows, features, "y").where(F.col("i").isin(wanted)), sizes
+    return vector_cells(rows, features, "y").where(F.col("i").isin(wanted)), sizes, n, classes
 
 
 def vector_anova(df: DataFrame, features: str, label: str, kept: Sequence[int]) -> DataFrame:
     """``(i, score)``: F values from the non-zero elements only.
 
-    Zeros enter through the class sizes. Values are centred on the mean.
+    Zeros enter through the class sizes, and classes without any non-zero
+    element through the rows that no other class has. Values are centred on
+    the mean.
     """
-    cells, sizes = _labelled_cells(df, features, label, kept)
-    n = sizes.agg(F.sum("ny")).first()[0] or 0
-    means = hold(cells.groupBy("i").agg((F.sum("x") / n).alias("m")))
-    part = cells.groupBy("i", "y").agg(F.count("*").alias("k"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("qx"))
-    # A class without non-zero elements still has its zeros.
-    grid = means.withColumn("y", F.explode(F.lit([r["y"] for r in sizes.select("y").collect()])))
-    full = grid.join(part, ["i", "y"], "left").na.fill(0, ["k", "sx", "qx"]).join(sizes, "y")
-    m = F.col("m")
-    full = full.select("i", "ny", (F.col("sx") - F.col("ny") * m).alias("s"), (F.col("qx") - 2 * m * F.col("sx") + F.col("ny") * m * m).alias("q"))
-    explained = F.sum(F.col("s") * F.col("s") / F.col("ny"))
-    groups = F.count("*")
-    f = F.try_divide((explained - F.sum("s") * F.sum("s") / n) / (groups - 1), (F.sum("q") - explained) / (n - groups))
+    cells, sizes, n, classes = _labelled_cells(df, features, label, kept)
+    part = cells.groupBy("i", "y").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("qx")).join(sizes, "y")
+    means = part.groupBy("i").agg((F.sum("sx") / n).alias("m"))
+    m, ny = F.col("m"), F.col("ny")
+    full = part.join(means, "i").select("i", "m", "ny", (F.col("sx") - ny * m).alias("s"), (F.col("qx") - 2 * m * F.col("sx") + ny * m * m).alias("q"))
+    absent = F.first("m") * F.first("m") * (n - F.sum("ny"))  # of both sums
+    explained = F.sum(F.col("s") * F.col("s") / ny) + absent
+    total = F.sum("s") - F.first("m") * (n - F.sum("ny"))
+    f = F.try_divide((explained - total * total / n) / (classes - 1), (F.sum("q") + absent - explained) / (n - classes))
     return full.groupBy("i").agg(f.alias("score"))
 
 
@@ -113,36 +112,60 @@ def vector_information(df: DataFrame, features: str, label: str, kept: Sequence[
     """``(i, score)``: mutual information of each element with the label.
 
     Zero is a bin of its own; the non-zero values share ``bins`` bins of
-    about equal count (edges from bounded quantile sketches).
+    about equal count (edges from bounded quantile sketches). Classes with
+    zeros only are accounted for together.
     """
-    cells, sizes = _labelled_cells(df, features, label, kept)
-    n = sizes.agg(F.sum("ny")).first()[0] or 0
+    cells, sizes, n, _ = _labelled_cells(df, features, label, kept)
     probs = [j / bins for j in range(1, bins)]
     edges = hold(cells.groupBy("i").agg(F.array_distinct(F.percentile_approx("x", probs, 1000)).alias("edges")))
     bin_of = F.aggregate("edges", F.lit(1), lambda a, e: a + F.when(F.col("x") > e, 1).otherwise(0))
     joint = cells.join(edges, "i").select("i", "y", bin_of.alias("b")).groupBy("i", "y", "b").agg(F.count("*").alias("n"))
-    seen = joint.groupBy("i", "y").agg(F.sum("n").alias("k"))
-    grid = edges.select("i", F.explode(F.lit([r["y"] for r in sizes.select("y").collect()])).alias("y"))
-    zeros = (
-        grid.join(seen, ["i", "y"], "left").join(sizes, "y")
-        .select("i", "y", F.lit(0).alias("b"), (F.col("ny") - F.coalesce("k", F.lit(0))).alias("n"))
-        .where("n > 0")
-    )
-    joint = joint.unionByName(zeros).join(sizes, "y")
-    total = F.sum("n").over(Window.partitionBy("i", "b"))
-    gain = F.col("n") / n * F.ln(F.col("n") * F.lit(float(n)) / (F.col("nb") * F.col("ny")))
-    return joint.withColumn("nb", total).groupBy("i").agg(F.greatest(F.sum(gain), F.lit(0.0)).alias("score"))
+    seen = joint.groupBy("i", "y").agg(F.sum("n").alias("k")).join(sizes, "y")
+    zeros = seen.select("i", "y", F.lit(0).alias("b"), (F.col("ny") - F.col("k")).alias("n"), "ny")
+    of_bin = F.sum("n").over(Window.partitionBy("i", "b"))
+    # In the bin of zeros there are also all rows of the classes not seen.
+    others = seen.groupBy("i").agg((n - F.sum("ny")).alias("absent"))
+    full = joint.join(sizes, "y").select("i", "y", "b", "n", "ny").unionByName(zeros).join(others, "i")
+    full = full.withColumn("nb", of_bin + F.when(F.col("b") == 0, F.col("absent")).otherwise(0))
+    gain = F.when(F.col("n") > 0, F.col("n") / n * F.ln(F.col("n") * F.lit(float(n)) / (F.col("nb") * F.col("ny")))).otherwise(0.0)
+    zero_bin = F.max(F.when(F.col("b") == 0, F.col("nb")))
+    rest = F.when((F.first("absent") > 0), F.first("absent") / n * F.ln(F.lit(float(n)) / zero_bin)).otherwise(0.0)
+    return full.groupBy("i").agg(F.greatest(F.sum(gain) + rest, F.lit(0.0)).alias("score"))
+
+
+CORRELATED_BLOCK = 1000
+
 
+def strong_pairs(data: DataFrame, features: str, kept: np.ndarray, limit: float, block: int = CORRELATED_BLOCK) -> dict[int, list[int]]:
+    """``{a: later b}``: positions in ``kept`` correlated beyond the limit.
 
-def uncorrelated(correlation: np.ndarray, variances: np.ndarray, limit: float) -> np.ndarray:
-    """Which features stay when, of each pair beyond the limit, the one of
-    lower variance leaves (the later one on ties). Works on the features x
-    features matrix, whose size does not depend on the rows."""
-    strong = np.abs(np.nan_to_num(correlation)) > limit
+    Two blocks of columns at a time, so the driver holds a matrix of at most
+    2 * ``block`` columns and the pairs found.
+    """
+    found: dict[int, list[int]] = {}
+    starts = range(0, len(kept), block)
+    for a in starts:
+        for b in starts[a // block :]:
+            left = list(range(a, min(a + block, len(kept))))
+            right = [] if a == b else list(range(b, min(b + block, len(kept))))
+            if len(left) + len(right) < 2:
+                continue
+            sliced = VectorSlicer(inputCol=features, outputCol="__s", indices=[int(kept[i]) for i in left + right]).transform(data)
+            matrix = Correlation.corr(sliced, "__s").first()[0].toArray()
+            part = np.abs(np.nan_to_num(matrix))[: len(left), (len(left) if right else 0) :] > limit
+            for i, j in zip(*np.nonzero(part)):
+                x, y = left[i], (right or left)[j]
+                if x < y:
+                    found.setdefault(x, []).append(y)
+    return {x: sorted(ys) for x, ys in found.items()}
+
+
+def uncorrelated(strong: dict[int, list[int]], variances: np.ndarray) -> np.ndarray:
+    """Which features stay when, of each strong pair, the one of lower
+    variance leaves (the later one on ties)."""
     keep = np.ones(len(variances), dtype=bool)
-    for i in range(len(variances)):
-        later = [j for j in np.flatnonzero(strong[i]) if j > i]
-        for j in later:
+    for i in sorted(strong):
+        for j in strong[i]:
             if not keep[i]:
                 break
             if keep[j]:
@@ -175,11 +198,8 @@ class FeatureSelector(Estimator, Stage):
         names = self.get("names") or [f"f{i}" for i in range(len(variances))]
         kept = np.flatnonzero(variances > self.get("variance_threshold")) if self.get("variance_threshold") > 0 else np.arange(len(variances))
         if self.get("correlation_threshold") < 1.0 and len(kept) > 1:
-            if len(kept) > MAX_CORRELATED:
-                raise ValueError(f"at most {MAX_CORRELATED} features can be correlated")
-            sliced = VectorSlicer(inputCol=features, outputCol="__s", indices=[int(i) for i in kept]).transform(data)
-            matrix = Correlation.corr(sliced, "__s").first()[0].toArray()
-            kept = kept[uncorrelated(matrix, variances[kept], self.get("correlation_threshold"))]
+            strong = strong_pairs(data, features, kept, self.get("correlation_threshold"))
+            kept = kept[uncorrelated(strong, variances[kept])]
         scores: dict[str, float] = {}
         limit = self.get("max_features")
         if limit and limit < len(kept):

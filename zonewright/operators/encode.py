@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonewright import vocabulary as V
 from zonewright.operators.base import Stage, hold
@@ -15,7 +17,6 @@ from zonewright.operators.ranks import sorted_positions
 
 STRATEGIES = ("label", "target", "frequency", "onehot")
 SUFFIX = {"label": "", "target": "_target_encoded", "frequency": "_freq_encoded", "onehot": "_onehot"}
-MAX_ONE_HOT = 10_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -124,8 +125,6 @@ class CategoryEncoder(Estimator, Stage):
         defaults = {}
         for c, s in chosen.items():
             defaults[c] = float(sizes.get(c, 0)) if s in ("label", "onehot") else means.get(c) if s == "target" else 0.0
-        if any(sizes.get(c, 0) > MAX_ONE_HOT for c in of("onehot")):
-            raise ValueError(f"one-hot columns may have {MAX_ONE_HOT} values; use another encoding")
         model = CategoryEncoderModel(**self.settings(), chosen=chosen, defaults=defaults)
         model.tables = {"codes": codes}
         return model
@@ -147,6 +146,7 @@ class CategoryEncoderModel(Model, Stage):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         out, names = df, list(df.columns)
+        plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
         for (c, strategy), target in zip(self.get("chosen").items(), self.output_columns()):
             default = self.get("defaults")[c]
             if c not in df.columns:
@@ -156,17 +156,25 @@ class CategoryEncoderModel(Model, Stage):
             known = self.codes.where((F.col("column") == c) & F.col("value").isNotNull()).select(
                 F.col("value").alias("__value"), F.col("code").alias("__code")
             )
-            out = out.join(known, out[c].cast("string") == F.col("__value"), "left")
-            code = F.coalesce("__code", F.lit(default))
+            # Nulls match nothing; should the join move rows, they go to many tasks.
+            nowhere = F.concat(F.lit("\0null-"), F.pmod(F.xxhash64(*plain), F.lit(1024)).cast("string"))
+            out = out.withColumn("__lookup", F.coalesce(F.col(c).cast("string"), nowhere))
+            out = out.join(known, F.col("__lookup") == F.col("__value"), "left")
+            out = out.withColumn(target, F.coalesce("__code", F.lit(default))).drop("__lookup", "__value", "__code")
             if strategy == "onehot":
-                # Unseen values have the code one past the last: all zeros.
-                slots = F.sequence(F.lit(0), F.lit(max(int(default) - 1, 0)))
-                code = F.transform(slots, lambda i: F.when(i == code, 1.0).otherwise(0.0))
-            out = out.withColumn(target, code).drop("__value", "__code")
+                out = sparse_slots(out, target, int(default))
             names.append(target)
         return out.select(*names)
 
 
+def sparse_slots(df: DataFrame, column: str, size: int) -> DataFrame:
+    """A code to a sparse vector of ``size``; the code one past the last, of
+    unseen values, to all zeros."""
+    slots = df.sparkSession.range(max(size, 1)).select(F.col("id").cast("double").alias("__slot"))
+    encoder = OneHotEncoder(inputCol="__slot", outputCol=column, dropLast=True, handleInvalid="keep").fit(slots)
+    return encoder.transform(df.withColumnRenamed(column, "__slot")).drop("__slot")
+
+
 def fill_numeric(df: DataFrame, columns: Sequence[str], strategy: str = "median", constant: float = -1.0) -> DataFrame:
     """Null and NaN numbers to the column's mean or median, or a constant."""
     if strategy == "median":

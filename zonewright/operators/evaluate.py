@@ -59,8 +59,9 @@ def as_rows(metrics: DataFrame) -> DataFrame:
 
 
 def true_rank(probs: Column, label: Column) -> Column:
-    """Rank of the true class, 1 = best; ties go to the lower index."""
-    own = F.get(probs, label)
+    """Rank of the true class, 1 = best; ties go to the lower index. A class
+    outside the array ranks behind all."""
+    own = F.coalesce(F.get(probs, label), F.lit(-1.0))
     ahead = F.filter(probs, lambda p, i: (p > own) | ((p == own) & (i < label)))
     return F.size(ahead) + 1
 
@@ -68,7 +69,7 @@ def true_rank(probs: Column, label: Column) -> Column:
 def probability_metrics(df: DataFrame, n_classes: int, label: str = "label", probs: str = "probs") -> DataFrame:
     """One row: top-3 and top-5 accuracy (0 with too few classes), log loss."""
     p, y = F.col(probs), F.col(label)
-    own = F.least(F.greatest(F.get(p, y), F.lit(EPSILON)), F.lit(1 - EPSILON))
+    own = F.least(F.greatest(F.coalesce(F.get(p, y), F.lit(0.0)), F.lit(EPSILON)), F.lit(1 - EPSILON))
     rank = true_rank(p, y)
     top = lambda k: F.avg((rank <= k).cast("double")) if n_classes >= k else F.lit(0.0)
     return df.agg(
@@ -78,7 +79,7 @@ def probability_metrics(df: DataFrame, n_classes: int, label: str = "label", pro
 
 def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction", probs: str = "probs") -> DataFrame:
     """Rows, accuracy and mean confidence in the true class, per true class."""
-    own, right = F.get(F.col(probs), F.col(label)), F.col(label) == F.col(prediction)
+    own, right = F.coalesce(F.get(F.col(probs), F.col(label)), F.lit(0.0)), F.col(label) == F.col(prediction)
     return df.groupBy(F.col(label).alias("class")).agg(
         F.count("*").alias("n_samples"),
         F.avg(right.cast("double")).alias("accuracy"),

@@ -30,7 +30,7 @@ TYPE_FAMILIES: dict[str, tuple[type, ...]] = {
 
 def missing_columns(df: DataFrame, required: Sequence[str] = V.REQUIRED_COLUMNS) -> DataFrame:
     absent = [c for c in required if c not in df.columns]
-    rows = [(c, "missing_column", "ERROR", None, f"Required column '{c}' is missing") for c in absent]
+    rows = [(c, "missing_column", "ERROR", None, f"no column {c}, which every table must have") for c in absent]
     return df.sparkSession.createDataFrame(rows, ISSUE)
 
 
@@ -40,7 +40,7 @@ def type_mismatches(df: DataFrame, declared: Mapping[str, Mapping[str, Any]]) ->
         family = TYPE_FAMILIES.get(spec.get("type", ""))
         if column in df.columns and family and not isinstance(df.schema[column].dataType, family):
             actual = df.schema[column].dataType.simpleString()
-            text = f"Column '{column}' has type {actual}, expected {spec['type']}"
+            text = f"{column} is {actual} where {spec['type']} was declared"
             rows.append((column, "invalid_type", "WARNING", None, text))
     return df.sparkSession.createDataFrame(rows, ISSUE)
 

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
 ACCURACY = 10_000
 
 
@@ -26,74 +25,48 @@ class _Search:
 
     @property
     def value(self) -> Column:
-        return F.col(self.column).cast("double")
+        return F.col(self.column)
 
     @property
     def inside(self) -> Column:
         return self.value.between(self.low, self.high)
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = SMALL
-) -> dict[str, list[float | None]]:
-    """``{column: [quantile per probability]}``, None for all-null columns.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """``{column: [quantile per probability]}``, None for columns without values.
 
-    Columns of up to ``small`` values use the exact aggregate, whose buffer
-    holds every distinct value. Larger ones are searched by rank, all ranks of
-    all columns together: a round brackets each rank between two approximate
-    quantiles (bounded sketches), counts exactly around the brackets and keeps
-    the part that holds the rank. Each round narrows a bracket by a factor of
-    thousands, so even 10^12 values take a handful of scans.
+    NaN counts as null. All ranks of all columns are searched together: a round
+    brackets each rank between two approximate quantiles (bounded sketches),
+    counts exactly around the brackets and keeps the part that holds the rank.
+    A round narrows a bracket by a factor of thousands, and to one value where
+    few are left, so even 10^12 values take a handful of scans.
     """
     if not columns:
         return {}
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in dict.fromkeys(columns)])
     stats = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(c).cast("double").alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(c).cast("double").alias(f"hi{i}") for i, c in enumerate(columns)],
+        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)],
+        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)],
     ).first()
     sizes = {c: stats[f"n{i}"] for i, c in enumerate(columns)}
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if sizes[c] == 0}
-    few = [c for c in columns if 0 < sizes[c] <= small]
-    if few:
-        row = df.agg(
-            *[F.percentile(F.col(c).cast("double"), list(probs)).alias(f"q{i}") for i, c in enumerate(few)]
-        ).first()
-        out.update({c: list(row[f"q{i}"]) for i, c in enumerate(few)})
-    many = [(i, c) for i, c in enumerate(columns) if c not in out]
-    places = {c: [(sizes[c] - 1) * p for p in probs] for _, c in many}
+    places = {c: [(sizes[c] - 1) * p for p in probs] for c in columns if sizes[c]}
     searches = {
         (c, rank): _Search(c, rank, sizes[c], stats[f"lo{i}"], stats[f"hi{i}"])
-        for i, c in many
-        for rank in sorted({r for x in places[c] for r in (floor(x), ceil(x))})
+        for i, c in enumerate(columns)
+        for rank in sorted({r for x in places.get(c, ()) for r in (floor(x), ceil(x))})
     }
-    found = _order_statistics(df, searches, small)
-    for _, c in many:
+    while wide := [s for s in searches.values() if s.low != s.high]:
+        _narrow(df, wide)
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if not sizes[c]}
+    for c in places:
         out[c] = []
         for x in places[c]:
-            below, above = found[c, floor(x)], found[c, ceil(x)]
+            below, above = searches[c, floor(x)].low, searches[c, ceil(x)].low
             out[c].append(below if floor(x) == ceil(x) else (ceil(x) - x) * below + (x - floor(x)) * above)
     return out
 
 
-def _order_statistics(df: DataFrame, searches: dict, small: int) -> dict:
-    while wide := [s for s in searches.values() if s.low != s.high and s.size > small]:
-        _narrow(df, wide)
-    open_ = {key: s for key, s in searches.items() if s.low != s.high}
-    found = {key: s.low for key, s in searches.items() if key not in open_}
-    if open_:
-        # All values inside the remaining brackets, ranked per bracket.
-        listed = list(open_.items())
-        hits = F.array(*[F.when(s.inside, F.struct(F.lit(i).alias("s"), s.value.alias("v"))) for i, (_, s) in enumerate(listed)])
-        ranks = F.array(*[F.lit(s.rank) for _, s in listed])
-        counts = df.select(F.inline(F.filter(hits, lambda h: h.isNotNull()))).groupBy("s", "v").agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("s").orderBy("v"))
-        beyond = counts.select("s", "v", upto.alias("upto")).where(F.col("upto") > F.get(ranks, F.col("s")))
-        for r in beyond.groupBy("s").agg(F.min("v").alias("v")).collect():  # a row per bracket
-            found[listed[r["s"]][0]] = r["v"]
-    return found
-
-
 def _narrow(df: DataFrame, wide: list[_Search]) -> None:
     margin = 2 / ACCURACY
     sketches = [

@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonewright.operators.base import HELD_ROWS, hold, shared_folder
+from zonewright.operators.base import hold
 
 
-def sorted_positions(values: DataFrame, by: list[str], order: list[str], out: str, small: int = HELD_ROWS) -> DataFrame:
+def sorted_positions(values: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
     """Add the 0-based position of each (distinct) row within its ``by`` group.
 
-    A small table is ranked by one window. A larger one is cut into sorted
-    ranges, which are ranked side by side and shifted by the sizes of the
-    ranges before them. The range numbers are written to the shared folder
-    first, so a recomputed partition cannot change them.
+    The table is cut into sorted ranges, which are ranked side by side and
+    shifted by the sizes of the ranges before them. The range numbers are held,
+    so a recomputed partition cannot change them.
     """
-    held = hold(values, small)
-    if held.limit(small + 1).count() <= small:
-        window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-        return held.withColumn(out, F.row_number().over(window) - 1)
-    shared_folder(values.sparkSession)
-    ranged = held.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    ranged = hold(values.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
     here = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
     counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*by).orderBy("__range") if by else Window.orderBy("__range")
-    shifts = hold(counts.select(*by, "__range", (F.sum("__n").over(earlier) - F.col("__n")).alias("__shift")))
+    earlier = Window.partitionBy(*by).orderBy("__range") if by else Window.orderBy("__range")  # a row per range
+    shifts = counts.select(*by, "__range", (F.sum("__n").over(earlier) - F.col("__n")).alias("__shift"))
     return (
         ranged.withColumn("__here", here)
         .join(shifts, [*by, "__range"])

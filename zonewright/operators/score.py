@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewright import vocabulary as V
 from zonewright.functions.numbers import entropy
 from zonewright.operators.base import hold
+from zonewright.operators.ranks import sorted_positions
 from zonewright.operators.voting import confident
 
 
@@ -79,45 +82,48 @@ def summary(scored: DataFrame) -> DataFrame:
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """``(label, centroid)``: the mean vector of each class.
 
-    Elements are averaged per (label, position), which combines map-side, so
-    a class of any size leaves one partial row per task and position.
+    The mean of a class is one buffer per task, so a class of any size leaves
+    one partial row per task.
     """
-    cells = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.posexplode(vector).alias("i", "x"))
-    means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    pairs = F.array_sort(F.collect_list(F.struct("i", "m")))
-    return means.groupBy("label").agg(F.transform(pairs, lambda p: p["m"]).alias("centroid"))
+    rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    rows = rows.select(F.col(label).alias("label"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("__v"))
+    return rows.groupBy("label").agg(vector_to_array(Summarizer.mean(F.col("__v"))).alias("centroid"))
 
 
-def nearest_centroid(
-    df: DataFrame, vector: str, table: DataFrame, threshold: float = 0.85, max_centroids: int = 10_000
-) -> DataFrame:
+def nearest_centroid(df: DataFrame, vector: str, table: DataFrame, threshold: float = 0.85, block: int = 2048) -> DataFrame:
     """Adds ``nearest`` and ``similarity``: the most similar class centroid by
     cosine, or a null class below the threshold. Ties go to the lowest label.
 
-    The centroids (one per class, a checked number) go to every task, which
-    compares its rows with all of them by one matrix product per batch.
+    The centroids go to every task in blocks of at most ``block``, each as one
+    matrix product per batch, and the best so far stays with the row. Zero
+    centroids and zero vectors have no direction and match nothing.
     """
-    rows = hold(table).orderBy("label").limit(max_centroids + 1).collect()
-    if len(rows) > max_centroids:
-        raise ValueError(f"more than {max_centroids} class centroids")
-    labels = [r["label"] for r in rows]
-    matrix = np.array([r["centroid"] for r in rows], dtype="float64")
-    shared = df.sparkSession.sparkContext.broadcast(matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
-
+    some = F.exists("centroid", lambda x: x != 0)
+    placed = hold(sorted_positions(table.where(some).select("label", "centroid"), [], ["label"], "__at"))
+    kind = dict(placed.dtypes)["label"]
+    out = df.withColumn("__best", F.lit(None).cast(f"struct<similarity: double, label: {kind}>"))
+    for start in range(0, placed.count(), block):
+        rows = placed.where(F.col("__at").between(start, start + block - 1)).orderBy("__at").collect()  # one block
+        labels = F.array(*[F.lit(r["label"]) for r in rows])
+        matrix = np.array([r["centroid"] for r in rows], dtype="float64")
+        found = _closest(df.sparkSession.sparkContext.broadcast(matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
+        out = out.withColumn("__near", found(F.col(vector)))
+        better = F.col("__near.similarity").isNotNull() & F.coalesce(F.col("__near.similarity") > F.col("__best.similarity"), F.lit(True))
+        new = F.struct(F.col("__near.similarity").alias("similarity"), F.get(labels, F.col("__near.position")).alias("label"))
+        out = out.withColumn("__best", F.when(better, new).otherwise(F.col("__best"))).drop("__near")
+    close = F.col("__best.similarity") >= threshold
+    return out.select(*df.columns, F.when(close, F.col("__best.label")).alias("nearest"), F.col("__best.similarity").alias("similarity"))
+
+
+def _closest(shared):
     def closest(vectors: pd.Series) -> pd.DataFrame:
-        present = vectors.notna().to_numpy()
-        found = pd.DataFrame({"position": pd.array([None] * len(vectors), dtype="Int32"), "similarity": np.nan})
-        if present.any():
-            x = np.stack(vectors[present].to_numpy()).astype("float64")
+        found = pd.DataFrame({"position": pd.array([None] * len(vectors), dtype="Int32"), "similarity": pd.array([None] * len(vectors), dtype="Float64")})
+        usable = [i for i, v in enumerate(vectors) if v is not None and np.any(v)]
+        if usable:
+            x = np.stack([vectors.iloc[i] for i in usable]).astype("float64")
             cosine = (x @ shared.value.T) / np.linalg.norm(x, axis=1, keepdims=True)
-            found.loc[present, "position"] = cosine.argmax(axis=1)
-            found.loc[present, "similarity"] = cosine.max(axis=1)
+            found.loc[usable, "position"] = cosine.argmax(axis=1)
+            found.loc[usable, "similarity"] = cosine.max(axis=1)
         return found
 
-    nearest = F.pandas_udf(closest, "position int, similarity double")
-    out = df.withColumn("__near", nearest(F.col(vector)))
-    label = F.get(F.array(*map(F.lit, labels)), F.col("__near.position"))
-    close = F.col("__near.similarity") >= threshold
-    return out.select(
-        *df.columns, F.when(close, label).alias("nearest"), F.col("__near.similarity").alias("similarity")
-    )
+    return F.pandas_udf(closest, "position int, similarity double")

@@ -31,13 +31,14 @@ def _scaled(probs: Column, weight: float) -> Column:
 
 
 def soft_vote(members: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
-    """Weighted mean of the members' arrays, scaled to sum to 1."""
+    """Weighted mean of the members' arrays, scaled to sum to 1 (nulls if all
+    weights are 0)."""
     combined = None
     for name, weight in normalized_weights(weights).items():
         part = _scaled(members[name], weight)
         combined = part if combined is None else F.zip_with(combined, part, lambda a, b: a + b)
     total = F.aggregate(combined, F.lit(0.0), lambda s, p: s + p)
-    return F.transform(combined, lambda p: p / total)
+    return F.transform(combined, lambda p: F.try_divide(p, total))
 
 
 def predicted_class(probs: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,10 +69,10 @@ class ScanFeatures(Transformer, Stage):
 
 
 class FeatureVector(Transformer, Stage):
-    """Scalars, arrays and vectors into ``features``; null, NaN and infinite
+    """Scalars and vectors into ``features``; null, NaN and infinite
     numbers become 0. The working columns leave."""
 
-    SETTINGS = {"inputs": [], "names": [], "output": "features", "drop": [], "array_sizes": {}}
+    SETTINGS = {"inputs": [], "names": [], "output": "features", "drop": [], "sizes": {}}
 
     def feature_names(self) -> list[str]:
         return list(self.get("names"))
@@ -82,16 +81,14 @@ class FeatureVector(Transformer, Stage):
         finite, inputs, hints = {}, [], []
         for i, c in enumerate(self.get("inputs")):
             kind = df.schema[c].dataType
-            if isinstance(kind, T.ArrayType):
-                finite[f"__f{i}"] = array_to_vector(F.col(c))
-                size = self.get("array_sizes")[c]
-                hints.append(VectorSizeHint(inputCol=f"__f{i}", size=size, handleInvalid="optimistic"))
-            elif isinstance(kind, T.NumericType):
+            if isinstance(kind, T.NumericType):
                 x = F.col(c)
                 if isinstance(kind, (T.FloatType, T.DoubleType)):
                     x = F.when(F.abs(x) < float("inf"), x)  # neither NaN nor infinite
                 finite[f"__f{i}"] = F.coalesce(x.cast("double"), F.lit(0.0))
             else:
+                if c in self.get("sizes"):  # with its size declared, assembling needs no look at the first row
+                    hints.append(VectorSizeHint(inputCol=c, size=self.get("sizes")[c], handleInvalid="optimistic"))
                 inputs.append(c)
                 continue
             inputs.append(f"__f{i}")
@@ -132,7 +129,7 @@ class FeaturePlan(Estimator, Stage):
     }
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        stages, inputs, names, array_sizes = [], [], [], {}
+        stages, inputs, names, vector_sizes = [], [], [], {}
 
         def add(stage, columns=None, labels=None) -> None:
             if stage.hasParam("vocabulary") and not stage.get("vocabulary"):
@@ -179,8 +176,8 @@ class FeaturePlan(Estimator, Stage):
             sizes = encoder.get("defaults")
             for (c, strategy), name in zip(encoder.get("chosen").items(), encoder.feature_names()):
                 if strategy == "onehot":
-                    array_sizes[name] = max(int(sizes[c]), 1)
-                    labels += [f"{name}_{i}" for i in range(array_sizes[name])]
+                    vector_sizes[name] = max(int(sizes[c]), 1)
+                    labels += [f"{name}_{i}" for i in range(vector_sizes[name])]
                 else:
                     labels.append(name)
             add(encoder, encoder.output_columns(), labels)
@@ -190,7 +187,7 @@ class FeaturePlan(Estimator, Stage):
             add(scaler, scaler.output_columns(), scaler.feature_names())
         created = [c for c in inputs if not has(c)]
         extra = [c for c in ("fqdn_tld", "fqdn_domain", "fqdn_subdomain", "fqdn_first_label") if not has(c)]
-        vector = FeatureVector(inputs=inputs, names=names, drop=created + extra, array_sizes=array_sizes)
+        vector = FeatureVector(inputs=inputs, names=names, drop=created + extra, sizes=vector_sizes)
         plan = PipelineModel([*stages, vector])
         if g("importance_threshold") is not None and has(g("label")):
             vector._set(output="all_features")

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from zonewright.operators import evaluate as E
 from zonewright.operators import quality, score, splits
-from zonewright.operators.base import Stage, shared_folder
-from zonewright.operators.clean import RecordCleaner, encode_labels
+from zonewright.operators.base import Stage, hold, shared_folder
+from zonewright.operators.clean import RecordCleaner, apply_class_policy, encode_labels
 from zonewright.operators.quality import row_digest
 from zonewright.plans import members as M
 from zonewright.plans.features import FeaturePlan, feature_names
 from zonewright.sources import sinks
 
 MODEL_NAME = "owner_classifier"
+UNKNOWN_CLASS = -1
 
 
 class OwnerScorer(Model, Stage):
@@ -77,7 +78,9 @@ def train(
     name: str = MODEL_NAME,
 ) -> Training:
     """Validate, clean, split, featurise (on training rows only), optionally
-    cross-validate or search, fit the ensemble, evaluate on the test rows."""
+    cross-validate or search, fit the ensemble, evaluate on the test rows.
+
+    Boosted members stop on the validation rows, which nothing is fitted on."""
     settings = {"target": target, **(cleaner or {})}
     orphan = settings.get("orphan", 0)
     issues = quality.all_issues(df, target=target)
@@ -106,9 +109,9 @@ def train(
         best, table = M.search(fit_rows, ready.where("split = 'val'"), trial_kind, trials, seed, n_classes=n_classes)
         extra["search"], extra["best_params"] = table, best
         options.setdefault("members", [{"type": trial_kind, "weight": 1.0, "options": best}])
-    model = M.Ensemble(n_classes=n_classes, seed=seed, **options).fit(fit_rows)
-    tested = model.transform(ready.where("split = 'test'")).drop("features").persist()
-    tested.count()  # kept for the report tables, which are computed on demand
+    watched = ready.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
+    model = M.Ensemble(n_classes=n_classes, seed=seed, validation="is_val", **options).fit(watched)
+    tested = hold(model.transform(ready.where("split = 'test'")).drop("features"))  # for the report tables
     parts.unpersist()
     ready.unpersist()
     report = evaluation(tested, n_classes, key)
@@ -170,14 +173,22 @@ def predict_file(model: PipelineModel, df: DataFrame, path: str, kind: str = "cs
 
 
 def evaluate_stored(model: PipelineModel, df: DataFrame, key: str | None = None, target: str = "appid") -> dict[str, DataFrame]:
-    """Report tables of a stored model on labelled records."""
+    """Report tables of a stored model on labelled records.
+
+    The fitted class policy is applied to the labels, so rare owners are the
+    rare class. Rows of owners the model does not know stay, as class -1, and
+    count as errors; ``unmapped`` tells how many they are (``rows``,
+    ``unmapped_rows``).
+    """
     df = df.where(F.col(target).isNotNull())
     if key is None:  # only breaks ties among the reported errors
         df, key = df.withColumn("__key", row_digest(df)), "__key"
-    classes = model.stages[-1].get("classes")
+    cleaner, classes = model.stages[0], model.stages[-1].get("classes")
+    mapped = apply_class_policy(model.transform(df).drop("label"), cleaner.classes, target, "group", cleaner.get("orphan"), cleaner.get("rare_label"))
     index = df.sparkSession.createDataFrame(list(enumerate(classes)), "idx int, label long")
-    scored = encode_labels(model.transform(df).drop("label"), index, target, "label", on_unmapped="drop")
-    return evaluation(scored, len(classes), key)
+    scored = hold(encode_labels(mapped, index, target, "label").na.fill(UNKNOWN_CLASS, ["label"]))
+    counts = scored.agg(F.count("*").alias("rows"), F.count_if(F.col("label") == UNKNOWN_CLASS).alias("unmapped_rows"))
+    return {**evaluation(scored, len(classes), key), "unmapped": counts}
 
 
 def load(spark: SparkSession, folder: str, name: str = MODEL_NAME, version: str | None = None) -> PipelineModel:

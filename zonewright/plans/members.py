@@ -30,20 +30,27 @@ PARAMETERS = {
     "boosted": {
         "n_estimators": "maxIter", "iterations": "maxIter", "max_depth": "maxDepth", "depth": "maxDepth",
         "learning_rate": "stepSize", "subsample": "subsamplingRate", "min_child_weight": "minInstancesPerNode",
-        "min_child_samples": "minInstancesPerNode", "gamma": "minInfoGain",
+        "min_child_samples": "minInstancesPerNode", "gamma": "minInfoGain", "colsample_bytree": "featureSubsetStrategy",
     },
     "forest": {
         "n_estimators": "numTrees", "iterations": "numTrees", "max_depth": "maxDepth", "depth": "maxDepth",
         "subsample": "subsamplingRate", "min_child_samples": "minInstancesPerNode",
-        "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain",
+        "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain", "colsample_bytree": "featureSubsetStrategy",
     },
     "logistic": {"iterations": "maxIter", "n_estimators": "maxIter", "l2_leaf_reg": "regParam", "reg_lambda": "regParam"},
     "bayes": {"smoothing": "smoothing"},
 }
+# Options of those families that pyspark.ml has no counterpart for.
+WITHOUT_COUNTERPART = {
+    "boosted": ("reg_alpha", "reg_lambda", "colsample_bylevel", "max_delta_step", "scale_pos_weight"),
+    "forest": ("reg_alpha", "reg_lambda", "num_leaves", "subsample_freq"),
+    "logistic": ("depth", "random_strength", "bagging_temperature", "one_hot_max_size", "min_data_in_leaf"),
+    "bayes": (),
+}
 DEFAULTS = {
-    "boosted": {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8},
-    "forest": {"numTrees": 100, "maxDepth": 12, "subsamplingRate": 0.8},
-    "logistic": {"maxIter": 100, "regParam": 0.001},
+    "boosted": {"maxIter": 500, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5},
+    "forest": {"numTrees": 500, "maxDepth": 12, "subsamplingRate": 0.8, "minInstancesPerNode": 20},
+    "logistic": {"maxIter": 500, "regParam": 0.001},
     "bayes": {},
 }
 DEFAULT_ENSEMBLE = (
@@ -61,11 +68,17 @@ def resolve(kind: str) -> str:
 
 
 class Member(Estimator, Stage):
-    """One classifier. ``options`` takes pyspark.ml names or common aliases;
-    ``class_weight='balanced'`` weighs classes by N / (k * n).
+    """One classifier. ``options`` takes pyspark.ml names or common aliases.
+
+    ``class_weight='balanced'`` (or ``is_unbalance``) weighs classes by
+    N / (k * n); a dict gives the weight of each class index, 1 for the rest.
 
-    Boosting is binary in pyspark.ml, so ``boosted`` fits one model per class;
-    beyond ``max_boosted_classes`` a forest takes its place.
+    Boosting is binary in pyspark.ml, so ``boosted`` fits one model per class,
+    however many there are. ``fit_rows`` bounds the labelled rows a booster is
+    fitted on, by a hash of the features, if that is too costly; by default
+    it takes all. With a ``validation`` column, ``early_stopping_rounds`` ends a
+    booster at the round after which the validation loss did not improve for as
+    many rounds; ``best_iterations`` and ``losses`` tell what happened.
     """
 
     SETTINGS = {
@@ -77,7 +90,9 @@ class Member(Estimator, Stage):
         "class_weight": None,
         "validation": None,
         "n_classes": None,
-        "max_boosted_classes": 50,
+        "is_unbalance": False,
+        "fit_rows": None,
+        "early_stopping_rounds": None,
         "parallelism": 4,
         "seed": 42,
     }
@@ -87,36 +102,61 @@ class Member(Estimator, Stage):
         n = self.get("n_classes")
         if n is None:
             n = int(df.agg(F.max(label)).first()[0]) + 1
-        if kind == "boosted" and n > self.get("max_boosted_classes"):
-            kind = "forest"
         params = {**DEFAULTS[kind]}
         for name, value in self.get("options").items():
-            params[PARAMETERS[kind].get(name, name)] = value
+            if name in WITHOUT_COUNTERPART[kind]:
+                raise ValueError(f"{name} has no counterpart in a {kind} member")
+            target = PARAMETERS[kind].get(name, name)
+            params[target] = str(value) if target == "featureSubsetStrategy" else value
         validation = self.get("validation")
         data = df.select(features, F.col(label).cast("double").alias(label), *([validation] if validation else []))
-        if self.get("class_weight") == "balanced":
+        given = "balanced" if self.get("is_unbalance") else self.get("class_weight")
+        if given == "balanced":
             weights = hold(voting.class_weights(data, label).select(label, "class_weight"))
             data = data.join(weights, label)
             params["weightCol"] = "class_weight"
+        elif isinstance(given, dict):
+            weights = df.sparkSession.createDataFrame([(float(c), float(w)) for c, w in given.items()], f"`{label}` double, class_weight double")
+            data = data.join(weights, label, "left").na.fill(1.0, ["class_weight"])
+            params["weightCol"] = "class_weight"
+        elif given is not None:
+            raise ValueError(f"class_weight must be balanced or a dict, not {given!r}")
         common = {"featuresCol": features, "labelCol": label, "predictionCol": "__pred", "rawPredictionCol": "__raw", "probabilityCol": "__prob"}
         model = MemberModel(**{**self.settings(), "type": kind, "n_classes": n})
         if kind == "boosted":
+            if self.get("fit_rows"):
+                share = self.get("fit_rows") / max(data.count(), 1)
+                data = data.where(F.pmod(F.xxhash64(F.unwrap_udt(features)), F.lit(1 << 20)) < share * (1 << 20))
             data = data.persist()
+            rounds = self.get("early_stopping_rounds")
 
-            def against_rest(c: int) -> Model:
+            def against_rest(c: int) -> tuple[Model, list[float]]:
                 one = data.withColumn("__one", F.when(F.col(label) == c, 1.0).otherwise(0.0))
                 booster = GBTClassifier(
                     featuresCol=features, labelCol="__one", predictionCol="__pred", seed=self.get("seed"), **params
                 ).setRawPredictionCol("__raw").setProbabilityCol("__prob")
-                if validation:
-                    booster = booster.setValidationIndicatorCol(validation)
-                return booster.fit(one)
-
+                if not validation:
+                    return booster.fit(one), []
+                if rounds is None:  # stops by the tolerance of pyspark.ml
+                    child = booster.setValidationIndicatorCol(validation).fit(one)
+                    return child, child.evaluateEachIteration(one.where(validation))
+                training = one.where(~F.col(validation))
+                child = booster.fit(training)
+                losses = child.evaluateEachIteration(one.where(validation))
+                best = stopping_round(losses, rounds)
+                return (child if best == len(losses) else booster.setMaxIter(best).fit(training)), losses
+
+            losses: dict[str, list[float]] = {}
             with ThreadPoolExecutor(self.get("parallelism")) as pool:
-                for c, child in enumerate(pool.map(against_rest, range(n))):
+                for c, (child, found) in enumerate(pool.map(against_rest, range(n))):
                     model.children[f"class_{c}"] = child
+                    if found:
+                        losses[f"class_{c}"] = [float(x) for x in found]
             data.unpersist()
+            model._set(losses=losses, best_iterations={name: child.getNumTrees for name, child in model.children.items()})
             return model
+        if validation:
+            data = data.where(~F.col(validation))  # these members have no use for validation rows
         if kind == "forest":
             estimator = RandomForestClassifier(**common, **params, seed=self.get("seed"))
         elif kind == "logistic":
@@ -127,8 +167,23 @@ class Member(Estimator, Stage):
         return model
 
 
+def stopping_round(losses: list[float], patience: int) -> int:
+    """Rounds to keep: up to the least loss before it failed to improve for
+    ``patience`` rounds."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 class MemberModel(Model, Stage):
-    SETTINGS = Member.SETTINGS
+    """``losses``: validation loss by round, ``best_iterations``: rounds kept,
+    both by class and for boosters only."""
+
+    SETTINGS = {**Member.SETTINGS, "losses": {}, "best_iterations": {}}
 
     def _transform(self, df: DataFrame) -> DataFrame:
         output = self.get("output")
@@ -257,6 +312,7 @@ SEARCH_SPACES: dict[str, dict[str, tuple[float, float, str]]] = {
         "max_depth": (3, 12, "int"),
         "learning_rate": (0.01, 0.3, "log"),
         "subsample": (0.6, 1.0, "float"),
+        "colsample_bytree": (0.6, 1.0, "float"),
         "min_child_weight": (1, 10, "int"),
         "gamma": (0.0, 0.5, "float"),
     },
@@ -310,11 +366,10 @@ def permutation_importance(
     """``(column, drop)``: loss of accuracy when a column's values are dealt
     anew among the rows.
 
-    A row takes the value of the next row in hash order. Only ranges of about
-    a thousand rows are ordered, so the exchange spreads over all tasks.
+    A row takes the value of the next row in the hash order of the whole table,
+    the last that of the first. Rows are ordered in ranges side by side; what
+    follows a range's last row is the first of the next range.
     """
-    from math import log
-
     from pyspark.sql import Window
 
     from zonewright.operators.splits import hash_order
@@ -323,14 +378,17 @@ def permutation_importance(
         return metrics(model.transform(rows), label)["accuracy"]
 
     base = accuracy(df)
-    digits = max(0, int(log(max(df.count(), 1) / 1000, 16)))
-    span = F.substring("__h", 1, digits) if digits else F.lit("")
-    order = Window.partitionBy(span).orderBy("__h")
+    ranged = df.withColumn("__h", hash_order(key, seed)).repartitionByRange("__h").withColumn("__range", F.spark_partition_id())
+    ranged = hold(ranged)
+    inside = Window.partitionBy("__range").orderBy("__h")
     rows = []
     for c in columns:
-        hashed = df.withColumn("__h", hash_order(key, seed))
         value = F.struct(F.col(c).alias("x"))
-        following = F.coalesce(F.lead(value).over(order), F.first(value).over(order))
-        dealt = hashed.withColumn("__next", following).withColumn(c, F.col("__next.x")).drop("__h", "__next")
+        firsts = ranged.groupBy("__range").agg(F.min_by(value, "__h").alias("__first"))  # a row per range
+        order = Window.orderBy("__range")
+        everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        after = firsts.select("__range", F.coalesce(F.lead("__first").over(order), F.first("__first").over(everything)).alias("__after"))
+        dealt = ranged.withColumn("__next", F.lead(value).over(inside)).join(after, "__range")
+        dealt = dealt.withColumn(c, F.coalesce("__next", "__after")["x"]).drop("__h", "__next", "__range", "__after")
         rows.append((c, base - accuracy(dealt)))
     return df.sparkSession.createDataFrame(rows, "column string, drop double")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonewright.functions import host
 from zonewright.operators import clean, score, vectorize
-from zonewright.operators.base import shared_folder
+from zonewright.operators.base import scratch_path
 from zonewright.queries.registry import query
 from zonewright.queries.score_queries import CLASSES, PROBS, SQL_SOFT, soft
 from zonewright.queries.tables import Tables
@@ -23,7 +21,7 @@ WITH_ID = T.StructType([T.StructField("id", T.LongType()), *readers.RECORD_SCHEM
 
 
 def new_folder(t: Tables, name: str) -> str:
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, name)
 
 
 def _csv(t: Tables) -> str:
@@ -33,9 +31,25 @@ def _csv(t: Tables) -> str:
     return path
 
 
-@query("s01_csv_source", "SELECT id, fqdn, record_type, record_data, appid, brand FROM inventory", INV)
+@query(
+    "s01_csv_source",
+    """SELECT id, fqdn, record_type, CASE WHEN record_type = 'TXT' THEN record_data || ' "' || fqdn || '",' || chr(10) || 'next "" line' ELSE record_data END AS record_data, appid, brand
+FROM inventory""",
+    INV,
+)
 def s01(t: Tables) -> DataFrame:
-    return readers.read_csv(t.spark, _csv(t), WITH_ID)
+    """TXT targets hold quotes, separators and line breaks; the file is written
+    as plain text lines, fields quoted by hand."""
+    path = new_folder(t, "csv")
+    records = t.inventory.select("id", "fqdn", "record_type", "record_data", "appid", "brand")
+    hard = F.concat(F.col("record_data"), F.lit(' "'), F.col("fqdn"), F.lit('",\n'), F.lit('next "" line'))
+    records = records.withColumn("record_data", F.when(F.col("record_type") == "TXT", hard).otherwise(F.col("record_data")))
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("N/A")), F.lit('"'), F.lit('""')), F.lit('"')) for c in records.columns]
+    lines = records.select(F.concat_ws(",", *quoted).alias("value"))
+    head = t.spark.range(1, numPartitions=1).select(F.lit(",".join(records.columns)).alias("value"))
+    body = lines.withColumn("file", F.spark_partition_id()).groupBy("file").agg(F.concat_ws("\n", F.collect_list("value")).alias("value"))
+    body.crossJoin(F.broadcast(head.withColumnRenamed("value", "head"))).select(F.concat_ws("\n", "head", "value").alias("value")).write.text(path)
+    return readers.read_csv(t.spark, path, WITH_ID)
 
 
 @query("s01_csv_columns", "SELECT id, appid FROM inventory", INV)

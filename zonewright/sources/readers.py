@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +46,12 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).try_cast(f.dataType) for f in schema if f.name in df.columns})
 
 
-def csv_header(spark: SparkSession, path: str, separator: str = ",", encoding: str = "utf-8") -> list[str]:
-    return spark.read.options(header=True, sep=separator, encoding=encoding, inferSchema=False).csv(path).columns
+# Quotes inside quoted fields are doubled.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+def csv_header(spark: SparkSession, path: str, separator: str = ",", encoding: str = "utf-8", multi_line: bool = True) -> list[str]:
+    return spark.read.options(header=True, sep=separator, encoding=encoding, inferSchema=False, multiLine=multi_line, **QUOTING).csv(path).columns
 
 
 def read_csv(
@@ -59,14 +64,20 @@ def read_csv(
     header: bool = True,
     encoding: str = "utf-8",
     tokens: Sequence[str] = V.NULL_TOKENS,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A CSV table with null tokens and declared types applied.
 
-    A missing path raises. Columns outside ``schema`` stay text.
+    Quoted fields may hold doubled quotes and, with ``multi_line``, line breaks;
+    a file is then read by one task, so give files of bounded size, or
+    ``multi_line=False`` where no field has breaks. A missing path raises, and
+    so does a file of the folder with another header. Columns outside
+    ``schema`` stay text.
     """
-    names = csv_header(spark, path, separator, encoding) if header else schema.fieldNames()
+    names = csv_header(spark, path, separator, encoding, multi_line) if header else schema.fieldNames()
     text = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    raw = spark.read.schema(text).options(header=header, sep=separator, encoding=encoding).csv(path)
+    options = {"header": header, "sep": separator, "encoding": encoding, "multiLine": multi_line, "enforceSchema": not header, **QUOTING}
+    raw = spark.read.schema(text).options(**options).csv(path)
     out = typed(null_tokens_to_null(raw, tokens), schema)
     if columns is not None:
         out = out.select(*columns)
@@ -77,7 +88,7 @@ def sniff_schema(spark: SparkSession, path: str, rows: int = 100, **options: Any
     """Types inferred from the first rows of a CSV file."""
     head = [r["value"] for r in spark.read.text(path).limit(rows + 1).collect()]
     lines = spark.sparkContext.parallelize(head, 1)
-    return spark.read.options(header=True, inferSchema=True, **options).csv(lines).schema
+    return spark.read.options(**{"header": True, "inferSchema": True, **QUOTING, **options}).csv(lines).schema
 
 
 def select_records(
@@ -152,14 +163,20 @@ def class_distribution(df: DataFrame, target: str = "appid") -> DataFrame:
     return df.groupBy(target).agg(F.count("*").alias("n")).orderBy(F.desc("n"), target)
 
 
-def spread(df: DataFrame, path: str, per_task: int = 32 << 20) -> DataFrame:
-    """Deal the rows of a small file out to all cores, ahead of costly
-    expressions. Input with enough bytes for every core stays where it is."""
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < cores * per_task else df
+def read_suffix_rules(path: str | Path, private: bool = False) -> tuple[str, ...]:
+    """Rules of a file in the public suffix list's notation: one per line up to
+    the first blank, ``//`` comments, ``*.x`` wildcards, ``!a.x`` exceptions.
+    Those between the markers of the private section come only on request."""
+    rules, inside = [], False
+    for line in Path(path).read_text(encoding="utf-8").splitlines():
+        if "===BEGIN PRIVATE DOMAINS===" in line:
+            inside = True
+        elif "===END PRIVATE DOMAINS===" in line:
+            inside = False
+        rule = line.split()[0] if line.split() else ""
+        if rule and not rule.startswith("//") and (private or not inside):
+            rules.append(rule.lower().removeprefix("."))
+    return tuple(dict.fromkeys(rules))
 
 
 @dataclass

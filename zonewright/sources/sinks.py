@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from typing import Any
@@ -13,11 +17,13 @@ from pyspark.sql import functions as F
 
 from zonewright.operators import score
 from zonewright.operators.quality import row_digest
+from zonewright.sources import readers
 
 
 def write_predictions(scored: DataFrame, path: str, kind: str = "csv", k: int = 5, keep: Sequence[str] = ("fqdn",)) -> None:
     """The wide top-k table, one file per partition."""
-    score.wide(scored, k, keep).write.mode("overwrite").format(kind).options(header=True).save(path)
+    options = {"header": True, **readers.QUOTING} if kind == "csv" else {}
+    score.wide(scored, k, keep).write.mode("overwrite").format(kind).options(**options).save(path)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, kind: str = "json") -> None:
@@ -61,8 +67,9 @@ def next_patch(version: str) -> str:
 class ModelStore:
     """Versioned models below one folder, with an append-only registry table.
 
-    Versions: ``semantic`` (patch + 1), ``timestamp`` or ``hash`` (of the
-    saved settings and metadata).
+    Versions: ``semantic`` (patch + 1), ``timestamp`` or ``hash`` (of what the
+    model consists of: settings, fitted tables and weights). A live version is
+    never overwritten; saving the same content by hash gives the version it has.
     """
 
     SCHEMA = "name string, version string, event string, at timestamp, path string, metadata string"
@@ -98,22 +105,56 @@ class ModelStore:
     def latest(self, name: str) -> str | None:
         return (self.versions(name).get(name) or [None])[-1]
 
-    def _new_version(self, name: str, metadata: str) -> str:
+    def _new_version(self, name: str) -> str:
         if self.versioning == "timestamp":
-            return datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-        if self.versioning == "hash":
-            content = self.spark.range(1).select(F.sha2(F.lit(f"{name}|{metadata}"), 256))
-            return content.first()[0][:12]
+            return datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
         current = self.latest(name)
         return "1.0.0" if current is None else next_patch(current)
 
-    def save(self, model: MLWritable, name: str, version: str | None = None, metadata: dict[str, Any] | None = None) -> str:
-        import json
+    def _content_hash(self, path: str) -> str:
+        """Of a saved model: its settings without names, times and versions of
+        the moment, and the rows of its tables in any order."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(root, True)
+        folders: set[str] = set()
+        while files.hasNext():
+            file = files.next().getPath()
+            if file.getName().startswith("part-"):
+                folders.add(file.getParent().toString())
+        parts = []
+        for folder in folders:
+            place = re.sub(r"_[0-9a-f]{12,}", "", folder[folder.index(path.rsplit("/", 1)[1]) :].partition("/")[2])
+            if folder.endswith("/metadata"):
+                content = json.loads("".join(sorted(r["value"] for r in self.spark.read.text(folder).collect())))
+                for key in ("uid", "timestamp", "sparkVersion"):
+                    content.pop(key, None)
+                text = re.sub(r"_[0-9a-f]{12,}", "", json.dumps(content, sort_keys=True))
+            else:
+                text = str(tuple(table_digest(self.spark.read.parquet(folder)).first()))
+            parts.append(f"{place}|{text}")
+        return hashlib.sha256("\n".join(sorted(parts)).encode()).hexdigest()[:12]
 
+    def save(self, model: MLWritable, name: str, version: str | None = None, metadata: dict[str, Any] | None = None) -> str:
         note = json.dumps(metadata or {}, sort_keys=True, default=str)
-        version = version or self._new_version(name, note)
-        path = f"{self.folder}/{name}/{version}"
-        model.write().overwrite().save(path)
+        if version is None and self.versioning == "hash":
+            staged = f"{self.folder}/staged-{uuid.uuid4().hex}"
+            model.write().save(staged)
+            version = self._content_hash(staged)
+            path = f"{self.folder}/{name}/{version}"
+            source, target = (self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
+            system = source.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if version in self.versions(name).get(name, ()):
+                system.delete(source, True)
+                return version
+            system.mkdirs(target.getParent())
+            if not system.rename(source, target):
+                raise OSError(f"cannot move the model to {path}")
+        else:
+            version = version or self._new_version(name)
+            path = f"{self.folder}/{name}/{version}"
+            if version in self.versions(name).get(name, ()):
+                raise FileExistsError(f"version {version} of model {name!r} is live; delete it first")
+            model.write().overwrite().save(path)  # what may be there is no live version
         self._append(name=name, version=version, event="saved", at=datetime.now(timezone.utc), path=path, metadata=note)
         return version
 

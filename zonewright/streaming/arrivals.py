@@ -27,7 +27,7 @@ def arriving_records(
     reader = spark.readStream.format(kind).option("maxFilesPerTrigger", files_per_batch)
     if kind != "csv":
         return reader.schema(schema).load(folder)
-    raw = reader.schema(text).option("header", True).load(folder)
+    raw = reader.schema(text).options(header=True, multiLine=True, enforceSchema=False, **readers.QUOTING).load(folder)
     return readers.typed(readers.null_tokens_to_null(raw, tokens), schema)
 
 

@@ -94,6 +94,9 @@ MAIL_POLICY_PATTERNS: dict[str, str] = {
     "dkim": r"v=DKIM",
 }
 
+# --- Fixed value: the strict pattern of a host name.
+STRICT_HOST_PATTERN = r"^(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}\.?$"
+
 # --- Fixed values: scan tags and description keywords.
 SCAN_TAGS: tuple[str, ...] = (
     "cname_ip_present",
@@ -127,11 +130,6 @@ NORMALIZED_TEXT_COLUMNS: tuple[str, ...] = (
 )
 TEXT_ROLE: tuple[str, ...] = ("fqdn", "record_data", "raw_fqdn")
 NUMERIC_ROLE: tuple[str, ...] = ("num_dots", "appserviceid")
-CATEGORY_ROLE: tuple[str, ...] = (
-    "record_type", "fqdn_source", "fqdn_status", "bus_domain", "bus_sub_domain",
-    "brand", "product", "market", "tech_environment", "country_code", "category",
-    "itso_id", "itso_name", "buslevel4", "buslevel5", "buslevel6",
-)
 DEFAULT_CATEGORICAL_COLUMNS: tuple[str, ...] = (
     "record_type", "fqdn_source", "fqdn_status", "brand", "product", "market",
     "tech_environment", "country_code", "itso_id", "buslevel4", "buslevel5",
