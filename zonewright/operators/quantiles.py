@@ -63,7 +63,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         out[c] = []
         for x in places[c]:
             below, above = searches[c, floor(x)].low, searches[c, ceil(x)].low
-            out[c].append(below if floor(x) == ceil(x) else (ceil(x) - x) * below + (x - floor(x)) * above)
+            out[c].append(below if below == above else (ceil(x) - x) * below + (x - floor(x)) * above)
     return out
 
 
