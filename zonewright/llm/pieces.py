@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,9 @@ class Pieces:
         for b, i in enumerate(self.byte_ids.tolist()):
             if i >= 0:
                 self.bytes_of[i] = bytes([b])
+        self.sizes_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.starts_of = np.cumsum(self.sizes_of) - self.sizes_of
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def solve(self, units: list[bytes]) -> list[list[int]]:
         """Best piece ids of each unit (bytes with markers in place of spaces)."""
@@ -268,8 +272,18 @@ class Pieces:
         return run
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return self.decode_many(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0]
+
+    def decode_many(self, flat: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The texts of flat[cuts[0]:cuts[1]], flat[cuts[1]:cuts[2]], ...: the
+        bytes of all pieces are gathered at once."""
+        size = self.sizes_of[flat]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = self.all_bytes[np.repeat(self.starts_of[flat] - ends + size, size) + np.arange(total)].tobytes()
+        places = np.concatenate(([0], ends))[cuts].tolist()
+        parts = (raw[a:b] for a, b in zip(places, places[1:]))
+        return [(p[1:] if p[:1] == b" " else p).decode("utf-8", "replace") for p in parts]
 
 
 def load(path: str = MODEL, scores: str = "rank") -> Pieces:
@@ -335,7 +349,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame
                 flat = np.concatenate(found)
                 ends = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
                 seen = np.concatenate(([0], np.cumsum(is_byte[flat])))
-                same = [pieces.decode(f.tolist()) == t for f, t in zip(found, texts)]
+                same = [a == t for a, t in zip(pieces.decode_many(flat, ends), texts)]
                 columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))), pa.array(np.diff(ends).astype(np.int64)),
                            pa.array(seen[ends[1:]] - seen[ends[:-1]], pa.int64()), pa.array(same)]
                 own = part.slice(start, len(texts))
@@ -355,7 +369,9 @@ def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
             for i in range(0, part.num_rows, 256):
                 own = part.slice(i, 256)
                 ids = own.column(own.schema.get_field_index(ids_col))
-                texts = [None if x.as_py() is None else pieces.decode(x.as_py()) for x in ids]
+                there = ids.is_valid().to_numpy(zero_copy_only=False)
+                cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())))
+                texts = [t if ok else None for t, ok in zip(pieces.decode_many(ids.flatten().to_numpy().astype(np.int64), cuts), there)]
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], names=[*own.schema.names, "decoded"])
 
     rows = rows.drop("decoded")
