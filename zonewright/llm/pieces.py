@@ -336,11 +336,9 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame
     """
     names = ["ids", "n_tokens", "n_byte_tokens", "round_trip"]
     rows = docs.drop(*[n for n in names if n != text_col])
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # its size is that of the vocabulary file
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        run = pieces.encoder()
+        run = pieces.encoder()  # the vocabulary travels with the step; its size is that of the file
         is_byte = np.zeros(len(pieces.texts), bool)
         is_byte[pieces.byte_ids[pieces.byte_ids >= 0]] = True
         for part in parts:
@@ -361,10 +359,8 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``, the text of the ids; null ids give null."""
-    shared = rows.sparkSession.sparkContext.broadcast(pieces)
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
         for part in parts:
             for i in range(0, part.num_rows, 256):
                 own = part.slice(i, 256)
