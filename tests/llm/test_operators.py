@@ -327,6 +327,26 @@ def test_toxicity_of_odd_tables(spark, frame):
     assert toxicity.clean(docs, lexicon).columns == docs.columns
 
 
+def test_bounded_sample_keeps_the_rate(spark, frame):
+    """A fit on 700 of each label scores like the fit on all 10,000 and 1,000."""
+    rng = random.Random(8)
+    words = [f"{i}word".translate(str.maketrans("0123456789", "bcdfghjkmn")) for i in range(300)]
+    rows, labels = [], []
+    for i in range(11000):
+        toxic = i % 11 == 0
+        text = rng.choices(words, k=12)
+        if rng.random() < (0.9 if toxic else 0.12):
+            text[rng.randrange(12)] = "vilescum"
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, labels = frame(rows, "doc_id long, text string"), frame(labels, "doc_id long, toxic int")
+    whole, part = toxicity.learn(docs, labels), toxicity.learn(docs, labels, per_label=700)
+    for text in ("bword cword dword", "bword vilescum cword " + "dword " * 9):
+        assert abs(whole.score(text) - part.score(text)) < 0.06, (whole.score(text), part.score(text))
+    predicted = [[lexicon.score(r[1]) >= toxicity.THRESHOLD for r in rows[:1000]] for lexicon in (whole, part)]
+    assert np.mean(np.equal(*predicted)) > 0.97
+
+
 # ---- mixing
 
 

@@ -189,13 +189,15 @@ def _feature_counts(limit: int = 300_000):
 
 
 def sample(labels: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:
-    """About ``per_label`` ids of each label (all, if fewer), by hash of the id."""
+    """About ``per_label`` ids of each label (all, if fewer), by hash of the id.
+    ``weight``: how many labelled rows of its label a row of the sample stands for."""
     one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id__")).agg(F.max(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(per_label / n)).otherwise(share)
-    return one.where(F.pmod(F.xxhash64("id__"), F.lit(1 << 20)) < share * F.lit(float(1 << 20)))
+    chosen = one.where(F.pmod(F.xxhash64("id__"), F.lit(1 << 20)) < share * F.lit(float(1 << 20)))
+    return chosen.withColumn("weight", F.greatest(F.lit(1.0), 1 / share))
 
 
 def learn(
@@ -216,9 +218,9 @@ def learn(
     """
     ids = sample(labels.where(training(id_col)), id_col, label_col, per_label)
     texts = docs.select(F.col(id_col).alias("id__"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    chosen = texts.join(F.broadcast(ids), "id__").select("text", "label")  # at most about 2 * per_label ids of 20 bytes
-    keyed = chosen.mapInArrow(_mapped(lambda t: (copy_key(t),), pa.schema([("key", pa.int64())])), "text string, label int, key long")
-    halves = keyed.groupBy("key", "label").agg(F.min("text").alias("text")).select("text", "label", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("half"))
+    chosen = texts.join(F.broadcast(ids), "id__").select("text", "label", "weight")  # at most about 2 * per_label ids of 20 bytes
+    keyed = chosen.mapInArrow(_mapped(lambda t: (copy_key(t),), pa.schema([("key", pa.int64())])), "text string, label int, weight double, key long")
+    halves = keyed.groupBy("key", "label", "weight").agg(F.min("text").alias("text")).select("text", "label", "weight", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("half"))
     rows = held(halves)
     sizes = {(r["label"], r["half"]): r["n"] for r in rows.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
     toxic, clean = ([sizes.get((label, half), 0) for half in (0, 1)] for label in (1, 0))
@@ -238,13 +240,13 @@ def learn(
     lexicon = lexicon_of((0, 1))
     # Fitted on texts that the lexicon at hand has not seen: each half meets the other's.
     others = [lexicon_of((1 - half,)) for half in (0, 1)] if min(*toxic, *clean) else [lexicon, lexicon]
-    schema = "text string, label int, half int, x double, y double"
+    schema = "text string, label int, weight double, half int, x double, y double"
     scored = None
     for half, other in enumerate(others):
         part = rows.where(F.col("half") == half).mapInArrow(_mapped(other.inputs, pa.schema([("x", pa.float64()), ("y", pa.float64())])), schema)
         scored = part if scored is None else scored.union(part)
-    table = held(scored.select(F.col("label").cast("double"), array_to_vector(F.array("x", "y")).alias("features")))
-    model = LogisticRegression(regParam=0.001, maxIter=50, standardization=True).fit(table)
+    table = held(scored.select(F.col("label").cast("double"), "weight", array_to_vector(F.array("x", "y")).alias("features")))
+    model = LogisticRegression(regParam=0.001, maxIter=50, standardization=True, weightCol="weight").fit(table)
     lexicon.intercept, lexicon.slopes = float(model.intercept), tuple(float(v) for v in model.coefficients)
     return lexicon
 
