@@ -60,3 +60,14 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int
     hot = F.broadcast(facts.where(F.col(count) * share > total))
     cold = facts.where(F.col(count) * share <= total)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+    """Inner join of ``rows`` with one fact row per key, no task of which gets
+    much more than ``most`` rows of one key: a key with more is split, its fact
+    repeated for each part. The list of such keys, one in ``most`` rows at
+    most, is joined without a hint, so its measured size decides how."""
+    parts = rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("parts__"))
+    spread = rows.join(parts, key, "left").withColumn("salt__", F.when(F.col("parts__").isNull(), 0).otherwise(F.monotonically_increasing_id() % F.col("parts__")).cast("int"))
+    repeated = facts.join(parts, key, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts__") - 1, F.lit(0)))))
+    return spread.drop("parts__").join(repeated.drop("parts__"), [key, "salt__"]).drop("salt__")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm import chat, exact_dedup, licenses, mixing, neighbours, ngrams, pieces, simhash, suffixes, toxicity
+from zonewright.llm import bpe, chat, exact_dedup, licenses, mixing, neighbours, ngrams, pieces, simhash, suffixes, toxicity
 from zonewright.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), bpe.load())
