@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm import bpe, chat, exact_dedup, licenses, mixing, neighbours, ngrams, pieces, simhash, suffixes, toxicity
+from zonewright.llm import bpe, chat, exact_dedup, licenses, merkle, mixing, neighbours, ngrams, pieces, simhash, suffixes, toxicity
 from zonewright.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,40 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query(
+    "op11_merkle_manifest",
+    r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, lang,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+    coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295) % 7 = 0, false) AS hit FROM documents),
+f AS (SELECT *, CAST(n_chars AS VARCHAR) AS n, CAST(n_chars + 1 AS VARCHAR) AS n2 FROM d),
+v AS (SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(n) || ':' || n, '-') || tail) AS leaf, CASE WHEN hit THEN sha256(head || coalesce(strlen(n2) || ':' || n2, '-') || tail) END AS changed FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM v),
+up AS (SELECT lang, 0 AS l, i, leaf AS h FROM p UNION ALL
+  SELECT lang, l + 1, i // 2, sha256(h || coalesce(h2, '')) FROM (SELECT *, lead(h) OVER (PARTITION BY lang ORDER BY i) AS h2, count(*) OVER (PARTITION BY lang) AS n FROM up) WHERE n > 1 AND i % 2 = 0),
+trees AS (SELECT *, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS j FROM (SELECT lang, arg_max(h, l) AS subroot, max(l) AS levels FROM up GROUP BY lang)),
+top AS (SELECT 0 AS l, j, subroot AS h FROM trees UNION ALL
+  SELECT l + 1, j // 2, sha256(h || coalesce(h2, '')) FROM (SELECT *, lead(h) OVER (ORDER BY j) AS h2, count(*) OVER () AS n FROM top) WHERE n > 1 AND j % 2 = 0),
+r AS (SELECT arg_max(h, l) AS root, max(l) AS levels FROM top),
+steps AS (SELECT p.rid, k.l, CASE WHEN (p.i >> k.l) % 2 = 1 THEN u.h || '|' ELSE '|' || coalesce(u.h, '') END AS step
+    FROM p JOIN trees t ON p.lang IS NOT DISTINCT FROM t.lang JOIN (SELECT DISTINCT l FROM up) k ON k.l < t.levels
+    LEFT JOIN up u ON u.lang IS NOT DISTINCT FROM p.lang AND u.l = k.l AND u.i = xor(p.i >> k.l, 1)
+  UNION ALL SELECT p.rid, 100 + k.l, CASE WHEN (t.j >> k.l) % 2 = 1 THEN u.h || '|' ELSE '|' || coalesce(u.h, '') END
+    FROM p JOIN trees t ON p.lang IS NOT DISTINCT FROM t.lang JOIN (SELECT DISTINCT l FROM top) k ON k.l < (SELECT levels FROM r)
+    LEFT JOIN top u ON u.l = k.l AND u.j = xor(t.j >> k.l, 1)),
+w AS (SELECT rid, list(step ORDER BY l) AS steps FROM steps GROUP BY rid),
+o AS (SELECT p.doc_id, p.leaf, t.subroot, r.root, sha256(replace(array_to_string(coalesce(w.steps, []), ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(p.changed, p.leaf), coalesce(w.steps, [])), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root
+  FROM p JOIN trees t ON p.lang IS NOT DISTINCT FROM t.lang CROSS JOIN r LEFT JOIN w USING (rid))
+SELECT *, folded_root = root AS verified FROM o
+""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.documents_manifest(table(spark, folder, "documents"))
+
+
 @query("op12_byte_bpe")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), bpe.load())
