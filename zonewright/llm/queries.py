@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm import bpe, chat, exact_dedup, licenses, merkle, mixing, neighbours, ngrams, pieces, simhash, suffixes, toxicity
+from zonewright.llm import bpe, chat, exact_dedup, licenses, merkle, mixing, neighbours, ngrams, pieces, repair, simhash, suffixes, toxicity
 from zonewright.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_byte_bpe")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), bpe.load())
+
+
+@query("op13_structure_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, folder, "conversations")), present=F.col("present"))

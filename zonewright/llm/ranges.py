@@ -23,13 +23,10 @@ def in_ranges(rows: DataFrame, by: Sequence[str], seed: int = 11) -> DataFrame:
     return salted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie__")
 
 
-def numbered(rows: DataFrame, group: str, by: Sequence[str]) -> DataFrame:
-    """``rows``, written once, with ``place`` (from 0 within the group, in the
-    order ``by``; rows equal in it in any order) and ``size`` of the group.
-
-    ``group`` has no nulls. Each range counts its rows alone; what stands ahead
-    of a range comes from one count per range and group.
-    """
+def placed(rows: DataFrame, group: str, by: Sequence[str]) -> DataFrame:
+    """``rows`` in ranges of the order (``group``, ``by``), written once, with
+    ``range__`` and ``at__``, the place (from 0) among the group's rows in the
+    range. Partitions keep that order. ``group`` has no nulls."""
     ordered = in_ranges(rows, [group, *by])
     names = [f.name for f in ordered.schema]
 
@@ -48,12 +45,21 @@ def numbered(rows: DataFrame, group: str, by: Sequence[str]) -> DataFrame:
             columns = [pa.array(np.full(part.num_rows, own, np.int32)), pa.array(at.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*names, "range__", "at__"])
 
-
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ordered.schema)
-    written = held(ordered.mapInArrow(step, f"{fields}range__ int, at__ long"))
+    return held(ordered.mapInArrow(step, f"{fields}range__ int, at__ long"))
+
+
+def numbered(rows: DataFrame, group: str, by: Sequence[str]) -> DataFrame:
+    """``rows``, written once, with ``place`` (from 0 within the group, in the
+    order ``by``; rows equal in it in any order) and ``size`` of the group.
+
+    Each range counts its rows alone; what stands ahead of a range comes from
+    one count per range and group. ``group`` has no nulls.
+    """
+    written = placed(rows, group, by)
     counts = written.groupBy(group, "range__").agg(F.max("at__").alias("n__"))
     whole = Window.partitionBy(group)
     ahead = counts.select(
         group, "range__", (F.sum(F.col("n__") + 1).over(whole.orderBy("range__")) - F.col("n__") - 1).alias("ahead__"), F.sum(F.col("n__") + 1).over(whole).alias("size"),
     )
-    return written.join(ahead, [group, "range__"]).select(*names, (F.col("at__") + F.col("ahead__")).alias("place"), "size")
+    return written.join(ahead, [group, "range__"]).select(*rows.columns, (F.col("at__") + F.col("ahead__")).alias("place"), "size")
