@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorSizeHint
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, VectorSizeHint
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from zonewright.functions import text as X
 from zonewright.functions.numbers import bind
-from zonewright.operators.base import Stage
+from zonewright.operators.base import Stage, hold
 
 
-def term_table(df: DataFrame, terms: str) -> DataFrame:
-    """``(term, total, df)`` from a column of term arrays.
+def term_table(df: DataFrame, terms: str, copies: str | None = None) -> DataFrame:
+    """``(term, total, df)`` from a column of term arrays; ``copies`` names the
+    number of rows each array stands for.
 
     Each row lists its terms twice, whole and distinct, so document
     frequencies need no grouping by row: the only exchange carries partial
@@ -22,15 +28,24 @@ def term_table(df: DataFrame, terms: str) -> DataFrame:
     """
     whole = F.struct(F.col(terms).alias("t"), F.lit(1).alias("total"), F.lit(0).alias("df"))
     distinct = F.struct(F.array_distinct(terms).alias("t"), F.lit(0).alias("total"), F.lit(1).alias("df"))
-    lists = df.select(terms).select(F.inline(F.array(whole, distinct)))
+    lists = df.select((F.col(copies) if copies else F.lit(1)).alias("n"), F.inline(F.array(whole, distinct)))
     return (
-        lists.select(F.explode("t").alias("term"), "total", "df")
-        .groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+        lists.select("n", F.explode("t").alias("term"), "total", "df")
+        .groupBy("term").agg(F.sum(F.col("total") * F.col("n")).alias("total"), F.sum(F.col("df") * F.col("n")).alias("df"))
     )
 
 
+def distinct_texts(df: DataFrame, column: str) -> DataFrame:
+    """``(text, copies)``, written once. What follows is costly per text, so it
+    runs once per distinct text, and over the session's number of shuffle
+    partitions, however few tasks read the input. Equal texts are counted ahead
+    of the exchange."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hold(df.groupBy(F.col(column).alias("text")).agg(F.count("*").alias("copies"))).repartition(parts)
+
+
 def vocabulary_table(
-    df: DataFrame, terms: str, max_features: int, min_df: int = 2, max_df: float = 0.95, n_rows: int | None = None
+    df: DataFrame, terms: str, max_features: int, min_df: int = 2, max_df: float = 0.95, n_rows: int | None = None, copies: str | None = None
 ) -> DataFrame:
     """``(term, total, df)`` of the kept terms.
 
@@ -38,7 +53,7 @@ def vocabulary_table(
     leave; of the rest the most frequent stay (ties: alphabetical).
     """
     n = df.count() if n_rows is None else n_rows
-    kept = term_table(df, terms).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    kept = term_table(df, terms, copies).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     return kept.orderBy(F.desc("total"), "term").limit(max_features)
 
 
@@ -61,8 +76,8 @@ class TermWeights(Estimator, Stage):
         "stop_words": [],
     }
 
-    def terms(self) -> Column:
-        source, low, high = F.col(self.get("input")), self.get("low"), self.get("high")
+    def terms(self, column: str | None = None) -> Column:
+        source, low, high = F.col(column or self.get("input")), self.get("low"), self.get("high")
         analyzer = self.get("analyzer")
         if analyzer == "char_wb":
             return X.char_wb_ngrams(X.clean_host_text(source), low, high)
@@ -72,12 +87,15 @@ class TermWeights(Estimator, Stage):
             return X.description_terms(source, self.get("stop_words"), low, high)
         raise ValueError(f"unknown analyzer {analyzer!r}")
 
+    def vocabulary(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """(term, total, df) of the kept terms, and the number of rows."""
+        texts = distinct_texts(df, self.get("input"))
+        n = texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+        rows = texts.select(self.terms("text").alias("terms"), "copies")
+        return vocabulary_table(rows, "terms", self.get("max_features"), self.get("min_df"), self.get("max_df"), n, "copies"), n
+
     def _fit(self, df: DataFrame) -> "TermWeightsModel":
-        rows = df.select(self.terms().alias("terms"))
-        n = df.count()
-        kept = vocabulary_table(
-            rows, "terms", self.get("max_features"), self.get("min_df"), self.get("max_df"), n
-        )
+        kept, n = self.vocabulary(df)
         found = kept.orderBy("term").select(
             "term", (F.ln((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")
         ).collect()  # at most max_features rows
@@ -106,37 +124,41 @@ class TermWeightsModel(Model, Stage):
         names = df.columns
         if not self.get("vocabulary"):
             return df.select("*", F.lit("").alias("term"), F.lit(0.0).alias("weight")).where("false")
-        idf, words = F.array(*map(F.lit, self.get("idf"))), F.array(*map(F.lit, self.get("vocabulary")))
-
-        def normed(raw: Column) -> Column:
-            square = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-            return bind(
-                F.sqrt(square),
-                lambda norm: F.transform(
-                    raw, lambda x: F.struct(F.get(words, x["i"]).alias("term"), (x["w"] / norm).alias("weight"))
-                ),
-            )
-
-        def weighted(s: Column) -> Column:
-            return F.zip_with(
-                s["indices"], s["values"],
-                lambda i, tf: F.struct(i.alias("i"), ((1.0 + F.ln(tf)) * F.get(idf, i)).alias("w")),
-            )
-
-        sparse = bind(F.unwrap_udt("__counts"), lambda s: bind(weighted(s), normed))
-        return self._counted(df).select(*names, F.inline(sparse))
+        words = F.array(*map(F.lit, self.get("vocabulary")))
+        pairs = bind(
+            F.unwrap_udt("__weights"),
+            lambda v: F.zip_with(v["indices"], v["values"], lambda i, w: F.struct(F.get(words, i).alias("term"), w.alias("weight"))),
+        )
+        return self._weighted(df, "__weights").select(*names, F.inline(pairs))
+
+    def _weighted(self, df: DataFrame, output: str) -> DataFrame:
+        """Counts to weights of unit length, in Arrow batches: sparse rows stay sparse."""
+        idf = np.array(self.get("idf"))
+
+        @arrow_udf(VectorUDT())
+        def weigh(counts: pa.Array) -> pa.Array:
+            kinds, sizes, indices, values = counts.flatten()
+            per_row = pc.list_value_length(indices).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = indices.flatten().to_numpy()
+            w = (1.0 + np.log(values.flatten().to_numpy())) * idf[at]
+            row = np.repeat(np.arange(len(per_row)), per_row)
+            w /= np.sqrt(np.bincount(row, w * w, len(per_row)))[row]
+            ends = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at, w)]
+            return pa.StructArray.from_arrays([kinds, sizes, *lists], names=["type", "size", "indices", "values"])
+
+        # Spark 4.1 does not evaluate a Python function that has a lambda in its argument or stands
+        # in one. The row id and the mark keep the optimizer from merging the steps to that.
+        counts = F.when(F.monotonically_increasing_id() >= 0, F.col("__counts"))
+        counted = self._counted(df).withColumn("__counts", counts)
+        return counted.withColumn(output, weigh.asNondeterministic()(F.unwrap_udt("__counts"))).drop("__counts")
 
     def _transform(self, df: DataFrame) -> DataFrame:
         output = self.get("output")
         if not self.get("vocabulary"):
             return df.withColumn(output, array_to_vector(F.array().cast("array<double>")))
-        idf = F.array(*map(F.lit, self.get("idf")))
-        counts = vector_to_array("__counts")
-        dense = F.transform(counts, lambda tf, i: F.when(tf > 0, (1.0 + F.ln(tf)) * F.get(idf, i)).otherwise(0.0))
-        weighted = self._counted(df).withColumn("__raw", array_to_vector(dense))
-        unit = Normalizer(p=2.0, inputCol="__raw", outputCol=output).transform(weighted).drop("__counts", "__raw")
         # With the size declared, assembling needs no look at the first row.
-        return VectorSizeHint(inputCol=output, size=len(self.get("idf")), handleInvalid="optimistic").transform(unit)
+        return VectorSizeHint(inputCol=output, size=len(self.get("idf")), handleInvalid="optimistic").transform(self._weighted(df, output))
 
 
 class KeywordFlags(Model, Stage):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zonewright import vocabulary as V
 from zonewright.functions import host, record_data, scan_tags
 from zonewright.queries.registry import query
-from zonewright.queries.tables import Tables
+from zonewright.queries.tables import Tables, dealt
 
 NUM_DIGITS = r"len(regexp_extract_all(fqdn, '\p{Nd}'))"
 SQL_STRUCTURE = {
@@ -147,7 +147,7 @@ FROM f GROUP BY owner""",
     ("hosts_big",),
 )
 def h15(t: Tables) -> DataFrame:
-    return host.host_features(t.hosts_big).groupBy("owner").agg(
+    return host.host_features(dealt(t.hosts_big)).groupBy("owner").agg(
         F.count("*").alias("hosts"),
         F.sum("fqdn_length").alias("total_length"),
         F.sum("fqdn_num_digits").alias("total_digits"),

@@ -87,6 +87,13 @@ RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
        "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows over the session's number of shuffle partitions, ahead of
+    expressions that cost more than moving a narrow row: the given files are
+    single row groups, and a scan of one is one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 class Tables:
     """The tables of one data folder, as DataFrames."""
 

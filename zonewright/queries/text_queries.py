@@ -12,7 +12,7 @@ from zonewright.operators import choose, encode, vectorize
 from zonewright.plans.features import FeaturePlan, HostFeatures, RecordFeatures, ScanFeatures, feature_names, group_columns
 from zonewright.queries.host_queries import sql_flags, sql_parts
 from zonewright.queries.registry import query
-from zonewright.queries.tables import Tables
+from zonewright.queries.tables import Tables, dealt
 
 INV, DNS = ("inventory",), ("dns_records",)
 STOP_WORDS = (
@@ -77,13 +77,12 @@ def x02(t: Tables) -> DataFrame:
     INV,
 )
 def x03(t: Tables) -> DataFrame:
-    stage = vectorize.TermWeights()
-    return vectorize.vocabulary_table(t.inventory.select(stage.terms().alias("g")), "g", 500)
+    return vectorize.TermWeights().vocabulary(t.inventory)[0]
 
 
 def _weights(t: DataFrame, key: str, **settings) -> DataFrame:
     model = vectorize.TermWeights(**settings).fit(t)
-    return model.weights(t).select(F.col(key).alias("id"), "term", F.round("weight", 6).alias("weight"))
+    return model.weights(dealt(t.select(key, model.get("input")))).select(F.col(key).alias("id"), "term", F.round("weight", 6).alias("weight"))
 
 
 @query(
@@ -103,7 +102,7 @@ SELECT term, count(*) AS n, round(sum(weight), 4) AS total FROM weights GROUP BY
 )
 def x04b(t: Tables) -> DataFrame:
     model = vectorize.TermWeights().fit(t.inventory)
-    long = model.weights(t.inventory.select("fqdn"))
+    long = model.weights(dealt(t.inventory.select("fqdn")))
     return long.groupBy("term").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"))
 
 
@@ -348,7 +347,7 @@ PLAN = {"categorical_columns": ["record_type", "brand", "market"], "numerical_co
 
 
 def _assembled(t: Tables) -> tuple[DataFrame, list[str]]:
-    df = t.inventory.withColumn("scan_result", F.split("scan_text", ","))
+    df = dealt(t.inventory.withColumn("scan_result", F.split("scan_text", ",")))
     plan = FeaturePlan(**PLAN).fit(df)
     return plan.transform(df), feature_names(plan)
 
