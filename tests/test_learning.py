@@ -411,3 +411,55 @@ def test_class_weights_by_table_and_flag(spark):
 def test_stopping_round():
     assert M.stopping_round([5, 4, 3, 3.5, 3.4, 2.0], 2) == 3
     assert M.stopping_round([5, 4, 3, 3.5, 3.4, 2.0], 5) == 6
+
+
+def separable(spark, n=400, classes=4, seed=5):
+    """Classes around their own centres, a quarter of the rows for validation."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(classes, 6)) * 2
+    rows = [(i, float(i % classes), bool(i % 16 < 4), [float(x) for x in centres[i % classes] + rng.normal(size=6)]) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, label double, is_val boolean, x array<double>").select("id", "label", "is_val", array_to_vector("x").alias("features"))
+
+
+@pytest.mark.parametrize(("kind", "options"), [("xgboost", {"maxIter": 10, "maxDepth": 4}), ("lightgbm", {"numTrees": 30}), ("catboost", {})])
+def test_members_reach_the_floor(spark, kind, options):
+    rows = separable(spark)
+    model = M.create_member(kind, validation="is_val", n_classes=4, **options).fit(rows)
+    scored = model.transform(rows.where("is_val")).select("label", "probs").collect()
+    assert all(sum(r["probs"]) == pytest.approx(1, abs=1e-9) and len(r["probs"]) == 4 for r in scored)
+    assert np.mean([int(np.argmax(r["probs"])) == r["label"] for r in scored]) > 0.7
+
+
+def test_rounds_grow_until_the_best_is_seen(spark):
+    rows = separable(spark, 200, 2).withColumn("label", F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < 2, 1 - F.col("label")).otherwise(F.col("label")))
+    member = M.create_member("boosted", maxDepth=3, validation="is_val", early_stopping_rounds=3)
+    model = member.fit(rows)
+    for name, losses in model.get("losses").items():
+        best = model.get("best_iterations")[name]
+        assert best == M.stopping_round(losses, 3) and len(losses) - best >= 3 and len(losses) < 500
+        assert min(losses[: best + 3]) == losses[best - 1]
+
+
+def test_cross_validation_reaches_the_floor(spark):
+    from zonewright.operators import splits
+
+    rows = splits.folds(separable(spark), "id", 3, "label")
+    ensemble = M.Ensemble(members=[{"type": "forest", "weight": 0.5, "options": {"numTrees": 20}}, {"type": "logistic", "weight": 0.5}], n_classes=4)
+    scores = [r["accuracy"] for r in M.cross_validate(rows, ensemble, 3)[0].collect()]
+    assert len(scores) == 3 and min(scores) > 0.30 and np.mean(scores) > 0.40
+
+
+def test_halving_search(spark):
+    rows = separable(spark)
+    space = {"n_estimators": (9, 18, "int"), "max_depth": (1, 6, "int")}
+    best, table = M.halving_search(rows.where("not is_val"), rows.where("is_val"), "forest", key="id", trials=9, space=space)
+    runs = table.collect()
+    per_rung = {g: [r for r in runs if r["rung"] == g] for g in (0, 1, 2)}
+    assert [len(per_rung[g]) for g in (0, 1, 2)] == [9, 3, 1]
+    for g in (0, 1):
+        ordered = sorted(per_rung[g], key=lambda r: (-r["f1_macro"], r["trial"]))
+        assert {r["trial"] for r in per_rung[g + 1]} == {r["trial"] for r in ordered[: len(per_rung[g + 1])]}
+    assert [per_rung[g][0]["share"] for g in (0, 1, 2)] == pytest.approx([1 / 9, 1 / 3, 1])
+    assert str(best) == per_rung[2][0]["params"] and per_rung[2][0]["f1_macro"] > 0.7
+    with pytest.raises(ValueError):
+        M.halving_search(rows, rows, "forest", key="id", trials=0)

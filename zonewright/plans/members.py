@@ -78,7 +78,7 @@ class Member(Estimator, Stage):
     fitted on, by a hash of the features, if that is too costly; by default
     it takes all. With a ``validation`` column, ``early_stopping_rounds`` ends a
     booster at the round after which the validation loss did not improve for as
-    many rounds; ``best_iterations`` and ``losses`` tell what happened.
+    many rounds; rounds are added by doubling until that is seen. ``best_iterations`` and ``losses`` tell what happened.
     """
 
     SETTINGS = {
@@ -140,10 +140,15 @@ class Member(Estimator, Stage):
                 if rounds is None:  # stops by the tolerance of pyspark.ml
                     child = booster.setValidationIndicatorCol(validation).fit(one)
                     return child, child.evaluateEachIteration(one.where(validation))
-                training = one.where(~F.col(validation))
-                child = booster.fit(training)
-                losses = child.evaluateEachIteration(one.where(validation))
-                best = stopping_round(losses, rounds)
+                training, held_out = one.where(~F.col(validation)), one.where(validation)
+                limit, tried = booster.getMaxIter(), min(booster.getMaxIter(), 2 * rounds)
+                while True:  # the first rounds of a longer fit are those of a shorter one
+                    child = booster.setMaxIter(tried).fit(training)
+                    losses = child.evaluateEachIteration(held_out)
+                    best = stopping_round(losses, rounds)
+                    if tried == limit or tried - best >= rounds:
+                        break
+                    tried = min(limit, 2 * tried)
                 return (child if best == len(losses) else booster.setMaxIter(best).fit(training)), losses
 
             losses: dict[str, list[float]] = {}
@@ -360,6 +365,55 @@ def search(
     return candidates[best], train.sparkSession.createDataFrame(rows, "trial int, params string, f1_macro double")
 
 
+def halving_search(
+    train: DataFrame, validation: DataFrame, kind: str, key: str, trials: int = 27, eta: int = 3, seed: int = 42,
+    space: dict | None = None, parallelism: int = 4, scaled: tuple[str, ...] = ("n_estimators", "iterations"), **settings: Any,
+) -> tuple[dict[str, Any], DataFrame]:
+    """``(best parameters, rungs table)``: a search by successive halving.
+
+    The first rung fits all trials on a small share of the training rows; the
+    best ``1/eta`` of them go on to ``eta`` times the share, until the last rung
+    fits on all rows. The options named by ``scaled``, trees or rounds, shrink
+    with the share. Samples are nested, by a hash of ``key``. The trials of a
+    rung are fitted side by side. Scores are macro F1 on all validation rows;
+    equal scores go by trial number. A share without rows is left out.
+
+    The table has (rung, trial, share, params, f1_macro), a row per fit.
+    """
+    if trials < 1 or eta < 2:
+        raise ValueError("a search needs a trial, and rungs that shrink")
+    candidates = sample_parameters(kind, trials, seed, space)
+    label = settings.get("label", "label")
+    if settings.get("n_classes") is None:
+        settings["n_classes"] = int(train.agg(F.max(label)).first()[0]) + 1
+    sizes = [trials]
+    while sizes[-1] > 1:
+        sizes.append(-(-sizes[-1] // eta))
+    last, place = len(sizes) - 1, F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30))
+    train, validation = train.persist(), validation.persist()
+    live, rows = list(range(trials)), []
+    for rung, size in enumerate(sizes):
+        share = eta ** float(rung - last)
+        sample = train if rung == last else train.where(place < share * (1 << 30))
+
+        def run(trial: int, sample: DataFrame = sample, share: float = share) -> float:
+            options = {n: max(1, round(v * share)) if n in scaled else v for n, v in candidates[trial].items()}
+            model = Member(type=kind, options=options, seed=seed, **settings).fit(sample)
+            scored = model.transform(validation).withColumn("prediction", voting.predicted_class(F.col("probs")))
+            return float(metrics(scored, label)["f1_macro"])
+
+        live = live[:size]
+        if sample.isEmpty():
+            continue
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores = dict(zip(live, pool.map(run, live)))
+        rows += [(rung, t, share, str(candidates[t]), scores[t]) for t in live]
+        live = sorted(live, key=lambda t: (-scores[t], t))
+    train.unpersist()
+    validation.unpersist()
+    return candidates[live[0]], train.sparkSession.createDataFrame(rows, "rung int, trial int, share double, params string, f1_macro double")
+
+
 def permutation_importance(
     model: Model, df: DataFrame, key: str, columns: list[str], label: str = "label", seed: int = 42
 ) -> DataFrame:

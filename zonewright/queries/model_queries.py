@@ -1,8 +1,7 @@
 """Fitted models, whole jobs and the model store.
 
-SQL cannot fit them; it checks what must hold for any fitted model: which rows
-are scored, that probabilities add up, that importances name every feature, that
-reported metrics follow from the predictions.
+SQL cannot fit them, so most have none; the tests assert what must hold for
+their results: rows, sums, ranges, and accuracy floors.
 """
 
 from __future__ import annotations
@@ -27,9 +26,6 @@ SQL_VECTORS = f"""ranked AS (SELECT vec_id AS id, label, row_number() OVER (PART
   count(*) OVER (PARTITION BY label) AS n FROM embeddings),
 vectors AS (SELECT id, CAST(label AS DOUBLE) AS label, CASE WHEN label IS NULL OR n < 3 OR r <= {_CUT.format('0.7')} THEN 'train'
   WHEN r <= {_CUT.format('0.7')} + {_CUT.format('0.15')} THEN 'val' ELSE 'test' END AS split FROM ranked)"""
-SQL_TESTED = f"WITH {SQL_VECTORS} SELECT id, label, true AS adds_up, true AS is_class FROM vectors WHERE split = 'test'"
-SQL_NAMES = "SELECT concat('e', CAST(i AS VARCHAR)) AS feature, true AS adds_up FROM range(64) t(i)"
-
 
 def vectors(t: Tables) -> DataFrame:
     """The embeddings as labelled feature vectors, with a stratified split."""
@@ -41,8 +37,8 @@ def vectors(t: Tables) -> DataFrame:
 
 
 def _tested(scored: DataFrame) -> DataFrame:
-    adds_up = F.abs(F.aggregate("probs", F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9
-    return scored.select("id", "label", adds_up.alias("adds_up"), voting.predicted_class(F.col("probs")).between(0, 9).alias("is_class"))
+    """Id, label, the class of the greatest probability, and that probability."""
+    return scored.select("id", "label", voting.predicted_class(F.col("probs")).alias("prediction"), F.array_max("probs").alias("confidence"))
 
 
 def _member(t: Tables, kind: str, **settings) -> DataFrame:
@@ -51,56 +47,43 @@ def _member(t: Tables, kind: str, **settings) -> DataFrame:
     return _tested(model.transform(rows.where("split = 'test'")))
 
 
-@query("m01_boosted_member", SQL_TESTED)
+@query("m01_boosted_member")
 def m01(t: Tables) -> DataFrame:
     return _member(t, "xgboost")
 
 
-@query("m02_forest_member_balanced", SQL_TESTED)
+@query("m02_forest_member_balanced")
 def m02(t: Tables) -> DataFrame:
     return _member(t, "lightgbm", class_weight="balanced")
 
 
-@query("m03_logistic_member", SQL_TESTED)
+@query("m03_logistic_member")
 def m03(t: Tables) -> DataFrame:
     return _member(t, "catboost")
 
 
-def _complete(t: Tables, names: list[str], importances: list[float]) -> DataFrame:
-    """One row per feature; whether the importances sum to 1."""
-    adds_up = abs(sum(importances) - 1) < 1e-9 and min(importances) >= 0
-    return t.spark.createDataFrame([(n, adds_up) for n in names], "feature string, adds_up boolean")
-
-
-@query("m04_early_stopping", "SELECT concat('class_', CAST(i AS VARCHAR)) AS class, true AS stopped, true AS losses_kept FROM range(10) t(i)")
+@query("m04_early_stopping")
 def m04(t: Tables) -> DataFrame:
-    """Boosters that stop ``early_stopping_rounds`` after the best round; 30 rounds at most here."""
-    member = M.create_member("boosted", maxIter=30, maxDepth=4, validation="is_val", early_stopping_rounds=5)
-    model = member.fit(vectors(t).where("split <> 'test'"))
+    """Boosters with their default rounds and depth, kept up to the best round
+    on the validation rows. One booster per class makes ten classes slow, so the
+    label is taken modulo 3."""
+    member = M.create_member("boosted", validation="is_val", early_stopping_rounds=5)
+    model = member.fit(vectors(t).where("split <> 'test'").withColumn("label", F.col("label") % 3))
     losses, best = model.get("losses"), model.get("best_iterations")
-    rows = [(c, best[c] == M.stopping_round(found, 5), len(found) == 30) for c, found in losses.items()]
-    return t.spark.createDataFrame(rows, "class string, stopped boolean, losses_kept boolean")
+    rows = [(c, len(found), best[c], found[best[c] - 1]) for c, found in losses.items()]
+    return t.spark.createDataFrame(rows, "class string, rounds int, best_round int, best_loss double")
 
 
 def _ensemble(vote: str = "soft") -> M.Ensemble:
     return M.Ensemble(members=[{"type": "forest", "weight": 0.6}, {"type": "logistic", "weight": 0.4}], voting=vote, n_classes=10)
 
 
-@query("m12_ensemble", SQL_TESTED)
+@query("m12_ensemble")
 def m12(t: Tables) -> DataFrame:
     rows = vectors(t)
     model = _ensemble("hard").fit(rows.where("split = 'train'"))
     scored = model.transform(rows.where("split = 'test'"))
-    return _tested(scored).join(scored.select("id", "prediction").where("prediction between 0 and 9"), "id", "left_semi")
-
-
-def _fair(metrics: DataFrame) -> DataFrame:
-    inside = F.when(F.col("metric") == "log_loss", F.col("value") >= 0).otherwise(F.col("value").between(0, 1))
-    return metrics.select("metric", inside.alias("in_range"))
-
-
-METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "top_3_accuracy", "top_5_accuracy", "log_loss")
-SQL_METRICS = "SELECT metric, true AS in_range FROM (VALUES " + ", ".join(f"('{m}')" for m in METRICS) + ") v(metric)"
+    return scored.select("id", "label", "prediction", "probs")
 
 
 @query("m13_validation_metrics", f"WITH {SQL_VECTORS} SELECT count(*) AS n_rows, true AS accuracy_agrees, true AS recall_agrees FROM vectors WHERE split = 'val'")
@@ -116,40 +99,34 @@ def m13(t: Tables) -> DataFrame:
     return scored.agg(F.count("*").alias("n_rows"), same.alias("accuracy_agrees"), F.lit(abs(recall - told["recall_macro"]) < 1e-9).alias("recall_agrees"))
 
 
-@query("m14_cross_validation", "SELECT CAST(i AS INTEGER) AS fold, true AS in_range FROM range(3) t(i)")
+@query("m14_cross_validation")
 def m14(t: Tables) -> DataFrame:
     rows = splits.folds(vectors(t), "id", 3, "label")
-    scores = M.cross_validate(rows, _ensemble(), 3)[0]
-    return scores.select("fold", (F.col("accuracy").between(0, 1) & F.col("f1_macro").between(0, 1)).alias("in_range"))
+    return M.cross_validate(rows, _ensemble(), 3)[0]
 
 
-@query("m15_parameter_search", "SELECT CAST(i AS INTEGER) AS trial, true AS in_range, true AS in_space FROM range(3) t(i)")
+@query("m15_parameter_search")
 def m15(t: Tables) -> DataFrame:
-    """Three trials of the forest's own search space."""
+    """27 trials of the forest's own search space, by successive halving."""
     rows = vectors(t)
-    best, trials = M.search(rows.where("split = 'train'"), rows.where("split = 'val'"), "forest", 3)
-    inside = all(low <= best[name] <= high for name, (low, high, _) in M.SEARCH_SPACES["forest"].items())
-    return trials.select("trial", F.col("f1_macro").between(0, 1).alias("in_range"), F.lit(inside).alias("in_space"))
+    return M.halving_search(rows.where("split = 'train'"), rows.where("split = 'val'"), "forest", key="id", trials=27)[1]
 
 
-@query("m16_importance_table", SQL_NAMES)
+@query("m16_importance_table")
 def m16(t: Tables) -> DataFrame:
     rows = vectors(t)
     model = _ensemble().fit(rows.where("split = 'train'"))
-    table = model.importance_table(rows, [f"e{i}" for i in range(64)]).collect()
-    return _complete(t, [r["feature"] for r in table], [r["importance"] for r in table])
+    return model.importance_table(rows, [f"e{i}" for i in range(64)])
 
 
-@query("l06_importance_selection", "SELECT true AS known, true AS above, true AS sorted_names")
+@query("l06_importance_selection")
 def l06(t: Tables) -> DataFrame:
-    names = [f"e{i}" for i in range(64)]
-    model = choose.ImportanceSelector(names=names, threshold=0.01).fit(vectors(t))
+    model = choose.ImportanceSelector(names=[f"e{i}" for i in range(64)], threshold=0.01).fit(vectors(t))
     scores = model.get("scores")
-    row = (set(scores) <= set(names), all(s >= 0.01 for s in scores.values()), model.feature_names() == [n for n in names if n in scores])
-    return t.spark.createDataFrame([row], "known boolean, above boolean, sorted_names boolean")
+    return t.spark.createDataFrame([(i, n, float(scores[n])) for i, n in enumerate(model.feature_names())], "position int, feature string, importance double")
 
 
-@query("d18_permutation_importance", "SELECT * FROM (VALUES ('l_quantity', true), ('l_tax', false)) v(\"column\", matters)")
+@query("d18_permutation_importance")
 def d18(t: Tables) -> DataFrame:
     """The column the label follows loses accuracy, the other does not."""
     from pyspark.ml import PipelineModel
@@ -162,17 +139,15 @@ def d18(t: Tables) -> DataFrame:
     assembler = VectorAssembler(inputCols=["l_quantity", "l_tax"], outputCol="features")
     member = M.Ensemble(members=[{"type": "forest", "options": {"numTrees": 5, "maxDepth": 3}}], n_classes=2)
     model = PipelineModel([assembler, member.fit(assembler.transform(rows))])
-    drops = M.permutation_importance(model, rows, "key", ["l_quantity", "l_tax"])
-    return drops.select("column", (F.col("drop") > 0.05).alias("matters"))
+    return M.permutation_importance(model, rows, "key", ["l_quantity", "l_tax"])
 
 
-@query("d19_host_embeddings", "SELECT id, CAST(64 AS BIGINT) AS n, true AS finite FROM dns_records", ("dns_records",))
+@query("d19_host_embeddings")
 def d19(t: Tables) -> DataFrame:
     """Word2Vec vectors of host words (64 numbers per host)."""
     words = t.dns_records.select("id", text.host_word_terms(F.col("fqdn"), 1, 1).alias("words"))
     model = Word2Vec(vectorSize=64, minCount=1, seed=42, inputCol="words", outputCol="v").fit(words)
-    cells = model.transform(words).select("id", F.posexplode(vector_to_array("v")).alias("i", "x"))
-    return cells.groupBy("id").agg(F.count("*").alias("n"), F.bool_and(F.abs("x") < float("inf")).alias("finite"))
+    return model.transform(words).select("id", vector_to_array("v").alias("vector"))
 
 
 _TRAINED: dict[tuple[str, str], tuple] = {}
@@ -187,17 +162,17 @@ def _train(t: Tables) -> tuple[jobs.Training, sinks.ModelStore]:
     return _TRAINED[key]
 
 
-@query("m17_training_report", SQL_METRICS)
+@query("m17_training_report")
 def m17(t: Tables) -> DataFrame:
-    return _fair(_train(t)[0].metrics)
+    return _train(t)[0].metrics
 
 
-@query("i01_i04_stored_model_scores", "SELECT id, fqdn, true AS in_range FROM dns_records WHERE appid = 0", ("dns_records",))
+@query("i01_i04_stored_model_scores")
 def i04(t: Tables) -> DataFrame:
     """Train, store, load the latest version, score the orphans."""
     model = _train(t)[1].load(jobs.MODEL_NAME)
     scored = jobs.predict(model, readers.orphans(t.dns_records))
-    return scored.select("id", "fqdn", F.col("confidence").between(0, 1).alias("in_range"))
+    return scored.select("id", "fqdn", "predicted_appid", "confidence")
 
 
 @query("i02_single_record", "SELECT min(id) AS id, true AS same_owner, true AS same_confidence FROM dns_records WHERE appid = 0", ("dns_records",))

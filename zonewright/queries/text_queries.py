@@ -470,17 +470,14 @@ def l04(t: Tables) -> DataFrame:
     return scores.withColumn("mi", F.round("mi", 6))
 
 
-@query("l05_selected_features", "SELECT CAST(i AS INTEGER) AS i, true AS known, true AS varies, true AS scored FROM range(25) t(i)")
+@query("l05_selected_features")
 def l05(t: Tables) -> DataFrame:
-    """The three filters on all host features; label: the record type. The
-    scores themselves are checked against the plain formulas in the tests."""
+    """The three filters on all host features; label: the record type."""
     rows, names = _assembled(t)
     labelled = rows.withColumn("label", F.crc32(F.coalesce("record_type", F.lit(""))) % 5)
     model = choose.FeatureSelector(names=names, max_features=25).fit(labelled)
-    picked = model.transform(labelled).select(vector_to_array("selected").alias("v"))
-    spread = picked.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg((F.var_pop("x") > 0.01).alias("varies"))
-    chosen = [(i, n in names, model.get("scores")[n] > 0) for i, n in enumerate(model.feature_names())]
-    return t.spark.createDataFrame(chosen, "i int, known boolean, scored boolean").join(spread, "i")
+    chosen = [(i, n, float(model.get("scores")[n])) for i, n in enumerate(model.feature_names())]
+    return t.spark.createDataFrame(chosen, "position int, feature string, score double")
 
 
 @query("d20_feature_groups", "SELECT id, fqdn, record_type, record_data, appid, fqdn_status, cost, hits, scan_text, seen_at, tech_environment FROM inventory", INV)
