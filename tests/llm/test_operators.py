@@ -36,7 +36,7 @@ RECORDS = [
     ({"instruction": "do", "input": "", "output": "done"}, "instruction", [("user", "do"), ("assistant", "done")]),
     ({"prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
     ({"context": "k", "question": "q", "answer": 5}, "question_answer", [("user", "k\n\nq"), ("assistant", "5")]),
-    ({"role": "bot", "text": "t"}, "row", [("assistant", "t")]),
+    ({"role": "bot", "text": "t"}, "row", [("bot", "t")]),
     ({"prompt": "p", "completion": "c", "response": "r"}, None, []),
     ({"unknown": 1}, None, []),
     ([1, 2], None, []),
@@ -118,7 +118,8 @@ def test_neighbours_of_odd_vectors(spark, frame):
     rows += [(100 + i, rows[3][1]) for i in range(80)]
     rows += [(200, [0.0] * 6), (220, None), (240, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (260, [float("nan")] * 6), (280, [float("inf")] * 6), (300, [1.0, 2.0]), (None, [1.0] * 6)]
     rows += [(320, [50.0] * 6), (320, [50.0] * 6)]
-    fine = {i: v for i, v in rows if i is not None and i not in (200, 220, 240, 260, 280, 300)}
+    fine = {i: v for i, v in rows if i is not None and i not in (200, 220, 240, 260, 280)}
+    fine[300] = [1.0, 2.0, 0.0, 0.0, 0.0, 0.0]  # shorter vectors are padded
     want = brute_nearest(list(fine.items()))
     got = {}
     table = frame(rows, "vec_id long, embedding array<double>").withColumn("ids", F.lit(1)).withColumn("key", F.lit("x"))
@@ -131,6 +132,47 @@ def test_neighbours_of_odd_vectors(spark, frame):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def lists_of(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return out
+
+
+@pytest.mark.parametrize("lengths", ["one", "outlier", "lognormal", "two scales"])
+def test_recall_with_vectors_of_any_length(frame, lengths):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    if lengths == "outlier":
+        x[17] *= 10
+    elif lengths == "lognormal":
+        x *= np.exp(rng.normal(size=3000) * 0.5)[:, None]
+    elif lengths == "two scales":
+        x[::2] *= 1e6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, got = brute_nearest(rows), lists_of(neighbours.nearest(frame(rows, "vec_id long, embedding array<double>")))
+    assert set(got) == set(want) and all(len(hits) == 20 for hits in got.values())
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_few_vectors_find_each_other(frame):
+    """Fewer candidates than asked for: the default probes give all of them."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=64) * 10.0 ** (i % 5)).tolist()) for i in range(15)] + [(20, [1e200] * 64), (40, [1e-200] * 64)]
+    want, got = brute_nearest(rows), lists_of(neighbours.nearest(frame(rows, "vec_id long, embedding array<double>")))
+    assert {q: [v for v, _ in hits] for q, hits in got.items()} == {q: [v for v, _ in hits] for q, hits in want.items()}
+    assert all(len(hits) == 16 for hits in got.values())
+
+
+def test_an_id_with_several_vectors(frame):
+    """The least one stands for it, so a query has one list."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0])]
+    got = lists_of(neighbours.nearest(frame(rows, "vec_id long, embedding array<double>")))
+    assert got == {0: [(1, 2.0), (2, 0.0)]}
+
+
 # ---- licenses
 
 

@@ -29,12 +29,14 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 @dataclass(frozen=True)
 class Turn:
     """One turn, or one per element of the list ``each``. Several text paths are
-    joined by a blank line. ``role`` is a constant, ``role_path`` a field."""
+    joined by a blank line. ``role`` is a constant, ``role_path`` a field whose
+    value is looked up in ``ROLES`` unless it is to stay as it is."""
 
     texts: tuple[str, ...]
     role: str | None = None
     role_path: str | None = None
     each: str | None = None
+    aliases: bool = True
 
     def paths(self) -> set[str]:
         inner = set(self.texts) | ({self.role_path} if self.role_path else set())
@@ -64,7 +66,7 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("row", (Turn(("text",), role_path="role"),)),
+    Mapping("row", (Turn(("text",), role_path="role", aliases=False),)),
     Mapping("messages", (Turn(("system",), role="system"), Turn(("content",), role_path="role", each="messages")), optional=("system",)),
     Mapping("shared", (Turn(("system_prompt",), role="system"), Turn(("value",), role_path="from", each="conversations")), optional=("system_prompt",)),
     Mapping("instruction", (Turn(("system",), role="system"), Turn(("instruction", "input"), role="user"), Turn(("output",), role="assistant")), optional=("system", "input")),
@@ -129,7 +131,7 @@ class Registry:
         texts = [_plain(record.get(p)) for p in turn.texts if p in record]
         text = texts[0] if len(texts) == 1 else "\n\n".join(t for t in texts if t)
         role = _plain(role)
-        return ROLES.get(role, role), text
+        return (ROLES.get(role, role) if turn.aliases else role), text
 
 
 def _plain(value) -> str:

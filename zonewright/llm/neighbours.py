@@ -1,15 +1,17 @@
 """Approximate nearest neighbours (inner product) by cross-polytope hashing.
 
-Vectors become unit vectors on a sphere of one more dimension: a candidate x
-becomes (x, sqrt(M^2 - |x|^2)) / M with M the largest norm, a query (q, 0) / |q|,
-so that the largest inner product is the smallest angle. A table's hash rotates
-a vector pseudo-randomly (three rounds of random signs and a fast Hadamard
-transform) and takes the nearest signed axis. Every vector is indexed in every
-table; a query looks into the buckets of its ``probes`` nearest axes per table.
+Vectors are hashed by direction, in bands of about equal length, so that within
+a band the largest inner product is the smallest angle, whatever the lengths in
+the table. A table's hash rotates a vector pseudo-randomly (three rounds of
+random signs and a fast Hadamard transform) and takes the nearest signed axis.
+Every vector is indexed in every table; a query looks into the buckets of its
+``probes`` nearest axes per table, in every band; in bands of longer vectors in
+more, as those come near at wider angles.
 
 Bucket members meet their queries as matrix products, in blocks of at most
 ``BLOCK`` members: a bucket with a third of all vectors is many blocks. A task
 hands on only the best of each query, scored exactly in double precision.
+Queries that found fewer than they should meet all vectors, in blocks.
 Equal vectors are one vector with the smallest ids that can matter.
 """
 
@@ -29,6 +31,8 @@ PROBES = 20
 BLOCK = 4096
 NEIGHBOURS = 20
 HELD_QUERIES = 100_000
+BAND_RATIO = 1.25
+BANDS = 8  # to each side of the mean length; the outer ones take what lies beyond
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -63,12 +67,14 @@ class CrossPolytope:
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): vectors in double precision, without null, zero or non-finite
-    ones, and of the most frequent length. Repeated rows are one."""
+    ones. Shorter vectors are padded with zeros to the longest. Of rows that
+    share an id, the least vector (in array order) stands for it."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
-    dim = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (dim["d"] if dim else 0)).distinct()
+    dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))
+    return rows.groupBy("id").agg(F.min("v").alias("v")).select("id", F.when(F.size("v") < dim, padded).otherwise(F.col("v")).alias("v"))
 
 
 def nearest(
@@ -84,45 +90,79 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query.
 
     Queries are the rows whose id passes ``is_query``; candidates are all rows
-    but the query's own id. Ties go to the smaller id. A null id takes no part.
+    but the query's own id; a query has all of them if there are fewer than
+    ``k``. Ties go to the smaller id. A null id takes no part; see ``usable``
+    for vectors. Other columns, of any name, take no part. No usable vector:
+    no rows.
     """
     rows = held(usable(vectors, id_col, vec_col))
     first = rows.select("v").first()
-    empty = "query_id long, rank int, vec_id long, score double"
     if first is None:
-        return rows.sparkSession.createDataFrame([], empty)
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(first["v"])
-    largest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    most = F.array_max(F.transform("v", F.abs))
+    length = F.ln(most) + F.ln(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
+    total, mean = rows.agg(F.count("*"), F.avg(length)).first()
     # The smallest k + 1 ids of a vector: no other can be among the k nearest of any query.
     order = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("n__", F.row_number().over(order)).where(F.col("n__") <= k + 1)
     distinct = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    distinct = held(distinct.select(F.col("ids")[0].alias("key"), "v", "ids"))
+    band = F.round((length - F.lit(mean)) / float(np.log(BAND_RATIO)))
+    band = F.greatest(F.lit(-BANDS), F.least(F.lit(BANDS), band.cast("int")))
+    distinct = held(distinct.select(F.col("ids")[0].alias("key"), "v", "ids", band.alias("band")))
     asked = rows.where(is_query(F.col("id")))
     asked = held(asked.join(distinct.select(F.col("key").alias("qkey"), "v"), "v").select(F.col("id").alias("query_id"), "qkey"))
     counts = asked.groupBy("qkey").agg(F.count("*").alias("n"))
-    queries = distinct.join(counts.select(F.col("qkey").alias("key")), "key").select("key", "v")
+    queries = distinct.join(counts.select(F.col("qkey").alias("key")), "key").select("key", "v", F.array().cast("array<long>").alias("ids"), "band")
 
-    indexed = distinct.mapInArrow(_buckets(CrossPolytope(dim + 1, tables, seed), 1, largest), "tab int, bucket int, key long, v binary, ids array<long>")
-    probed = queries.withColumn("ids", F.array().cast("array<long>")).mapInArrow(
-        _buckets(CrossPolytope(dim + 1, tables, seed), probes, None), "tab int, bucket int, key long, v binary, ids array<long>")
-    # blocks per bucket: at most tables * 2 * width rows, whatever the number of vectors
-    blocks = indexed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    hasher, fields = CrossPolytope(dim + 1, tables, seed), "tab int, bucket int, probe int, band int, key long, v binary, ids array<long>"
+    indexed = distinct.mapInArrow(_buckets(hasher, 1), fields)
+    probed = queries.mapInArrow(_buckets(hasher, probes * (1 + BANDS // 4)), fields).drop("band")
+    # blocks per bucket: at most tables * 2 * width * bands rows, whatever the number of vectors
+    blocks = indexed.groupBy("tab", "bucket", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(held(blocks))
-    members = indexed.join(blocks, ["tab", "bucket"]).select("tab", "bucket", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "key", "v", "ids")
-    seekers = probed.join(blocks, ["tab", "bucket"]).select("tab", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "key", "v", "ids")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = members.union(seekers).repartition(parts, "tab", "bucket", "block").sortWithinPartitions("tab", "bucket", "block", "kind")
+    places = ["tab", "bucket", "band", "block"]
+    members = indexed.join(blocks, ["tab", "bucket", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    enough = F.col("probe") < probes * (1 + F.greatest(F.col("band"), F.lit(0)) / 4)
+    seekers = probed.join(blocks, ["tab", "bucket"]).where(enough).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lists = held(_lists(members, seekers, places, k, dim))
+
+    # At least the query's own vector was found, so no query is without a list.
+    short = lists.where(F.size("near") < min(k + 1, total)).select(F.col("qkey").alias("key"))
+    if not short.isEmpty():
+        count = -(-distinct.count() // BLOCK)
+        nowhere = [F.lit(-1).alias(c) for c in places[:3]]
+        everyone = distinct.mapInArrow(_raw, "key long, v binary, ids array<long>").select(*nowhere, "key", "v", "ids").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(count)).cast("int"))
+        left = queries.join(short, "key").mapInArrow(_raw, "key long, v binary, ids array<long>").select(*nowhere, "key", "v", "ids")
+        left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+        whole = _lists(everyone, left, places, k, dim)
+        lists = lists.where(F.size("near") >= min(k + 1, total)).unionByName(whole)
+    joined = join_hot(asked, lists.join(counts, "qkey"), "qkey", "n", asked.count())
+    near = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = joined.select("query_id", F.posexplode(near).alias("pos", "hit"))
+    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+
+
+def _lists(members: DataFrame, seekers: DataFrame, places: list[str], k: int, dim: int) -> DataFrame:
+    """(qkey, near): the best k + 1 of what each query meets, best first."""
+    columns = [*places, "kind", "key", "v", "ids"]
+    met = members.withColumn("kind", F.lit(0)).select(columns).union(seekers.withColumn("kind", F.lit(1)).select(columns))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, *places).sortWithinPartitions(*places, "kind")
     found = met.mapInArrow(_best(k, dim), "qkey long, key long, ids array<long>, score double")
     found = found.groupBy("qkey", "key").agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
     ranked = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     found = found.select("qkey", F.explode("ids").alias("vec_id"), "score")
     found = found.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1)
-    lists = found.groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near")).join(counts, "qkey")
-    joined = join_hot(asked, lists, "qkey", "n", asked.count())
-    near = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    out = joined.select("query_id", F.posexplode(near).alias("pos", "hit"))
-    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    return found.groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+
+
+def _raw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes."""
+    for part in parts:
+        key, v, ids = (part.column(part.schema.get_field_index(c)) for c in ("key", "v", "ids"))
+        raw = pa.array([r.tobytes() for r in _matrix(v)] if part.num_rows else [], pa.binary())
+        yield pa.RecordBatch.from_arrays([key, raw, ids], names=["key", "v", "ids"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -130,26 +170,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _buckets(hasher: CrossPolytope, probes: int, largest: float | None):
-    """One row per vector, table and probe. ``largest``: of candidates; queries have None."""
+def _buckets(hasher: CrossPolytope, probes: int):
+    """One row per vector, table and probe."""
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(0, part.num_rows, 2000):
                 own = part.slice(i, 2000)
-                key, v, ids = (own.column(own.schema.get_field_index(c)) for c in ("key", "v", "ids"))
+                key, v, ids, band = (own.column(own.schema.get_field_index(c)) for c in ("key", "v", "ids", "band"))
                 x = _matrix(v)
-                norm = np.sqrt((x * x).sum(1))
-                if largest is None:
-                    unit = np.concatenate((x / norm[:, None], np.zeros((len(x), 1))), 1)
-                else:
-                    unit = np.concatenate((x / largest, np.sqrt(np.maximum(0, 1 - (norm / largest) ** 2))[:, None]), 1)
+                unit = x / np.abs(x).max(1)[:, None]
+                unit /= np.sqrt((unit * unit).sum(1))[:, None]
                 raw = pa.array([r.tobytes() for r in x], pa.binary())
                 for t in range(len(hasher.signs)):
                     axes = hasher.axes(unit, t, probes)
                     rows = pa.array(np.repeat(np.arange(len(x)), axes.shape[1]))
-                    columns = [pa.array(np.full(axes.size, t, np.int32)), pa.array(axes.ravel().astype(np.int32)), key.take(rows), raw.take(rows), ids.take(rows)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["tab", "bucket", "key", "v", "ids"])
+                    order = np.tile(np.arange(axes.shape[1], dtype=np.int32), len(axes))
+                    columns = [pa.array(np.full(axes.size, t, np.int32)), pa.array(axes.ravel().astype(np.int32)), pa.array(order), *(c.take(rows) for c in (band, key, raw, ids))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tab", "bucket", "probe", "band", "key", "v", "ids"])
 
     return step
 
@@ -180,13 +218,13 @@ def _best(k: int, dim: int):
                     best[qk] = dict(sorted(hits.items(), key=lambda h: (-h[1][0], h[1][1][0]))[: k + 1])
 
         for part in parts:
-            tab, bucket, block, kind, key, v, idl = part.columns
-            place = np.stack([c.to_numpy() for c in (tab, bucket, block, kind)], 1)
+            *where, kind, key, v, idl = part.columns
+            place = np.stack([c.to_numpy() for c in (*where, kind)], 1)
             if not len(place):
                 continue
             cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), len(place)]
             for a, b in zip(cuts, cuts[1:]):
-                spot, queries = tuple(place[a, :3].tolist()), place[a, 3] == 1
+                spot, queries = tuple(place[a, :-1].tolist()), place[a, -1] == 1
                 if spot != at:
                     at, keys, ids, vectors, matrix = spot, [], [], [], None
                 x = np.frombuffer(b"".join(v.slice(a, b - a).to_pylist()), np.float64).reshape(-1, dim)
