@@ -303,3 +303,35 @@ def test_profile(spark):
     assert (rows["x"]["min"], rows["x"]["max"], rows["x"]["mean"]) == (1.0, 3.0, 2.0)
     assert rows["x"]["std"] == pytest.approx(2**0.5)
     assert quality.column_profile(df, exact=False).count() == 2
+
+
+@pytest.mark.parametrize("size", [None, 1000, 64, 23, 5])
+def test_csv_ranges_agree_with_one_task(spark, tmp_path, size):
+    """Fields with quotes, separators and breaks over the borders of ranges of any size."""
+    rng = random.Random(11)
+    texts = ["", "plain", 'say ""hi""', "a,b", "one\ntwo", "\n", '""', 'x""\n"",y', "\n\n\n" * 9, "é漢🙂", "tail\r\nnext", "long " * 30]
+    for name in ("a.csv", "b.csv"):
+        rows = ["fqdn,record_type,record_data"]
+        for i in range(120):
+            fields = [f'"{t}"' if rng.random() < 0.8 or any(c in t for c in '",\n\r') else t for t in rng.choices(texts, k=2)]
+            rows.append(",".join([f"{name}{i}", *fields]))
+        rows.insert(5, "")
+        rows.insert(9, 'stray,in"ner,"quoted ""x"""')
+        (tmp_path / name).write_bytes(("\n".join(rows) + ("\n" if name == "a.csv" else "")).encode())
+    want = spark.read.options(header=True, multiLine=True, enforceSchema=False, **readers.QUOTING).csv(str(tmp_path))
+    want = sorted(map(tuple, want.collect()), key=repr)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if size:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        got = readers.read_csv(spark, str(tmp_path), tokens=())
+        assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) == 242
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quoted_lines():
+    from zonewright.sources.quoted import ends_open
+
+    for line, closed, opened in [("a,b", False, True), ('a,"b', True, False), ('"a""', True, False), ('""', False, True), ('x"y,z', False, False), ('","', False, True), ('a",b', False, False), ('"a",""', False, False), ("", False, True)]:
+        assert (ends_open(line, False, ","), ends_open(line, True, ",")) == (closed, opened), line

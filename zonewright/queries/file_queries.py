@@ -38,17 +38,13 @@ FROM inventory""",
     INV,
 )
 def s01(t: Tables) -> DataFrame:
-    """TXT targets hold quotes, separators and line breaks; the file is written
-    as plain text lines, fields quoted by hand."""
+    """TXT targets hold quotes, separators and line breaks; every field is quoted."""
     path = new_folder(t, "csv")
     records = t.inventory.select("id", "fqdn", "record_type", "record_data", "appid", "brand")
     hard = F.concat(F.col("record_data"), F.lit(' "'), F.col("fqdn"), F.lit('",\n'), F.lit('next "" line'))
     records = records.withColumn("record_data", F.when(F.col("record_type") == "TXT", hard).otherwise(F.col("record_data")))
-    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("N/A")), F.lit('"'), F.lit('""')), F.lit('"')) for c in records.columns]
-    lines = records.select(F.concat_ws(",", *quoted).alias("value"))
-    head = t.spark.range(1, numPartitions=1).select(F.lit(",".join(records.columns)).alias("value"))
-    body = lines.withColumn("file", F.spark_partition_id()).groupBy("file").agg(F.concat_ws("\n", F.collect_list("value")).alias("value"))
-    body.crossJoin(F.broadcast(head.withColumnRenamed("value", "head"))).select(F.concat_ws("\n", "head", "value").alias("value")).write.text(path)
+    records = records.select(*[F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(c) for c in records.columns])
+    records.write.options(header=True, quoteAll=True, maxRecordsPerFile=1_000_000, **readers.QUOTING).csv(path)
     return readers.read_csv(t.spark, path, WITH_ID)
 
 

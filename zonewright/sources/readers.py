@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonewright import vocabulary as V
+from zonewright.sources import quoted
 
 RECORD_SCHEMA = T.StructType(
     [
@@ -54,6 +55,20 @@ def csv_header(spark: SparkSession, path: str, separator: str = ",", encoding: s
     return spark.read.options(header=True, sep=separator, encoding=encoding, inferSchema=False, multiLine=multi_line, **QUOTING).csv(path).columns
 
 
+def _parsed(records: DataFrame, text: T.StructType, header: bool, separator: str) -> DataFrame:
+    """Fields of whole records. The first record of a file is its header and must have the names of ``text``."""
+    ddl = ", ".join(f"c{i} string" for i in range(len(text)))
+    fields = F.from_csv("record", ddl, {"sep": separator, "multiLine": "true", **QUOTING})
+    out = records.withColumn("fields", fields)
+    if header:
+        found = F.lower(F.array_join(F.array(*[F.col(f"fields.c{i}") for i in range(len(text))]), "\n", ""))
+        same = found == F.lit("\n".join(text.names).lower())
+        wrong = F.raise_error(F.concat(F.lit("another header in "), F.col("file"))).cast("boolean")
+        first = (F.col("start") == 0) & (F.col("n") == 0)
+        out = out.where(F.when(~first, True).when(same, False).otherwise(wrong))
+    return out.select(*[F.col(f"fields.c{i}").alias(f.name) for i, f in enumerate(text)])
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -69,15 +84,18 @@ def read_csv(
     """A CSV table with null tokens and declared types applied.
 
     Quoted fields may hold doubled quotes and, with ``multi_line``, line breaks;
-    a file is then read by one task, so give files of bounded size, or
-    ``multi_line=False`` where no field has breaks. A missing path raises, and
+    a large file is read by many tasks in either case (see ``quoted``), but in
+    other encodings than UTF-8, with breaks, by one. A missing path raises, and
     so does a file of the folder with another header. Columns outside
     ``schema`` stay text.
     """
     names = csv_header(spark, path, separator, encoding, multi_line) if header else schema.fieldNames()
     text = T.StructType([T.StructField(c, T.StringType()) for c in names])
     options = {"header": header, "sep": separator, "encoding": encoding, "multiLine": multi_line, "enforceSchema": not header, **QUOTING}
-    raw = spark.read.schema(text).options(**options).csv(path)
+    if multi_line and encoding.lower() in ("utf-8", "utf8"):
+        raw = _parsed(quoted.records(spark, path, separator), text, header, separator)
+    else:
+        raw = spark.read.schema(text).options(**options).csv(path)
     out = typed(null_tokens_to_null(raw, tokens), schema)
     if columns is not None:
         out = out.select(*columns)
