@@ -463,3 +463,24 @@ def test_halving_search(spark):
     assert str(best) == per_rung[2][0]["params"] and per_rung[2][0]["f1_macro"] > 0.7
     with pytest.raises(ValueError):
         M.halving_search(rows, rows, "forest", key="id", trials=0)
+
+
+def test_ordered_target_encoding_sees_earlier_rows_only(spark):
+    """One value with most rows, over several ranges; nulls, and a value met once."""
+    import hashlib
+
+    rows = [(i, "hot" if i % 3 else f"v{i % 7}", float(i % 5) if i % 11 else None) for i in range(300)] + [(300, None, 2.0), (301, "once", 4.0)]
+    df = spark.createDataFrame(rows, "id long, c string, t double").repartition(3)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["c_ordered_encoded"] for r in encode.ordered_target_encoding(df, ["c"], "t", "id", smoothing=2.0, seed=5).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    mean = np.mean([t for _, _, t in rows if t is not None])
+    sums, counts, want = {}, {}, {}
+    for i, c, t in sorted(rows, key=lambda r: (hashlib.md5(f"5|{r[0]}".encode()).hexdigest(), r[0])):
+        want[i] = mean if c is None else (sums.get(c, 0.0) + 2 * mean) / (counts.get(c, 0) + 2)
+        if t is not None:
+            sums[c], counts[c] = sums.get(c, 0.0) + t, counts.get(c, 0) + 1
+    assert got == pytest.approx(want) and got[301] == pytest.approx(mean)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from zonewright import vocabulary as V
 from zonewright.operators.base import Stage, hold
 from zonewright.operators.quantiles import exact_quantiles
 from zonewright.operators.ranks import sorted_positions
+from zonewright.operators.splits import hash_order
 
 STRATEGIES = ("label", "target", "frequency", "onehot")
 SUFFIX = {"label": "", "target": "_target_encoded", "frequency": "_freq_encoded", "onehot": "_onehot"}
@@ -67,6 +68,43 @@ def target_means(df: DataFrame, columns: Sequence[str], target: str, smoothing:
     return groups.unionByName(df.sparkSession.range(1).select(F.inline(rest)))
 
 
+def ordered_target_codes(df: DataFrame, columns: Sequence[str], target: str, key: str, smoothing: float = 10.0, seed: int = 42) -> DataFrame:
+    """``(key, column, code)``: each row's value by the targets of earlier rows
+    only, so that a training row does not see its own target.
+
+    Rows come in the order of ``md5(seed|key)``; ``key`` names a row. The code
+    is the mean of the earlier rows with the value, shrunk towards the global
+    mean as in ``target_means``, which serves rows that are not trained on.
+    Null targets add nothing; a null value has no row here.
+
+    All columns' cells lie in one global order, (column, value, place), cut into
+    ranges. A range sums its own cells; what stands ahead of it comes from one
+    total per range and value. So a value with a third of all rows is as many
+    tasks as it has ranges.
+    """
+    mean = F.lit(df.agg(F.avg(F.col(target).cast("double"))).first()[0]).cast("double")
+    cells = long_values(df, columns, F.col(key).alias("key"), F.col(target).cast("double").alias("t"), hash_order(key, seed).alias("place"))
+    order = ["column", "value", "place", "key"]
+    ranged = hold(cells.where("value is not null").repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    group = ["range", "column", "value"]
+    inside = Window.partitionBy(*group).orderBy("place", "key").rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.select(*group, "key", F.coalesce(F.sum("t").over(inside), F.lit(0.0)).alias("s"), F.count("t").over(inside).alias("n"))
+    totals = ranged.groupBy(*group).agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("ts"), F.count("t").alias("tn"))
+    before = Window.partitionBy("column", "value").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(*group, F.coalesce(F.sum("ts").over(before), F.lit(0.0)).alias("as"), F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("an"))
+    code = (F.col("s") + F.col("as") + mean * smoothing) / (F.col("n") + F.col("an") + smoothing)
+    return own.join(ahead, group).select("key", "column", code.alias("code"))
+
+
+def ordered_target_encoding(df: DataFrame, columns: Sequence[str], target: str, key: str, smoothing: float = 10.0, seed: int = 42) -> DataFrame:
+    """``df`` with ``c_ordered_encoded`` per column; a null value has the global mean."""
+    mean = F.lit(df.agg(F.avg(F.col(target).cast("double"))).first()[0]).cast("double")
+    codes = ordered_target_codes(df, columns, target, key, smoothing, seed)
+    wide = codes.groupBy(F.col("key").alias("__key")).agg(*[F.max(F.when(F.col("column") == c, F.col("code"))).alias(f"__{i}") for i, c in enumerate(columns)])
+    out = df.join(wide, F.col(key) == F.col("__key"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(f"__{i}", mean).alias(f"{c}_ordered_encoded") for i, c in enumerate(columns)])
+
+
 def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, code)``: share of all rows, nulls included."""
     total = max(df.count(), 1)

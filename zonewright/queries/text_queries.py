@@ -231,6 +231,24 @@ def e02(t: Tables) -> DataFrame:
     return model.transform(df).select("o_orderkey", *[F.round(c, 4).alias(c) for c in model.output_columns()])
 
 
+_EARLIER = "OVER (PARTITION BY {c} ORDER BY md5(concat('42|', CAST(id AS VARCHAR))), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "e02_ordered_target_encoding",
+    f"""WITH m AS (SELECT avg(appid) AS mean FROM inventory)
+SELECT id, {', '.join(f"""round(CASE WHEN {c} IS NULL THEN mean
+  ELSE (coalesce(sum(CAST(appid AS DOUBLE)) {_EARLIER.format(c=c)}, 0) + mean * 10) / (count(appid) {_EARLIER.format(c=c)} + 10) END, 6) AS {c}_ordered_encoded""" for c in ("brand", "market"))}
+FROM inventory, m""",
+    INV,
+)
+def e02b(t: Tables) -> DataFrame:
+    """Training rows encoded from earlier rows only."""
+    df = t.inventory.select("id", "brand", "market", "appid")
+    out = encode.ordered_target_encoding(df, ["brand", "market"], "appid", "id")
+    return out.select("id", *[F.round(f"{c}_ordered_encoded", 6).alias(f"{c}_ordered_encoded") for c in ("brand", "market")])
+
+
 @query(
     "e03_frequency_encoding",
     f"""WITH {', '.join(f"q_{c} AS (SELECT {c} AS v, count(*) / CAST((SELECT count(*) FROM inventory) AS DOUBLE) AS code FROM inventory WHERE {c} IS NOT NULL GROUP BY {c})" for c in E1)}
