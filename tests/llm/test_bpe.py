@@ -49,7 +49,15 @@ def test_long_pieces_by_heap(vocabulary, library):
     for n in (65, 200, 1000):
         for alphabet in ("ab", "etaoin", "a", "0123456789", "éß漢"):
             piece = "".join(rng.choices(alphabet, k=n)).encode()
-            assert vocabulary._merged_by_heap(piece) == vocabulary._merged(piece) == list(library._core_bpe.encode_single_piece(piece))
+            want = list(library._core_bpe.encode_single_piece(piece))
+            assert vocabulary._merged_by_heap(piece) == want and vocabulary._merged_together([piece]) == [want]
+
+
+def test_pieces_of_all_lengths_together(vocabulary, library):
+    rng = random.Random(2)
+    pieces = ["".join(rng.choices(alphabet, k=rng.randrange(1, 70))).encode() for alphabet in ("ab", "etaoinshr ", "a", "0123456789", "éß漢🙂") for _ in range(200)]
+    pieces += [bytes(rng.choices(range(256), k=rng.randrange(1, 20))) for _ in range(300)] + [b"", b"a", b"the", b" the"]
+    assert vocabulary.ids_of(pieces) == [list(library._core_bpe.encode_single_piece(p)) if p else [] for p in pieces]
 
 
 def test_digests_and_round_trip(frame, vocabulary, library):

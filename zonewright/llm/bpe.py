@@ -55,30 +55,63 @@ class Vocabulary:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.raw = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def piece_ids(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: the pair of least rank merges first, of equal
+        # The pairs of tokens that merge, as numbers in order, and the rank of what they become.
+        self.many = len(tokens) + 1
+        pairs = {self.ranks[t[:i]] * self.many + self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[x] for x in self.pairs.tolist()], np.int64)
+
+    def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens: the pair of least rank merges first, of equal
         ones the leftmost."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        return self._merged(piece) if len(piece) <= LONG_PIECE else self._merged_by_heap(piece)
-
-    def _merged(self, piece: bytes) -> list[int]:
-        rank = self.ranks.get
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [rank(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            least, at = None, -1
-            for i, r in enumerate(pairs):
-                if r is not None and (least is None or r < least):
-                    least, at = r, i
-            if least is None:
-                return [self.ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            pairs.pop(at)
-            if at < len(pairs):
-                pairs[at] = rank(parts[at] + parts[at + 1])
-            if at:
-                pairs[at - 1] = rank(parts[at - 1] + parts[at])
+        found: list[list[int]] = [[self.ranks[p]] if p in self.ranks else [] for p in pieces]
+        left = sorted((i for i, ids in enumerate(found) if not ids and pieces[i]), key=lambda i: len(pieces[i]))
+        for start in range(0, len(left), 20_000):
+            part = [i for i in left[start : start + 20_000] if len(pieces[i]) <= LONG_PIECE]
+            for i, ids in zip(part, self._merged_together([pieces[i] for i in part])):
+                found[i] = ids
+        for i in left:
+            if len(pieces[i]) > LONG_PIECE:
+                found[i] = self._merged_by_heap(pieces[i])
+        return found
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What pairs become, or a number beyond all ranks."""
+        keys = a * self.many + b
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.merged[at], self.many) if len(self.pairs) else np.full(keys.shape, self.many)
+
+    def _merged_together(self, pieces: list[bytes]) -> list[list[int]]:
+        """One merge of every piece at a time: a row per piece, its parts ahead of fillers."""
+        out: list[list[int]] = [[] for _ in pieces]
+        if not pieces:
+            return out
+        width, filler = max(map(len, pieces)) + 1, self.many - 1
+        of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = np.full((len(pieces), width), filler, np.int64)
+        ids[np.arange(width) < sizes[:, None]] = of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        ranks = self._ranks_of(ids[:, :-1], ids[:, 1:])
+        rows, columns = np.arange(len(pieces)), np.arange(width)
+        while len(rows):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(rows)), at]
+            going = best < self.many
+            if not going.all():
+                for i, row, size in zip(rows[~going].tolist(), ids[~going].tolist(), sizes[~going].tolist()):
+                    out[i] = row[:size]
+                rows, ids, ranks, sizes, at, best = rows[going], ids[going], ranks[going], sizes[going], at[going], best[going]
+            n, sizes = np.arange(len(rows)), sizes - 1
+            behind = np.minimum(columns + (columns > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, behind, 1)
+            ids[n, at] = best
+            ids[n, sizes] = filler
+            ranks = np.take_along_axis(ranks, np.minimum(behind[:, :-1], width - 2), 1)
+            ranks[n, sizes] = self.many
+            ranks[n, at] = self._ranks_of(best, ids[n, at + 1])
+            before = np.maximum(at - 1, 0)
+            ranks[n, before] = np.where(at > 0, self._ranks_of(ids[n, before], best), ranks[n, before])
+        return out
 
     def _merged_by_heap(self, piece: bytes) -> list[int]:
         """The same for long pieces, in n log n steps."""
@@ -117,7 +150,7 @@ class Vocabulary:
                 flat, starts, sizes, chars = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
             new = [p for p in dict.fromkeys(pieces) if p not in known]
             if new:
-                ids = [self.piece_ids(p.encode()) for p in new]
+                ids = self.ids_of([p.encode() for p in new])
                 count = np.fromiter(map(len, ids), np.int64, len(ids))
                 starts = np.concatenate((starts, len(flat) + np.cumsum(count) - count))
                 sizes = np.concatenate((sizes, count))
