@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonewright.operators.base import Stage, hold
+from zonewright.operators.information import FINITE, information_of
 from zonewright.operators.quantiles import exact_quantiles
 
 
@@ -133,6 +134,19 @@ def vector_information(df: DataFrame, features: str, label: str, kept: Sequence[
     return full.groupBy("i").agg(F.greatest(F.sum(gain) + rest, F.lit(0.0)).alias("score"))
 
 
+def vector_nearest_information(df: DataFrame, features: str, label: str, kept: Sequence[int], k: int = 3) -> DataFrame:
+    """``(i, score)``: the nearest-neighbour estimate of each element's
+    information on the label. Only non-zero cells are read; the zeros of a
+    class are its other rows, one count per element and class."""
+    cells, sizes, _, _ = _labelled_cells(df, features, label, kept)
+    seen = hold(cells.groupBy("i", "y", "x").agg(F.count("*").alias("n")))
+    elements = F.explode(F.array(*[F.lit(int(i)) for i in kept])).alias("i")
+    other = sizes.select("y", "ny", elements).join(seen.groupBy("i", "y").agg(F.sum("n").alias("k")), ["i", "y"], "left")
+    zeros = other.select("i", "y", F.lit(0.0).alias("x"), (F.col("ny") - F.coalesce("k", F.lit(0))).alias("n")).where("n > 0")
+    counts = seen.where(FINITE).unionByName(zeros).withColumnRenamed("i", "feature")
+    return information_of(counts, k).select(F.col("feature").alias("i"), F.col("mi").alias("score"))
+
+
 CORRELATED_BLOCK = 1000
 
 
@@ -174,7 +188,9 @@ def uncorrelated(strong: dict[int, list[int]], variances: np.ndarray) -> np.ndar
 
 
 class FeatureSelector(Estimator, Stage):
-    """Variance, then correlation, then the best ``max_features`` by score."""
+    """Variance, then correlation, then the best ``max_features`` by score:
+    ``mutual_info`` (bins), ``nearest_info`` (nearest neighbours), ``f_classif``.
+    """
 
     SETTINGS = {
         "features": "features",
@@ -186,6 +202,7 @@ class FeatureSelector(Estimator, Stage):
         "max_features": None,
         "method": "mutual_info",
         "bins": 10,
+        "neighbors": 3,
     }
 
     def _fit(self, df: DataFrame) -> "FeatureSelectorModel":
@@ -205,6 +222,8 @@ class FeatureSelector(Estimator, Stage):
         if limit and limit < len(kept):
             if self.get("method") == "mutual_info":
                 table = vector_information(data, features, label, kept, self.get("bins"))
+            elif self.get("method") == "nearest_info":
+                table = vector_nearest_information(data, features, label, kept, self.get("neighbors"))
             elif self.get("method") in ("f_classif", "model"):
                 table = vector_anova(data, features, label, kept)
             else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from zonewright import vocabulary as V
 from zonewright.functions import host, text
 from zonewright.operators import choose, encode, vectorize
+from zonewright.operators.information import nearest_information
 from zonewright.plans.features import FeaturePlan, HostFeatures, RecordFeatures, ScanFeatures, feature_names, group_columns
 from zonewright.queries.host_queries import sql_flags, sql_parts
 from zonewright.queries.registry import query
@@ -494,6 +495,32 @@ def l04(t: Tables) -> DataFrame:
     return scores.withColumn("mi", F.round("mi", 6))
 
 
+def _sql_psi(n: str) -> str:
+    shifted = " - ".join(f"1 / (CAST({n} AS DOUBLE) + {j})" for j in range(6))
+    series = "ln(z) - 0.5 / z - 1 / (12 * z ** 2) + 1 / (120 * z ** 4) - 1 / (252 * z ** 6) + 1 / (240 * z ** 8)"
+    return f"({series.replace('z', f'(CAST({n} AS DOUBLE) + 6)')} - {shifted})"
+
+
+@query(
+    "l04_nearest_information",
+    f"""WITH cells AS (UNPIVOT (SELECT l_returnflag AS y, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC)} FROM lineitem) ON {", ".join(NUMERIC)} INTO NAME feature VALUE x),
+near AS (SELECT feature, y, x, count(*) OVER (PARTITION BY feature, y) AS ny, count(*) OVER (PARTITION BY feature, y, x) AS nxy,
+    least({", ".join(
+        f"greatest(coalesce(x - lag(x, {j}) OVER o, CAST('inf' AS DOUBLE)), coalesce(lead(x, {3 - j}) OVER o - x, CAST('inf' AS DOUBLE)))" for j in range(4)
+    )}) AS d FROM cells WINDOW o AS (PARTITION BY feature, y ORDER BY x)),
+upto AS (SELECT feature, x, sum(count(*)) OVER (PARTITION BY feature ORDER BY x) AS c, count(*) AS nx FROM cells GROUP BY feature, x),
+points AS (SELECT feature, y, x, d, ny, nxy, count(*) AS n FROM near GROUP BY ALL),
+inside AS (SELECT p.*, b.c - coalesce(a.c, 0) AS m FROM points p ASOF JOIN upto b ON p.feature = b.feature AND p.x + p.d > b.x
+    ASOF LEFT JOIN upto a ON p.feature = a.feature AND p.x - p.d >= a.x WHERE p.d > 0
+  UNION ALL SELECT p.*, u.nx AS m FROM points p JOIN upto u ON p.feature = u.feature AND p.x = u.x WHERE p.d = 0)
+SELECT feature, round(greatest({_sql_psi("sum(n)")} + sum(n * ({_sql_psi("CASE WHEN d > 0 THEN 3 ELSE nxy END")} - {_sql_psi("ny")} - {_sql_psi("m")})) / sum(n), 0), 6) AS mi
+FROM inside GROUP BY feature""",
+)
+def l04b(t: Tables) -> DataFrame:
+    """Three neighbours, every row of the table."""
+    return nearest_information(t.lineitem, NUMERIC, "l_returnflag").withColumn("mi", F.round("mi", 6))
+
+
 @query("l05_selected_features")
 def l05(t: Tables) -> DataFrame:
     """The three filters on all host features; label: the record type."""
