@@ -201,7 +201,7 @@ def owned(spark):
 @pytest.fixture(scope="module")
 def trained(spark, owned, tmp_path_factory):
     store = sinks.ModelStore(spark, str(tmp_path_factory.mktemp("models")))
-    result = jobs.train(owned, "id", features=FEATURES, ensemble={"members": MEMBERS}, store=store)
+    result = jobs.train(owned, "id", features=FEATURES, ensemble={"members": MEMBERS}, calibrate=True, store=store)
     return result, store
 
 
@@ -240,10 +240,13 @@ def test_stored_model_scores_the_same(spark, owned, trained):
     result, store = trained
     model = store.load(jobs.MODEL_NAME)
     columns = ["id", "predicted_appid", "confidence", "is_uncertain"]
+    columns.append("calibrated_confidence")
     a = result.model.transform(owned).select(*columns).orderBy("id").collect()
     b = model.transform(owned.repartition(3)).select(*columns).orderBy("id").collect()
     assert a == b and len(a) == 500
-    assert all(0 <= r["confidence"] <= 1 for r in a)
+    assert all(0 <= r["confidence"] <= 1 and 0 <= r["calibrated_confidence"] <= 1 for r in a)
+    rising = sorted((r["confidence"], r["calibrated_confidence"]) for r in a)
+    assert [c for _, c in rising] == sorted(c for _, c in rising)
     sums = result.model.transform(owned).select(F.aggregate("probs", F.lit(0.0), lambda s, x: s + x).alias("s"))
     assert sums.where("abs(s - 1) > 1e-5").count() == 0
 

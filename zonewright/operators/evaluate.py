@@ -118,11 +118,15 @@ def confusion_pairs(pairs: DataFrame, size: int = 10) -> DataFrame:
 
 def calibration(df: DataFrame, label: str = "label", prediction: str = "prediction", probs: str = "probs", bins: int = 10) -> DataFrame:
     """Per confidence bin: count, mean confidence, accuracy."""
-    confidence = F.array_max(probs)
+    return calibration_of(df, F.array_max(probs), F.col(label) == F.col(prediction), bins)
+
+
+def calibration_of(df: DataFrame, confidence: Column, hit: Column, bins: int = 10) -> DataFrame:
+    """The same of any confidence, as one that was calibrated."""
     return df.groupBy(F.least(F.floor(confidence * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.count("*").alias("n"),
         F.avg(confidence).alias("mean_confidence"),
-        F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"),
+        F.avg(hit.cast("double")).alias("accuracy"),
     )
 
 

@@ -148,8 +148,9 @@ class TermWeightsModel(Model, Stage):
             return pa.StructArray.from_arrays([kinds, sizes, *lists], names=["type", "size", "indices", "values"])
 
         # Spark 4.1 does not evaluate a Python function that has a lambda in its argument or stands
-        # in one. The row id and the mark keep the optimizer from merging the steps to that.
-        counts = F.when(F.monotonically_increasing_id() >= 0, F.col("__counts"))
+        # in one. The random number (streams refuse row ids) and the mark keep the optimizer from
+        # merging the steps to that.
+        counts = F.when(F.rand(0) + 1 > 0, F.col("__counts"))
         counted = self._counted(df).withColumn("__counts", counts)
         return counted.withColumn(output, weigh.asNondeterministic()(F.unwrap_udt("__counts"))).drop("__counts")
 

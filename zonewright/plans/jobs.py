@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from zonewright.operators import evaluate as E
 from zonewright.operators import quality, score, splits
 from zonewright.operators.base import Stage, hold, shared_folder
+from zonewright.operators.calibrate import ConfidenceCalibrator
 from zonewright.operators.clean import RecordCleaner, apply_class_policy, encode_labels
 from zonewright.operators.quality import row_digest
 from zonewright.plans import members as M
@@ -73,6 +74,7 @@ def train(
     folds: int | None = None,
     trials: int | None = None,
     trial_kind: str = "forest",
+    calibrate: bool = False,
     seed: int = 42,
     store: sinks.ModelStore | None = None,
     name: str = MODEL_NAME,
@@ -80,7 +82,8 @@ def train(
     """Validate, clean, split, featurise (on training rows only), optionally
     cross-validate or search, fit the ensemble, evaluate on the test rows.
 
-    Boosted members stop on the validation rows, which nothing is fitted on."""
+    Boosted members stop on the validation rows, which nothing else is fitted
+    on but, with ``calibrate``, the calibrated confidence that scoring adds."""
     settings = {"target": target, **(cleaner or {})}
     orphan = settings.get("orphan", 0)
     issues = quality.all_issues(df, target=target)
@@ -112,6 +115,7 @@ def train(
     watched = ready.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
     model = M.Ensemble(n_classes=n_classes, seed=seed, validation="is_val", **options).fit(watched)
     tested = hold(model.transform(ready.where("split = 'test'")).drop("features"))  # for the report tables
+    calibrator = ConfidenceCalibrator().fit(_judged(model.transform(watched.where("is_val")))) if calibrate else None
     parts.unpersist()
     ready.unpersist()
     report = evaluation(tested, n_classes, key)
@@ -120,6 +124,10 @@ def train(
     final = PipelineModel(
         [fitted_cleaner.for_scoring(), *plan.stages, model, OwnerScorer(classes=classes, **(scorer or {}))]
     )
+    if calibrator is not None:
+        final.stages.append(calibrator)
+        better = calibrator.transform(_judged(tested))
+        report["calibrated"] = E.calibration_of(better, F.col("calibrated_confidence"), F.col("hit"))
     out = Training(final, report["metrics"], report, issues, unmapped, names, extra=extra)
     if store is not None:
         numbers = {r["metric"]: r["value"] for r in report["metrics"].collect()}
@@ -127,6 +135,15 @@ def train(
     return out
 
 
+def _judged(scored: DataFrame) -> DataFrame:
+    """``confidence`` and ``hit`` of rows with ``label``, ``prediction``, ``probs``."""
+    return scored.select(F.array_max("probs").alias("confidence"), (F.col("prediction") == F.col("label")).alias("hit"))
+
+
+def owner_scorer(model: PipelineModel) -> OwnerScorer:
+    return next(s for s in model.stages if isinstance(s, OwnerScorer))
+
+
 def evaluation(scored: DataFrame, n_classes: int, key: str) -> dict[str, DataFrame]:
     """All report tables of rows with ``label``, ``prediction``, ``probs``."""
     pairs = E.confusion(scored)
@@ -164,7 +181,7 @@ def predict_one(model: PipelineModel, spark: SparkSession, fqdn: str, record_typ
 
 def predict_file(model: PipelineModel, df: DataFrame, path: str, kind: str = "csv", keep: tuple[str, ...] = ("fqdn",)) -> DataFrame:
     """Score a table into files; returns the summary of what was written."""
-    k = model.stages[-1].get("top_k")
+    k = owner_scorer(model).get("top_k")
     sinks.write_predictions(predict(model, df), path, kind, k, keep)
     spark = df.sparkSession
     reader = spark.read.option("header", True) if kind == "csv" else spark.read
@@ -183,7 +200,7 @@ def evaluate_stored(model: PipelineModel, df: DataFrame, key: str | None = None,
     df = df.where(F.col(target).isNotNull())
     if key is None:  # only breaks ties among the reported errors
         df, key = df.withColumn("__key", row_digest(df)), "__key"
-    cleaner, classes = model.stages[0], model.stages[-1].get("classes")
+    cleaner, classes = model.stages[0], owner_scorer(model).get("classes")
     mapped = apply_class_policy(model.transform(df).drop("label"), cleaner.classes, target, "group", cleaner.get("orphan"), cleaner.get("rare_label"))
     index = df.sparkSession.createDataFrame(list(enumerate(classes)), "idx int, label long")
     scored = hold(encode_labels(mapped, index, target, "label").na.fill(UNKNOWN_CLASS, ["label"]))

@@ -198,7 +198,7 @@ def v10(t: Tables) -> DataFrame:
     """Every labelled row is evaluated: rare owners as one class, unknown ones as errors."""
     trained = _train(t)[0]
     report = jobs.evaluate_stored(trained.model, readers.labeled(t.dns_records), "id")
-    classes = trained.model.stages[-1].get("classes")
+    classes = jobs.owner_scorer(trained.model).get("classes")
     rare = classes.index(-999) if -999 in classes else None
     counts = report["per_class"].agg(
         F.coalesce(F.sum(F.when(F.col("class") == F.lit(rare), F.col("n_samples"))), F.lit(0)).alias("rare_rows"), F.sum("n_samples").alias("reported")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonewright.operators import evaluate, score, voting
+from zonewright.operators.calibrate import ConfidenceCalibrator
 from zonewright.queries.registry import query
 from zonewright.queries.tables import Tables
 
@@ -302,6 +303,27 @@ def d21b(t: Tables) -> DataFrame:
     return evaluate.calibration_error(evaluate.calibration(scored(t))).select(F.round("ece", 9).alias("ece"))
 
 
+@query(
+    "d21_calibrated_confidence",
+    f"""WITH {SQL_SOFT}, rounded AS (SELECT id, round(confidence, 3) AS s, prediction = label AS hit FROM scored),
+v AS (SELECT s, count(*) AS n, count(*) FILTER (WHERE hit) AS h FROM rounded WHERE id % 2 = 0 GROUP BY s),
+c AS (SELECT s, row_number() OVER o AS i, n, h, sum(n) OVER o AS cn, sum(h) OVER o AS ch FROM v WINDOW o AS (ORDER BY s)),
+pairs AS (SELECT a.i AS a, b.i AS b, (b.ch - a.ch + a.h) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS mean FROM c a JOIN c b ON a.i <= b.i),
+least_ends AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g FROM pairs),
+shares AS (SELECT i, max(g) AS p FROM least_ends GROUP BY i),
+steps AS (SELECT s, sum(h) OVER l / CAST(sum(n) OVER l AS DOUBLE) AS p FROM c JOIN shares USING (i) WINDOW l AS (PARTITION BY floor(p * 10000)))
+SELECT r.id, r.s AS confidence, round(coalesce(t.p, (SELECT arg_min(p, s) FROM steps)), 9) AS calibrated_confidence
+FROM rounded r ASOF LEFT JOIN steps t ON r.s >= t.s WHERE r.id % 2 = 1""",
+    PROBS,
+)
+def d21c(t: Tables) -> DataFrame:
+    """Fitted on even ids, applied to odd ones."""
+    rows = scored(t).select("id", F.round(F.array_max("probs"), 3).alias("confidence"), (F.col("prediction") == F.col("label")).alias("hit"))
+    model = ConfidenceCalibrator().fit(rows.where("id % 2 = 0"))
+    out = model.transform(rows.where("id % 2 = 1"))
+    return out.select("id", "confidence", F.round("calibrated_confidence", 9).alias("calibrated_confidence"))
+
+
 @query(
     "v01_quality_labels",
     """WITH j AS (SELECT quality AS label, CAST(n_chars > 1500 AS INTEGER) AS prediction FROM documents JOIN labels USING (doc_id)),
