@@ -193,6 +193,48 @@ def full_alignment(template, text):
     return best[1]
 
 
+def test_edited_notices_have_candidates():
+    """One edit anywhere in a notice of five words or more, within its fifth."""
+    index = licenses.Index()
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.WORDS.findall(text.lower())
+        if not 5 <= len(words) <= 40:
+            continue
+        for i in range(len(words)):
+            changed = [*words[:i], "zzz", *words[i + 1 :]]
+            for edited in (changed, words[:i] + words[i + 1 :], [*words[:i], "zzz", *words[i:]]):
+                found = {r[0]: r[2] for r in index.scan("foo " + " ".join(edited) + " bar")}
+                want = full_alignment(words, edited)
+                if want >= 0.8 * len(words):
+                    assert found.get(name) == want, (name, edited)
+    assert {r[0] for r in index.scan("Released under an MIT License.")} == {"MIT notice"}
+
+
+@pytest.mark.parametrize("m", range(1, 60))
+def test_grams_follow_from_edits(m):
+    gram, window = licenses.gram_and_window(m)
+    edits = int(0.2 * m + 1e-9)
+    sizes = [len(x) for x in np.array_split(np.arange(m - edits), edits + 1)]  # the most even cut
+    assert gram + window - 1 <= max(sizes)
+
+
+def test_templates_from_a_folder(spark, frame, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may share\nthis work, once.")
+    (tmp_path / "Tiny").write_text("copyleft")
+    (tmp_path / "Empty.txt").write_text("--")
+    templates = licenses.read_templates(spark, str(tmp_path))
+    assert set(templates) == {"Own-1.0", "Tiny", "Empty"}
+    rows = frame([(1, "so: you may share this thing once"), (2, "copyleft, again COPYLEFT"), (3, None)], "doc_id long, text string")
+    got = licenses.scan(rows, templates).select("doc_id", "license", "matched").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "Own-1.0", 5), (2, "Tiny", 1), (2, "Tiny", 1)]
+    assert licenses.scan(rows.where("false")).count() == 0
+    assert licenses.scan(rows, {}).count() == 0
+    with pytest.raises(ValueError):
+        licenses.read_templates(spark, str(tmp_path), 3)
+    with pytest.raises(ValueError):
+        licenses.scan(rows.withColumnRenamed("doc_id", "license"), id_col="license")
+
+
 def test_licenses(spark, frame):
     rng = random.Random(8)
     filler = lambda n: " ".join(rng.choice(["the", "of", "license", "work", "xyz", "under", "foo"]) for _ in range(n))

@@ -1,15 +1,17 @@
 """License scans: winnowed template fingerprints, then banded alignment.
 
-Templates are cut into lower-cased words; of every ``WINDOW`` neighbouring hashes
-of ``GRAM`` words the least is a fingerprint, so that any run of
-GRAM + WINDOW - 1 shared words holds one. An inverted index leads from
+Templates are cut into lower-cased words; of every few neighbouring hashes of a
+few words the least is a fingerprint. Length and window follow from the template
+(``gram_and_window``), so that each stretch of a document within a fifth of its
+words in edits shares a fingerprint. An inverted index leads from
 fingerprint to (template, place). A document's grams found there vote for a
 template and a diagonal; each group of votes is a candidate, which a banded
 alignment of the whole template against that stretch of the document verifies.
 Reported are the matched share of the template and the span in the document.
 
-Templates are a parameter; the list here holds common short notices and the
-openings of long ones.
+Templates are a parameter, as ``read_templates`` gives them from a folder of
+whole texts; the list here holds common short notices and the openings of long
+ones.
 """
 
 from __future__ import annotations
@@ -21,13 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.llm.common import text_of
 
 GRAM = 3
-WINDOW = 2
 COVERAGE = 0.8
 WORDS = re.compile(r"[^\W_]+")
 
@@ -57,10 +58,52 @@ TEMPLATES = {
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "Unlicense opening": "This is free and unencumbered software released into the public domain.",
+    "zlib opening": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+        "for any damages arising from the use of this software."
+    ),
+    "BSL-1.0 grant": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license"
+    ),
+    "LGPL-2.1 terms": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation"
+    ),
+    "EPL-2.0 notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
 }
 
 
-def winnow(hashes: list[int], window: int = WINDOW) -> set[int]:
+def read_templates(spark: SparkSession, folder: str, limit: int = 64 << 20) -> dict[str, str]:
+    """Whole template texts by file name (without its extension), one file each.
+
+    They travel to every task, so more than ``limit`` bytes raise an error.
+    """
+    files = spark.read.format("binaryFile").load(folder)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    if size > limit:
+        raise ValueError(f"{size} bytes of templates, more than {limit}")
+    rows = files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("name"), F.decode("content", "UTF-8").alias("text")).collect()
+    if len({r["name"] for r in rows}) < len(rows):
+        raise ValueError("two templates have one name")
+    return {r["name"]: r["text"] for r in rows}
+
+
+def gram_and_window(m: int, coverage: float = COVERAGE) -> tuple[int, int]:
+    """Length and window of the fingerprints of a template of m words.
+
+    E = (1 - coverage) m edits (words changed, left out or put in) leave m - E
+    words in at most E + 1 runs, so one run has (m - E) / (E + 1) words or more;
+    a window over the grams of such a run holds a fingerprint.
+    """
+    edits = int((1 - coverage) * m + 1e-9)
+    run = -(-(m - edits) // (edits + 1))
+    gram = max(1, min(GRAM, run))
+    return gram, max(1, run - gram + 1)
+
+
+def winnow(hashes: list[int], window: int) -> set[int]:
     """Places of the least hash of each window, the rightmost of equals."""
     if not hashes:
         return set()
@@ -69,43 +112,44 @@ def winnow(hashes: list[int], window: int = WINDOW) -> set[int]:
 
 
 class Index:
-    def __init__(self, templates: dict[str, str] | None = None, gram: int = GRAM, window: int = WINDOW) -> None:
-        self.names = sorted(templates if templates is not None else TEMPLATES)
-        self.words = [WORDS.findall((templates or TEMPLATES)[n].lower()) for n in self.names] if self.names else []
-        self.gram = gram
-        self.ids = {w: i + 1 for i, w in enumerate(sorted({w for t in self.words for w in t}))}
-        self.codes = [[self.ids[w] for w in t] for t in self.words]
-        base = len(self.ids) + 1
-        postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    """Postings per gram length: templates of few words have shorter grams."""
+
+    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> None:
+        texts = TEMPLATES if templates is None else templates
+        words = {n: WORDS.findall(t.lower()) for n, t in texts.items()}
+        self.names = sorted(n for n, w in words.items() if w)
+        self.coverage = coverage
+        self.ids = {w: i + 1 for i, w in enumerate(sorted({w for n in self.names for w in words[n]}))}
+        self.codes = [[self.ids[w] for w in words[n]] for n in self.names]
+        self.base = len(self.ids) + 1
+        postings: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, codes in enumerate(self.codes):
-            width = min(gram, len(codes))
-            if width < gram:
-                continue  # a template shorter than a gram has no fingerprint
+            gram, window = gram_and_window(len(codes), coverage)
             grams = [tuple(codes[i : i + gram]) for i in range(len(codes) - gram + 1)]
             hashes = [xxhash.xxh64_intdigest(",".join(map(str, g))) for g in grams]
             for at in winnow(hashes, window):
-                postings[sum(c * base**j for j, c in enumerate(grams[at]))].append((t, at))
-        self.postings = dict(postings)
-        self.base = base
-        self.keys = np.array(sorted(postings), np.int64)
+                postings[gram][sum(c * self.base**j for j, c in enumerate(grams[at]))].append((t, at))
+        self.postings = {gram: dict(found) for gram, found in postings.items()}
+        self.keys = {gram: np.array(sorted(found), np.int64) for gram, found in postings.items()}
 
     def hits(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place, template, place in the template) of every indexed gram."""
-        n = len(codes) - self.gram + 1
-        if n <= 0 or not len(self.keys):
-            return
-        full = np.ones(n, bool)
-        key = np.zeros(n, np.int64)
-        for j in range(self.gram):
-            part = codes[j : j + n]
-            full &= part > 0
-            key += part * self.base**j
-        at = np.flatnonzero(full)
-        for i in at[np.isin(key[at], self.keys)].tolist():
-            for t, place in self.postings[int(key[i])]:
-                yield i, t, place
-
-    def scan(self, text: str, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
+        for gram, keys in self.keys.items():
+            n = len(codes) - gram + 1
+            if n <= 0:
+                continue
+            full = np.ones(n, bool)
+            key = np.zeros(n, np.int64)
+            for j in range(gram):
+                part = codes[j : j + n]
+                full &= part > 0
+                key += part * self.base**j
+            at = np.flatnonzero(full)
+            for i in at[np.isin(key[at], keys)].tolist():
+                for t, place in self.postings[gram][int(key[i])]:
+                    yield i, t, place
+
+    def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, start, end) of each match, by place."""
         words = WORDS.findall(text.lower())
         get = self.ids.get
@@ -116,7 +160,8 @@ class Index:
         out, spans = [], None
         for t, diagonals in votes.items():
             template = self.codes[t]
-            band = max(3, len(template) // 5)
+            # Templates too short for an edit match word for word, so copies side by side stay apart.
+            band = max(3, len(template) // 5) if int((1 - self.coverage) * len(template) + 1e-9) else 0
             diagonals.sort()
             groups = [[diagonals[0], diagonals[0]]]
             for d in diagonals[1:]:
@@ -129,7 +174,7 @@ class Index:
                 a = max(0, low - band)
                 b = min(len(codes), high + len(template) + band)
                 found = align(template, codes[a:b].tolist(), low - a - band, high - a + band)
-                if found is None or found[0] < coverage * len(template):
+                if found is None or found[0] < self.coverage * len(template):
                     continue
                 start, end = a + found[1], a + found[2]
                 if any(start < y and x < end for x, y in taken):
@@ -181,19 +226,22 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """(id, license, coverage, matched, start, end): one row per match.
 
     ``start`` and ``end`` are code points in the text. Whole texts are scanned;
-    null and empty texts have no match, repeated rows match alike, and
-    templates shorter than ``GRAM`` words have no fingerprint and never match.
+    null and empty texts and empty tables have no match, repeated rows match
+    alike, other columns do not matter, and templates without a word never match.
+    An id column named like an output column raises an error.
     """
-    index = Index(templates)
+    index = Index(templates, coverage)
     rows = docs.select(F.col(id_col).alias(id_col), text_of(text_col).alias("text"))
     kind = dict(rows.dtypes)[id_col]
     names = [id_col, "license", "coverage", "matched", "start", "end"]
+    if id_col in names[1:]:
+        raise ValueError(f"rename the id column {id_col!r}: an output column has its name")
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             take, rows = [], []
             for i, t in enumerate(part.column(1)):
-                found = index.scan(t.as_py(), coverage)
+                found = index.scan(t.as_py())
                 rows += found
                 take += [i] * len(found)
             kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
