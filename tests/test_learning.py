@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonewright.operators import choose, encode, evaluate, score, vectorize, voting
 from zonewright.plans import jobs
@@ -487,3 +489,46 @@ def test_ordered_target_encoding_sees_earlier_rows_only(spark):
         if t is not None:
             sums[c], counts[c] = sums.get(c, 0.0) + t, counts.get(c, 0) + 1
     assert got == pytest.approx(want) and got[301] == pytest.approx(mean)
+
+
+def test_vector_totals_of_sparse_and_dense_rows(spark):
+    """Counts and sums of every element, against the same rows in plain Python."""
+    rows = [Vectors.sparse(4, [1, 3], [2.0, 0.0]), Vectors.dense([1.0, 0.0, -1.5, 4.0]), Vectors.sparse(4, [], []), Vectors.dense([0.5, 0.0, 0.0, 1.0]), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], T.StructType([T.StructField("id", T.LongType()), T.StructField("features", VectorUDT())])).repartition(3)
+    got = {r["i"]: (r["n"], r["total"]) for r in choose.vector_totals(df).collect()}
+    assert got == {0: (2, 1.5), 1: (1, 2.0), 2: (1, -1.5), 3: (2, 5.0)}
+    assert choose.vector_totals(df.where("id > 9")).count() == 0
+
+
+def test_feature_queries_do_the_whole_job():
+    """The plan's query counts every feature's cells; the selector's query reads the selected
+    values; early stopping has all ten classes."""
+    from __spark_entry__ import oracle_sql, queries
+
+    sql = oracle_sql()
+    assert "plausible" in sql["e07_e09_feature_plan"]
+    assert "varies" in sql["l05_selected_features"] and "range(10)" in sql["m04_early_stopping"]
+    assert {"e09_feature_values", "l05_selected_scores", "m04_best_rounds"} <= set(queries())
+
+
+def test_rows_over_the_cores(spark):
+    from zonewright.operators.base import ROWS_PER_TASK, over_cores
+
+    assert over_cores(spark.range(10, numPartitions=5), "id").rdd.getNumPartitions() == 1
+    rows = over_cores(spark.range(3 * ROWS_PER_TASK, numPartitions=1), "id")
+    assert rows.rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism)
+    assert rows.count() == 3 * ROWS_PER_TASK and over_cores(spark.range(0), "id").count() == 0
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    """Every fold starts before the first one has ended; scores are those of one after another."""
+    import threading
+
+    from zonewright.operators import splits
+
+    rows = splits.folds(separable(spark, 120, 2), "id", 3, "label").persist()
+    member = M.Ensemble(members=[{"type": "logistic"}], n_classes=2)
+    want = [tuple(r) for r in M.cross_validate(rows, member, 3, parallelism=1)[0].collect()]
+    gate, fit = threading.Barrier(3, timeout=60), M.Ensemble.fit
+    monkeypatch.setattr(M.Ensemble, "fit", lambda self, df: (gate.wait(), fit(self, df))[1])
+    assert [tuple(r) for r in M.cross_validate(rows, member, 3, parallelism=3)[0].collect()] == want
