@@ -34,6 +34,17 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+ROWS_PER_TASK = 50_000
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """``held``, in no more partitions than its number of rows asks for: each exchange of
+    a small table in many partitions is files and tasks without rows."""
+    df = held(df)
+    rows = df.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(step, schema)
 

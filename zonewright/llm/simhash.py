@@ -10,8 +10,8 @@ its differing bits.
 
 Only distinct fingerprints are indexed, so thousands of copies count once. A
 posting returns the edges of a spanning forest of its links, never its pairs.
-Components follow by alternating star contraction with tables held in the
-shared folder.
+Components follow by contraction of each partition's edges, then by alternating
+star contraction across partitions, with tables held in the shared folder.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import held, join_hot, key_of, one_row_per, text_of
+from zonewright.llm.common import held, join_hot, key_of, narrow, one_row_per, text_of
 
 BITS = 4
 SHINGLE = 4
 SEED = 42
 BLOCK = 512
+EDGES = 500_000
 
 
 def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -155,9 +156,39 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.mapInArrow(_postings(bits), "a long, b long").distinct()
 
 
+def _contracted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars with the same components as a partition's edges, after each ``EDGES`` of them."""
+    root: dict[int, int] = {}
+    seen = 0
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    def out() -> pa.RecordBatch:
+        stars = [(x, top(x)) for x in list(root)]
+        a, b = zip(*(s for s in stars if s[0] != s[1]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for part in parts:
+        for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            x, y = top(x), top(y)
+            root[max(x, y)] = min(x, y)
+        seen += part.num_rows
+        if seen > EDGES:
+            yield out()
+            root.clear()
+            seen = 0
+    if root:
+        yield out()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges(a, b)``: root is the least node of
-    its component. Alternates large and small stars until nothing changes."""
+    its component. Each partition contracts its own edges; then large and small
+    stars alternate until nothing changes."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -175,11 +206,12 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = held(edges.where("a <> b").select("a", "b"))
+    edges = narrow(edges.where("a <> b").select("a", "b"))
+    edges = narrow(edges.mapInArrow(_contracted, "a long, b long"))
     before = None
     while (now := state(edges)) != before:
         before = now
-        edges = held(star(star(edges, True), False))
+        edges = narrow(star(star(edges, True), False))
     stars = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 
