@@ -532,3 +532,18 @@ def test_folds_are_fitted_side_by_side(spark, monkeypatch):
     gate, fit = threading.Barrier(3, timeout=60), M.Ensemble.fit
     monkeypatch.setattr(M.Ensemble, "fit", lambda self, df: (gate.wait(), fit(self, df))[1])
     assert [tuple(r) for r in M.cross_validate(rows, member, 3, parallelism=3)[0].collect()] == want
+
+
+def test_forest_in_parts(spark, monkeypatch, tmp_path):
+    """A large forest is fitted side by side over few tasks, and its parts weigh by their trees."""
+    monkeypatch.setattr(M, "TREES", 4)
+    df = separable(spark).repartition(6).persist()
+    model = M.Member(type="forest", options={"numTrees": 10, "maxDepth": 3, "minInstancesPerNode": 1}, n_classes=5).fit(df)
+    assert [c.getNumTrees for c in model.children.values()] == [4, 4, 2]
+    model.write().overwrite().save(str(tmp_path / "m"))
+    out = M.MemberModel.load(str(tmp_path / "m")).transform(df)
+    assert out.columns == [*df.columns, "probs"]
+    for r in out.limit(20).collect():
+        parts = [c.predictProbability(r["features"]).toArray() * c.getNumTrees / 10 for c in model.children.values()]
+        assert r["probs"] == pytest.approx([*sum(parts), 0.0], abs=1e-12)
+    assert sum(model.importances()) == pytest.approx(1)
