@@ -92,6 +92,25 @@ def test_document_frequency_counts_rows_not_occurrences(spark):
     assert got == {"a": (3, 2), "b": (1, 1)}
 
 
+@pytest.mark.parametrize("analyzer, low, high", [("char_wb", 2, 4), ("char_wb", 3, 3), ("host_word", 1, 2), ("host_word", 2, 3), ("description", 1, 2)])
+def test_terms_are_counted_without_a_row_each(spark, monkeypatch, analyzer, low, high):
+    from zonewright.functions import text as X
+
+    texts = ["A.b-c.dev", "a", "", None, "Ünï-x.ex\u00a0ample  \t y.dev.dev", "The cat, the_CAT<CR>sat on 3 mats", "api-7.svc\U0001f600x", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    stop = ["the", "on"]
+    expected = {
+        "char_wb": X.char_wb_ngrams(X.clean_host_text(F.col("t")), low, high),
+        "host_word": X.host_word_terms(F.col("t"), low, high),
+        "description": X.description_terms(F.col("t"), stop, low, high),
+    }[analyzer]
+    monkeypatch.setattr(vectorize, "COUNTED_TERMS", 3)
+    found, n = vectorize.TermWeights(input="t", analyzer=analyzer, low=low, high=high, stop_words=stop, min_df=1, max_df=1.0, max_features=1000).vocabulary(df)
+    one_by_one = vectorize.term_table(df.select(expected.alias("g")), "g")
+    assert n == len(texts) and sorted(found.collect()) == sorted(one_by_one.collect())
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def matrix(spark, columns):
     rows = list(zip(*columns))
     names = [f"c{i}" for i in range(len(columns))]
