@@ -566,3 +566,42 @@ def test_forest_in_parts(spark, monkeypatch, tmp_path):
         parts = [c.predictProbability(r["features"]).toArray() * c.getNumTrees / 10 for c in model.children.values()]
         assert r["probs"] == pytest.approx([*sum(parts), 0.0], abs=1e-12)
     assert sum(model.importances()) == pytest.approx(1)
+
+
+def test_training_rows_are_dealt_over_the_cores(spark, owned, monkeypatch):
+    from zonewright.operators import base
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, df):
+        raise Seen(df.rdd.getNumPartitions())
+
+    monkeypatch.setattr(base, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(FeaturePlan, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        jobs.train(owned.coalesce(1), "id")
+    assert seen.value.args[0] > 1
+
+
+def test_children_are_saved_side_by_side(spark, tmp_path):
+    import threading
+
+    from zonewright.operators.base import Stage
+
+    met = threading.Barrier(2, timeout=20)
+
+    class Child(Stage):
+        def write(self):
+            return self
+
+        def overwrite(self):
+            return self
+
+        def save(self, path):
+            met.wait()
+
+    parent = Stage()
+    parent.children = {"a": Child(), "b": Child()}
+    parent.write().overwrite().save(str(tmp_path / "s"))
+    assert not met.broken

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from zonewright.operators import evaluate as E
 from zonewright.operators import quality, score, splits
-from zonewright.operators.base import Stage, hold, shared_folder
+from zonewright.operators.base import Stage, hold, over_cores, shared_folder
 from zonewright.operators.calibrate import ConfidenceCalibrator
 from zonewright.operators.clean import RecordCleaner, apply_class_policy, encode_labels
 from zonewright.operators.quality import row_digest
@@ -94,7 +94,8 @@ def train(
     clean_rows = fitted_cleaner.transform(keyed)
     labelled = encode_labels(clean_rows, fitted_cleaner.index, target, "label")
     known = labelled.where(F.col("label").isNotNull())
-    parts = splits.split(known, key, *ratios, stratify=target, seed=seed).persist()
+    # Dealt ahead of the features and fits: the input may be a few files, each one task.
+    parts = over_cores(splits.split(known, key, *ratios, stratify=target, seed=seed), key).persist()
     unmapped = labelled.where(F.col("label").isNull()).count()
     train_rows = parts.where("split = 'train'")
     plan = FeaturePlan(target=target, **(features or {})).fit(train_rows)
