@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from zonewright import vocabulary as V
 from zonewright.functions import host, record_data, scan_tags, text
 from zonewright.functions.numbers import bind, entropy, safe_divide
+from zonewright.queries import QUERIES
 
 # fqdn: (length, dots, hyphens, digits, labels, max, avg, numeric label, flags)
 HOSTS = {
@@ -86,6 +89,17 @@ def test_word_boundary_option(spark):
     assert [(r["fqdn_region_us"], r["fqdn_is_dr"]) for r in rows] == [(0, 0), (1, 1)]
 
 
+def test_host_feature_methods_are_small_enough_to_be_compiled(spark, capsys):
+    """The JVM interprets methods of 8,000 bytes and more for good."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        QUERIES["h15_host_features_by_owner"](spark, "/root/testdata/sf0.001").explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_absent_column_is_a_no_op(spark):
     df = spark.createDataFrame([("x",)], "other string")
     assert host.host_features(df).columns == ["other"]
