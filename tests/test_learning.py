@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from zonewright.operators import choose, encode, evaluate, score, vectorize, voting
 from zonewright.plans import jobs
 from zonewright.plans import members as M
-from zonewright.plans.features import FeaturePlan, feature_names, group_columns
+from zonewright.plans.features import FeaturePlan, FeatureVector, feature_names, group_columns
 from zonewright.sources import readers, sinks
 from zonewright.streaming import arrivals
 
@@ -530,6 +531,29 @@ def test_feature_queries_do_the_whole_job():
     assert {"e09_feature_values", "l05_selected_scores", "m04_best_rounds"} <= set(queries())
 
 
+def test_assembling_methods_are_small_enough_to_be_compiled(spark, capsys):
+    """The JVM interprets methods of 8,000 bytes and more for good."""
+    from zonewright.queries.tables import Tables
+    from zonewright.queries.text_queries import _assembled
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        _assembled(Tables(spark, "/root/testdata/sf0.001"))[0].select("features").explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_numbers_are_assembled_as_they_were_given(spark):
+    """Null, NaN and infinite numbers become 0; neighbouring numbers and vectors keep their order."""
+    rows = spark.sql("SELECT 1 AS a, CAST('NaN' AS DOUBLE) AS b, array(2D, 3D) AS v, CAST('-Infinity' AS FLOAT) AS c, CAST(NULL AS INT) AS d, -4L AS e")
+    rows = rows.withColumn("v", array_to_vector("v"))
+    out = FeatureVector(inputs=["a", "b", "v", "c", "d", "e"], names=list("abvwcde"), drop=["a"]).transform(rows)
+    assert out.columns == ["b", "v", "c", "d", "e", "features"]
+    assert out.first()["features"].toArray().tolist() == [1, 0, 2, 3, 0, 0, -4]
+
+
 def test_rows_over_the_cores(spark):
     from zonewright.operators.base import ROWS_PER_TASK, over_cores
 
