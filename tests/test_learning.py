@@ -554,6 +554,14 @@ def test_numbers_are_assembled_as_they_were_given(spark):
     assert out.first()["features"].toArray().tolist() == [1, 0, 2, 3, 0, 0, -4]
 
 
+def test_selection_reads_vectors_made_once(spark):
+    from zonewright.queries.tables import Tables
+    from zonewright.queries.text_queries import _selected
+
+    files = _selected(Tables(spark, "/root/testdata/sf0.001"))[1].inputFiles()
+    assert files and all("held-" in f for f in files)
+
+
 def test_rows_over_the_cores(spark):
     from zonewright.operators.base import ROWS_PER_TASK, over_cores
 
