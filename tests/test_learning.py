@@ -571,6 +571,16 @@ def test_rows_over_the_cores(spark):
     assert rows.count() == 3 * ROWS_PER_TASK and over_cores(spark.range(0), "id").count() == 0
 
 
+def test_validation_rows_are_scored_once(spark, monkeypatch):
+    """The reported metrics and their check read the same held scores."""
+    from zonewright.queries import QUERIES, model_queries
+
+    monkeypatch.setattr(model_queries, "_ensemble", lambda: M.Ensemble(members=[{"type": "forest", "options": {"numTrees": 2, "maxDepth": 2}}], n_classes=10))
+    out = QUERIES["m13_validation_metrics"](spark, "/root/testdata/sf0.001")
+    assert out.inputFiles() and all("held-" in f for f in out.inputFiles())
+    assert out.first().asDict().keys() == {"n_rows", "accuracy_agrees", "recall_agrees"}
+
+
 def test_folds_are_fitted_side_by_side(spark, monkeypatch):
     """Every fold starts before the first one has ended; scores are those of one after another."""
     import threading
