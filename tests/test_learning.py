@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonewright.operators import choose, encode, evaluate, score, vectorize, voting
+from zonewright.operators.splits import hash_order
 from zonewright.plans import jobs
 from zonewright.plans import members as M
 from zonewright.plans.features import FeaturePlan, FeatureVector, feature_names, group_columns
@@ -581,6 +582,24 @@ def test_validation_rows_are_scored_once(spark, monkeypatch):
     assert out.first().asDict().keys() == {"n_rows", "accuracy_agrees", "recall_agrees"}
 
 
+def test_permuted_columns_come_from_one_order(spark):
+    """Every row takes the next row's value, the last that of the first; rows are ordered once for all columns."""
+    seen = []
+
+    class Same:
+        def transform(self, df):
+            seen.append(df)
+            return df.withColumn("prediction", F.col("a").cast("int"))
+
+    rows = spark.range(12).select("id", F.col("id").cast("double").alias("a"), (F.col("id") * 10).alias("b"), F.col("id").cast("double").alias("label"))
+    drops = {r["column"]: r["drop"] for r in M.permutation_importance(Same(), rows, "id", ["a", "b"]).collect()}
+    assert drops == {"a": 1.0, "b": 0.0}
+    a, b = ({r["id"]: r[c] for r in df.collect()} for c, df in zip("ab", seen[1:]))
+    order = [r["id"] for r in rows.orderBy(hash_order("id")).collect()]
+    assert [int(a[i]) for i in order] == order[1:] + order[:1] and [b[i] // 10 for i in order] == order[1:] + order[:1]
+    assert not any("Window" in df._jdf.queryExecution().toString() for df in seen[1:])
+
+
 def test_folds_are_fitted_side_by_side(spark, monkeypatch):
     """Every fold starts before the first one has ended; scores are those of one after another."""
     import threading
