@@ -466,6 +466,32 @@ def test_rounds_grow_until_the_best_is_seen(spark):
         assert min(losses[: best + 3]) == losses[best - 1]
 
 
+def test_one_fit_tells_the_best_round(spark, monkeypatch, tmp_path):
+    """Rounds up to the best one are taken from the fit that showed it: losses, trees and
+    probabilities are those of a fit of just as many rounds, and nothing is fitted twice."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    rows = separable(spark, 200, 2).withColumn("label", F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < 2, 1 - F.col("label")).otherwise(F.col("label")))
+    fits, fit = [], M.GBTClassifier.fit
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, df: (fits.append(self.getMaxIter()), fit(self, df))[1])
+    member = M.create_member("boosted", maxDepth=3, stepSize=0.2, validation="is_val", early_stopping_rounds=3)
+    model = member.fit(rows)
+    assert fits == [20, 20] and max(model.get("best_iterations").values()) < 17
+    for c, (name, losses) in enumerate(model.get("losses").items()):
+        best, child = model.get("best_iterations")[name], model.children[name]
+        assert best == M.stopping_round(losses, 3) and len(losses) == next(n for n in (6, 12, 20) if n - best >= 3)
+        options = {**M.DEFAULTS["boosted"], "maxDepth": 3, "stepSize": 0.2, "maxIter": best}
+        one = rows.where("not is_val").withColumn("one", (F.col("label") == c).cast("double"))
+        want = fit(M.GBTClassifier(featuresCol="features", labelCol="one", predictionCol="__pred", seed=42, **options), one)
+        assert child.getNumTrees == best and child.treeWeights == want.treeWeights and child.getMaxIter() == best
+        assert [t.toDebugString.split("\n")[1:] for t in child.trees] == [t.toDebugString.split("\n")[1:] for t in want.trees]
+        assert child.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray())
+        child.write().overwrite().save(str(tmp_path / name))
+        for m in (child, GBTClassificationModel.load(str(tmp_path / name))):
+            got = [r["__prob"].toArray() for r in m.transform(rows).orderBy("id").collect()]
+            assert np.allclose(got, [r["probability"].toArray() for r in want.transform(rows).orderBy("id").collect()])
+
+
 def test_cross_validation_reaches_the_floor(spark):
     from zonewright.operators import splits
 
