@@ -655,6 +655,40 @@ def test_forest_in_parts(spark, monkeypatch, tmp_path):
     assert sum(model.importances()) == pytest.approx(1)
 
 
+def test_large_forests_stay_off_the_driver(spark, monkeypatch, tmp_path):
+    """Parts are as large as memory asks for, few are in work at a time, and a forest that is
+    too large is read from files: probabilities and importances are those of one kept whole."""
+    df = separable(spark).repartition(6).persist()
+    member = M.Member(type="forest", options={"numTrees": 10, "maxDepth": 3, "minInstancesPerNode": 20}, n_classes=5)
+    tree = M.tree_bytes(400, 5, {"maxDepth": 3, "minInstancesPerNode": 20})
+    assert tree == 16 * (256 + 32 * 5) and M.tree_bytes(70_000, 10, {"maxDepth": 16, "minInstancesPerNode": 5}) == 28_000 * 576
+    assert M.count_bytes(70_000, 10, 64, {"numTrees": 64, "maxDepth": 16}) == 256 << 20
+    assert M.count_bytes(400, 5, 6, {"numTrees": 10, "maxDepth": 3, "minInstancesPerNode": 20}) == 10 * 4 * 3 * 32 * 6 * 8
+    monkeypatch.setattr(M, "count_bytes", lambda *given: tree // 2)
+    monkeypatch.setattr(M, "PART_BYTES", 3 * tree + 1)
+    whole = member.fit(df)
+    assert isinstance(whole.children, dict) and [c.getNumTrees for c in whole.children.values()] == [3, 3, 3, 1]
+    room, peak = M.Room(7 * tree), []
+    taken = M.Room.taken
+
+    def seen(self, size):
+        peak.append(self.used)
+        return taken(self, size)
+
+    monkeypatch.setattr(M.Room, "of", classmethod(lambda cls, spark: room))
+    monkeypatch.setattr(M.Room, "taken", seen)
+    stored = member.fit(df)
+    assert isinstance(stored.children, M.StoredParts) and stored.get("trees") == whole.get("trees")
+    assert room.used == 0 and 0 < max(peak) <= 7 * tree  # a part asks for up to 3.5 trees
+    probs = lambda m: [r["probs"] for r in m.transform(df).orderBy("id").collect()]
+    want = probs(whole)
+    out = stored.transform(df)
+    assert out.columns == [*df.columns, "probs"] and "UDF" not in out._jdf.queryExecution().toString()
+    assert np.allclose(probs(stored), want, atol=1e-12) and stored.importances() == pytest.approx(whole.importances())
+    stored.write().overwrite().save(str(tmp_path / "m"))
+    assert np.allclose(probs(M.MemberModel.load(str(tmp_path / "m"))), want, atol=1e-12)
+
+
 def test_training_rows_are_dealt_over_the_cores(spark, owned, monkeypatch):
     from zonewright.operators import base
 
