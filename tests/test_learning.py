@@ -640,6 +640,34 @@ def test_folds_are_fitted_side_by_side(spark, monkeypatch):
     assert [tuple(r) for r in M.cross_validate(rows, member, 3, parallelism=3)[0].collect()] == want
 
 
+def test_folds_share_the_memory_of_the_driver(spark, monkeypatch):
+    """Parts of all folds' forests take turns where there is room for one only; scores are the same."""
+    import threading
+
+    from zonewright.operators import splits
+
+    monkeypatch.setattr(M, "TREES", 4)
+    rows = splits.folds(separable(spark, 120, 2), "id", 3, "label").persist()
+    member = M.Ensemble(members=[{"type": "forest", "options": {"numTrees": 10, "maxDepth": 3}}], n_classes=2)
+    scores = lambda: [tuple(r) for r in M.cross_validate(rows, member, 3)[0].collect()]
+    want, room, lock, running, peak = scores(), M.Room(1), threading.Lock(), [0], [0]
+    fit = M.RandomForestClassifier.fit
+
+    def counted(self, df):
+        with lock:
+            running[0] += 1
+            peak[0] = max(peak[0], running[0])
+        try:
+            return fit(self, df)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(M.RandomForestClassifier, "fit", counted)
+    monkeypatch.setattr(M.Room, "of", classmethod(lambda cls, spark: room))
+    assert scores() == want and peak == [1] and room.used == 0
+
+
 def test_forest_in_parts(spark, monkeypatch, tmp_path):
     """A large forest is fitted side by side over few tasks, and its parts weigh by their trees."""
     monkeypatch.setattr(M, "TREES", 4)
